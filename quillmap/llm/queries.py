@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import common, secrets
+from quillmap.llm import bpe, common, secrets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -15,6 +15,11 @@ def query(f):
     return f
 
 
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(common.table(spark, sf_dir, "documents", "doc_id", "text"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(common.table(spark, sf_dir, "documents", "doc_id", "text")))
