@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bpe, common, secrets
+from quillmap.llm import bpe, common, mixing, secrets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,3 +23,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(common.table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(common.table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
