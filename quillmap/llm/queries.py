@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bpe, common, mixing, secrets
+from quillmap.llm import bpe, chat, common, mixing, secrets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,3 +28,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(common.table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    trial = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    return chat.digest(chat.render(chat.reconstruct(chat.events(rows.unionByName(trial)))))
+
+
+ORACLE_SQL["op10_chat"] = chat.SQL
