@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bpe, chat, common, mixing, secrets
+from quillmap.llm import bpe, chat, common, mixing, resharding, secrets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,3 +38,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_chat"] = chat.SQL
+
+
+@query
+def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = resharding.reshard(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return resharding.digest(placed)
