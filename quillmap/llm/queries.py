@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bpe, chat, common, mixing, resharding, secrets
+from quillmap.llm import bpe, chat, common, mixing, resharding, secrets, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -15,6 +15,13 @@ def query(f):
     return f
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.digest(toxicity.score(docs, model))
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.table(spark, sf_dir, "documents", "doc_id", "text"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
