@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bpe, chat, common, mixing, resharding, secrets, toxicity
+from quillmap.llm import bpe, chat, common, mixing, resharding, secrets, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +22,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.score(docs, model))
 
 
+@query
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    return substrings.dedup(docs, outputs=("n_words", "n_removed", "kept_sha256"))
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.table(spark, sf_dir, "documents", "doc_id", "text"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
