@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bpe, chat, common, mixing, resharding, secrets, substrings, toxicity
+from quillmap.llm import bpe, chat, common, jaccard, mixing, resharding, secrets, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,3 +57,8 @@ ORACLE_SQL["op10_chat"] = chat.SQL
 def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = resharding.reshard(common.table(spark, sf_dir, "documents", "doc_id", "text"))
     return resharding.digest(placed)
+
+
+@query
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(jaccard.clusters(common.table(spark, sf_dir, "documents", "doc_id", "text")))
