@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bpe, chat, common, jaccard, mixing, resharding, secrets, substrings, toxicity
+from quillmap.llm import bpe, chat, common, inner, jaccard, mixing, postings, resharding, secrets, substrings, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,3 +62,16 @@ def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(jaccard.clusters(common.table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query
+def op3_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.search(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query
+def op6_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner.top(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+ORACLE_SQL["op6_inner"] = inner.SQL
