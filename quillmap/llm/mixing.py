@@ -89,7 +89,7 @@ def targets(rows: DataFrame, recipe: Recipe) -> DataFrame:
 
 
 def bounded(sources: DataFrame, n_sources: int) -> DataFrame:
-    return F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
+    return F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources.hint("merge")
 
 
 def on_lines(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
@@ -98,13 +98,17 @@ def on_lines(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     offsets = sums.withColumn("offset", F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")).select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "offset")
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(within))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
+    placed = placed.join(offsets.hint("merge"), F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
     placed = placed.select("doc_id", "source", "size", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
     return placed.join(bounded(sources.withColumnRenamed("source", "source_"), n_sources), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
 
 
-def schedule(sources: DataFrame, recipe: Recipe) -> DataFrame:
-    """(slot, s, rank, block, words): which block each slot takes, and how many of its words."""
+def schedule(sources: DataFrame, n_sources: int, recipe: Recipe) -> DataFrame:
+    """(slot, s, rank, block, words): which block each slot takes, and how many of its words.
+
+    The planner takes the slots, which come from one row, for few: hints keep it
+    from broadcasting them.
+    """
     sums = Window.orderBy("s")
     weighted = sources.filter("slots > 0").withColumn("high", F.sum("slots").over(sums).cast("double")).withColumn("n", F.sum("slots").over(Window.partitionBy()))
     weighted = weighted.withColumn("low", (F.col("high") - F.col("slots")) / F.col("n")).withColumn("high", F.col("high") / F.col("n"))
@@ -112,16 +116,16 @@ def schedule(sources: DataFrame, recipe: Recipe) -> DataFrame:
     slots = chunks.repartition("chunk").select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1)).alias("slot"))
     slots = slots.withColumn("u", ((F.col("slot") + 1) % UNIT * STEP % UNIT) / F.lit(float(UNIT))).withColumn("cell", F.floor(F.col("u") * CELLS))
     cells = weighted.select("s", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    hits = slots.join(cells, "cell").filter("low <= u AND u < high").select("s", "slot", "chunk")
+    hits = slots.join(bounded(cells, n_sources), "cell").filter("low <= u AND u < high").select("s", "slot", "chunk")
     per_chunk = hits.groupBy("s", "chunk").agg(F.count("*").alias("hits"))
     offsets = per_chunk.withColumn("offset", F.sum("hits").over(Window.partitionBy("s").orderBy("chunk")) - F.col("hits")).select("s", "chunk", "offset")
-    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot"))).join(offsets, ["s", "chunk"]).select("s", "slot", (F.col("offset") + F.col("r") - 1).alias("rank"))
+    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot"))).join(offsets.hint("merge"), ["s", "chunk"]).select("s", "slot", (F.col("offset") + F.col("r") - 1).alias("rank"))
     # a source that the points reached a few times too seldom gets its last slots after all others
     reached = per_chunk.groupBy("s").agg(F.sum("hits").alias("hits"))
-    late = weighted.join(reached, "s", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long"))).filter("hits < slots")
+    late = weighted.join(bounded(reached, n_sources), "s", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long"))).filter("hits < slots")
     late = late.select("s", F.explode(F.sequence(F.col("hits"), F.col("slots") - 1)).alias("rank"), "n").select("s", (F.col("n") + F.col("rank")).alias("slot"), "rank")
     size, b = F.col("source_size"), F.lit(recipe.block_words)
-    taken = ranked.unionByName(late).join(sources.select("s", "source_size", "quota", "blocks", "slots"), "s").filter("rank < slots")
+    taken = ranked.unionByName(late).join(bounded(sources.select("s", "source_size", "quota", "blocks", "slots"), n_sources), "s").filter("rank < slots")
     turn, block = F.floor(F.col("rank") / F.col("blocks")), F.col("rank") % F.col("blocks")
     length = F.least(b, size - block * b)
     return taken.select("slot", "s", "rank", block.alias("block"), F.least(length, F.col("quota") - turn * size - block * b).cast("long").alias("words")).filter("words > 0")
@@ -147,8 +151,8 @@ def mix(docs: DataFrame, recipe: Recipe = Recipe(), **cols: str) -> tuple[DataFr
     n_sources = sources.count()
     lines = on_lines(rows, sources, n_sources)
     parts = pieces(lines, recipe)
-    slots = schedule(sources, recipe).select("slot", "s", "block", F.col("words").alias("slot_words"))
-    stream = parts.join(slots, ["s", "block"]).withColumn("n_words", F.least(F.col("words"), F.col("slot_words") - F.col("at"))).filter("n_words > 0")
+    slots = schedule(sources, n_sources, recipe).select("slot", "s", "block", F.col("words").alias("slot_words"))
+    stream = parts.join(slots.hint("merge"), ["s", "block"]).withColumn("n_words", F.least(F.col("words"), F.col("slot_words") - F.col("at"))).filter("n_words > 0")
     return lines, stream.select("slot", "s", "start", "doc_id", "from_word", "n_words")
 
 
@@ -156,4 +160,4 @@ def taken(docs: DataFrame, recipe: Recipe = Recipe(), **cols: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row a document."""
     lines, stream = mix(docs, recipe, **cols)
     sums = stream.groupBy("s", "start").agg(F.sum("n_words").alias("n"))
-    return lines.join(sums, ["s", "start"], "left").select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
+    return lines.join(sums.hint("merge"), ["s", "start"], "left").select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
