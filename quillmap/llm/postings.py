@@ -36,14 +36,19 @@ class Settings:
     sample: int = 20_000
     lists: int = 1024
     list_size: int = 256
-    replicas: int = 6
-    replica_ratio: float = 1.12
-    probes: int = 96
+    replicas: int = 4
+    replica_ratio: float = 1.15
+    probes: int = 32
+    probe_share: float = 0.19
     probe_ratio: float = 1.5
-    degree: int = 24
-    beam: int = 128
+    degree: int = 20
+    beam: int = 12
     block: int = 2048
 
+    def probes_of(self, lists: int) -> int:
+        """Vectors without structure need a share of the lists; where there is structure, the ratio stops long before."""
+        return max(self.probes, -(-int(lists * self.probe_share * 100) // 100))
+
 
 def leaves(x: np.ndarray, size: int, rng: np.random.Generator) -> list[np.ndarray]:
     """Means of the parts of ``x`` after halving it until parts have at most ``size`` rows."""
@@ -82,7 +87,9 @@ class Index:
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids of each query that the walk meets, nearest first, and their distances."""
         n, k = len(q), len(self.centroids)
-        width = min(beam, k)
+        width, q = min(beam, k), q.astype(np.float32)
+        centroids, steps = self.centroids.astype(np.float32), min(4, width)
+        c_sq, q_sq = (centroids**2).sum(1), (q**2).sum(1)[:, None]
         seen = np.zeros((n, k), bool)
         ids = np.full((n, width), -1)
         dist = np.full((n, width), np.inf)
@@ -98,7 +105,7 @@ class Index:
             np.put_along_axis(again, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
             fresh &= ~again
             seen[np.broadcast_to(row, new.shape)[fresh], new[fresh]] = True
-            d = np.where(fresh, np.sqrt(np.maximum(0, ((q[:, None, :] - self.centroids[new]) ** 2).sum(2))), np.inf)
+            d = np.where(fresh, np.sqrt(np.maximum(0, q_sq + c_sq[new] - 2 * np.einsum("nd,nkd->nk", q, centroids[new]))), np.inf)
             all_d, all_i, all_o = np.concatenate([dist, d], 1), np.concatenate([ids, new], 1), np.concatenate([open_, fresh], 1)
             pick = np.argsort(all_d, axis=1, kind="stable")[:, :width]
             dist, ids, open_ = (np.take_along_axis(a, pick, 1) for a in (all_d, all_i, all_o))
@@ -106,10 +113,10 @@ class Index:
             todo = open_.any(1)
             if not todo.any():
                 return ids, dist
-            at = np.argmax(open_, axis=1)
-            open_[np.arange(n), at] = False
-            # a row with nothing left to open looks at its best node again, which changes nothing
-            new = self.graph[np.maximum(ids[np.arange(n), np.where(todo, at, 0)], 0)]
+            # the nearest nodes not looked at; rows with none left look at known ones again, which changes nothing
+            at = np.argsort(~open_, axis=1, kind="stable")[:, :steps]
+            np.put_along_axis(open_, at, False, 1)
+            new = self.graph[np.maximum(np.take_along_axis(ids, at, 1), 0)].reshape(n, -1)
 
     def lists_of(self, q: np.ndarray, most: int, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: a row's nearest centroids within ``ratio`` of the nearest."""
@@ -159,7 +166,8 @@ def search(rows: DataFrame, *, every: int = 100, k: int = 10, settings: Settings
     n = points.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(Index.fit(vectors.sample(points, s.sample), n, s))  # at most ``lists`` centroids
+    index = Index.fit(vectors.sample(points, s.sample), n, s)
+    shared, probes = spark.sparkContext.broadcast(index), s.probes_of(len(index.centroids))  # at most ``lists`` centroids
 
     def dealt(most: int, ratio: float, beam: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +178,8 @@ def search(rows: DataFrame, *, every: int = 100, k: int = 10, settings: Settings
         return work
 
     schema = "vec_id long, v array<double>, list int"
-    listed = points.mapInArrow(dealt(s.replicas, s.replica_ratio, 32), schema)
-    asked = points.filter(F.col("vec_id") % every == 0).mapInArrow(dealt(s.probes, s.probe_ratio, s.beam), schema)
+    listed = points.mapInArrow(dealt(s.replicas, s.replica_ratio, s.beam), schema)
+    asked = points.filter(F.col("vec_id") % every == 0).mapInArrow(dealt(probes, s.probe_ratio, probes + 16), schema)
     subs = {r.list: -(-r["count"] // s.block) for r in listed.groupBy("list").count().collect()}  # at most ``lists`` rows
     sizes = F.broadcast(spark.createDataFrame(list(subs.items()), "list int, subs int"))
     listed = listed.join(sizes, "list").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int")).drop("subs")
