@@ -20,6 +20,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,8 @@ class WordBpe:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         self.ids_text: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
+        self.number: dict[str, int] = {}
+        self.flat, self.begin = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """The normalized pieces of a text; special tokens stay as they are, marked by a leading space."""
@@ -154,6 +157,29 @@ class WordBpe:
         for pieces in split:
             yield " ".join(map(self.ids_text.__getitem__, pieces)), " ".join(map(self.decoded.__getitem__, pieces))
 
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin (with the end of the last)."""
+        split = [self.pieces(t or "") for t in texts]
+        if len(self.number) > CACHE_PIECES:
+            self.number.clear()
+            self.flat, self.begin = np.empty(0, np.int32), np.zeros(1, np.int64)
+        new = [p for p in set().union(*split) if p not in self.number]
+        if new:
+            plain = [p for p in new if p[0] != " "]
+            symbols, ends = self.encode_pieces(plain) if plain else (np.empty(0, np.int64), np.zeros(0, np.int64))
+            special = [p for p in new if p[0] == " "]
+            ids = np.concatenate([symbols, np.array([self.special[p[1:]] for p in special], np.int64)]).astype(np.int32)
+            ends = np.concatenate([ends, len(symbols) + 1 + np.arange(len(special))])
+            self.number.update(zip(plain + special, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.begin = np.concatenate([self.begin, len(self.flat) + ends])
+            self.flat = np.concatenate([self.flat, ids])
+        sizes = np.array([len(p) for p in split], np.int64)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        lengths = self.begin[at + 1] - self.begin[at]
+        upto = np.r_[0, np.cumsum(lengths)]
+        places = np.arange(upto[-1]) + np.repeat(self.begin[at] - upto[:-1], lengths)
+        return self.flat[places], upto[np.r_[0, np.cumsum(sizes)]]
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.token_of[i] for i in ids if i in self.token_of)
 
@@ -190,6 +216,11 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
             "decoded_sha256": lambda _, text: hashlib.sha256(text.encode()).hexdigest(),
         }
         for batch in common.slices(batches):
+            if set(outputs) <= {"ids", "n_tokens"}:
+                flat, at = bpe.encode_flat(batch.column(1).to_pylist())
+                columns = {"ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat)), "n_tokens": pa.array(np.diff(at))}
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(columns[n] for n in outputs)], names=["doc_id", *outputs])
+                continue
             found: list[list] = [[] for _ in outputs]
             for ids, decoded in bpe.encode_texts(batch.column(1).to_pylist()):
                 for column, name in zip(found, outputs, strict=True):

@@ -145,6 +145,23 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
     return rows.mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base string, spans string, redacted string")
 
 
+def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", rank_file: str | None = None) -> DataFrame:
+    """All rows and columns, with every span in the text replaced and the length, where there is such a column, counted again."""
+    path, pattern = rank_file or common.tokenizer_path("byte_bpe_50k.tiktoken"), _pattern()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = vocabulary(path, pattern)
+        for batch in common.slices(batches, text_col):
+            at = batch.schema.names.index(text_col)
+            texts = [t if t is None or not (spans := scan_text(t, encoder)[1]) else redact_text(t, spans) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    out = docs.mapInArrow(work, docs.schema)
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out
+
+
 def _pattern() -> str:
     import public_tokenizers
 

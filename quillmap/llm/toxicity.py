@@ -448,6 +448,20 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     return rows.mapInArrow(work, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model | None, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        scorer = Scorer(model) if model else None
+        for batch in common.slices(batches, text_col, limit=2 << 20):
+            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
+            yield batch.filter(pa.array(scorer.score(texts) < threshold)) if scorer else batch
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, **bounds) -> Model | None:
     sample = labelled(docs, labels, **bounds)
     return fit([t for t, _ in sample], [y for _, y in sample])

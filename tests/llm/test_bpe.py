@@ -21,6 +21,9 @@ def same(library, ours, texts):
         want = library.encode(t or "", add_special_tokens=False).ids
         assert ids == " ".join(map(str, want)), t
         assert decoded == library.decode(want, skip_special_tokens=False)
+    flat, at = ours.encode_flat(texts)
+    for t, start, end in zip(texts, at, at[1:], strict=False):
+        assert flat[start:end].tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
 def test_special_cases(library):
