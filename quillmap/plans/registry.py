@@ -21,5 +21,5 @@ def query(sql: str | None = None):
     return put
 
 
-for _name in ("retrieval", "shaping", "structure", "changes", "watching"):
+for _name in ("retrieval", "shaping", "structure", "changes", "watching", "details"):
     importlib.import_module(f"quillmap.plans.{_name}")
