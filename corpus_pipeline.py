@@ -3,7 +3,14 @@ stays, secrets are blotted out, sources are mixed to their targets, and what is
 left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all
-but the last return the columns of its documents.
+but the last return the columns of its documents, others than those of
+``documents`` too, whatever their names.
+
+Cases: a null text scores and encodes like an empty one, holds no secret, and
+has no words for the mix, which leaves it out; null, empty and blank texts are
+copies of one another; a null id, language or source is a value like any other
+(null sources are one source, the last); rows that repeat in full are one
+document from the second stage on; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -319,13 +319,14 @@ def clusters(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, id_col:
 
 def keep_one(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that stand for their class: one of each."""
+    key, turn, keep_id, keep_key = common.spare(docs, "_key", "_turn", "_keep_id", "_keep_key")
     found = clusters(docs, threshold=threshold, width=width, id_col=id_col, text_col=text_col)
-    keepers = found.filter((F.col("row_key") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep_id"), F.col("row_key").alias("_keep_key"))
-    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-    rows = rows.join(keepers.hint("merge"), (F.col("_key") == F.col("_keep_key")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+    keepers = found.filter((F.col("row_key") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(keep_id), F.col("row_key").alias(keep_key))
+    rows = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    rows = rows.join(keepers.hint("merge"), (F.col(key) == F.col(keep_key)) & F.col(id_col).eqNullSafe(F.col(keep_id)), "left_semi")
     # rows that repeat in full have one key
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_key", id_col).orderBy("_key"))).filter("_turn = 1")
-    return rows.drop("_key", "_turn")
+    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy(key, id_col).orderBy(key))).filter(F.col(turn) == 1)
+    return rows.select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

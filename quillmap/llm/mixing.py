@@ -163,16 +163,16 @@ def apply(docs: DataFrame, recipe: Recipe = Recipe(), *, id_col: str = "doc_id",
     of a source at which its target is reached is taken in part; of it the first
     words stand, joined by one space. Documents that are not taken go.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"), F.col(source_col))
-    keyed = docs.withColumn("_key", key)
-    counts = taken(keyed, recipe, id_col="_key", text_col=text_col, source_col=source_col).filter("taken > 0")
+    key, taken_key, parts_col, turn, words = common.spare(docs, "_key", "_taken_key", "_parts", "_turn", "_words")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"), F.col(source_col)))
+    counts = taken(keyed, recipe, id_col=key, text_col=text_col, source_col=source_col).filter("taken > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    parts = counts.groupBy(F.col("doc_id").alias("_taken_key")).agg(F.flatten(F.collect_list(parts)).alias("_parts"))
-    once = keyed.withColumn("_turn", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).filter("_turn = 1")
-    rows = once.join(parts.hint("merge"), F.col("_key") == F.col("_taken_key")).withColumn("_words", F.explode("_parts"))
-    first_words = F.array_join(F.slice(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.greatest(F.col("_words"), F.lit(1)).cast("int")), " ")
-    rows = rows.withColumn(text_col, F.when(F.col("_words") < 0, F.col(text_col)).otherwise(first_words))
+    parts = counts.groupBy(F.col("doc_id").alias(taken_key)).agg(F.flatten(F.collect_list(parts)).alias(parts_col))
+    once = keyed.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(turn) == 1)
+    rows = once.join(parts.hint("merge"), F.col(key) == F.col(taken_key)).withColumn(words, F.explode(parts_col))
+    first_words = F.array_join(F.slice(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.greatest(F.col(words), F.lit(1)).cast("int")), " ")
+    rows = rows.withColumn(text_col, F.when(F.col(words) < 0, F.col(text_col)).otherwise(first_words))
     if length_col in docs.columns:
         rows = rows.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return rows.select(*docs.columns)

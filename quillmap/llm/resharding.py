@@ -211,11 +211,12 @@ def rewrite(placed: DataFrame, moves: DataFrame, docs: DataFrame, path: str, *,
     """
     changed = moves.filter("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     numbers = sorted(r.shard for r in changed.collect())  # at most as many as there are shards
-    target = placed.filter(F.col("shard").isin(numbers)).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    rows = docs.join(target, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    own_id, own_shard, own_slot = common.spare(docs, "_id", "_shard", "_slot")
+    target = placed.filter(F.col("shard").isin(numbers)).select(F.col("doc_id").alias(own_id), F.col("shard").alias(own_shard), F.col("slot").alias(own_slot))
+    rows = docs.join(target, F.col(id_col).eqNullSafe(F.col(own_id))).drop(own_id)
     if "shard" in docs.columns:
         rows = rows.drop("shard")
-    rows = rows.withColumnRenamed("_shard", "shard").repartition("shard").sortWithinPartitions("shard", "_slot").drop("_slot")
+    rows = rows.withColumnRenamed(own_shard, "shard").repartition("shard").sortWithinPartitions("shard", own_slot).drop(own_slot)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return numbers
 

@@ -1,5 +1,6 @@
 import hashlib
 import unicodedata
+from functools import lru_cache
 
 import pytest
 from hypothesis import given, settings
@@ -11,9 +12,14 @@ from quillmap.llm import bpe, common
 PATH = common.tokenizer_path("word_bpe_49k.json")
 
 
+@lru_cache
+def any_library():
+    return Tokenizer.from_file(PATH)
+
+
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(PATH)
+    return any_library()
 
 
 def same(library, ours, texts):
@@ -42,7 +48,7 @@ def test_every_character(library):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=("Cn", "Cs")), max_size=60), max_size=5))
 def test_any_text(texts):
-    same(Tokenizer.from_file(PATH), bpe.vocabulary(PATH), texts)
+    same(any_library(), bpe.vocabulary(PATH), texts)
 
 
 def test_frame(spark, library):
