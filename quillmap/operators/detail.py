@@ -187,3 +187,49 @@ def dirty_overlay(rows: DataFrame, changed: DataFrame, term: str, most: int = 16
     hits = rows.join(changed.select("path").distinct(), "path", "left_semi").filter(text.has_term(F.col("content"), term))
     ranked = hits.withColumn("n_", F.dense_rank().over(Window.orderBy("path")))
     return ranked.filter(F.col("n_") <= most).select("id", "path", paths.role(F.col("path"), F.col("language"), F.lit("function")).alias("role"))
+
+
+def unique_symbols(symbols: DataFrame, key: str = "symbol_key") -> DataFrame:
+    """The rows, or an error where one key stands for different symbols; full repeats count once."""
+    once = symbols.dropDuplicates().withColumn("n_", F.count("*").over(Window.partitionBy(key)))
+    return once.filter(F.when(F.col("n_") > 1, F.raise_error(F.concat(F.lit("symbol key used twice: "), key))).otherwise(F.lit(True))).drop("n_")
+
+
+def coverage_status(asked: int, found: int, pool: int, limit: int) -> str:
+    """How well ``must:`` terms were met: none asked, all met, met in part, not met, or the pool was too small to tell."""
+    if not asked:
+        return "not_requested"
+    if found >= limit:
+        return "satisfied"
+    if found:
+        return "partial"
+    return "exhausted" if pool >= 80 else "insufficient_pool"
+
+
+def traversal_pages(edges: DataFrame, symbol: str, *, after: str = "", limit: int = 20, confidences: tuple[str, ...] = ("high", "medium")) -> tuple[DataFrame, DataFrame]:
+    """A page of callers and callees of a symbol by key, and a count of the edges left out, by direction and confidence."""
+    side = F.when(F.col("src") == symbol, "callee").when(F.col("dst") == symbol, "caller")
+    near = edges.withColumn("side", side).filter("side IS NOT NULL")
+    key = F.concat_ws("\0", "side", "file", "src", "dst", "type")
+    trusted = near.filter(F.col("confidence").isin(*confidences)).withColumn("key", key).dropDuplicates(["key"])
+    page = trusted.filter(F.col("key") > after).orderBy("key").limit(limit)
+    left_out = near.filter(~F.col("confidence").isin(*confidences)).groupBy("side", "confidence").agg(F.count("*").alias("n"))
+    return page, left_out
+
+
+def retry_limits(limit: int, has_must: bool) -> list[int]:
+    """Candidate limits of the attempts: doubled up to 80, three with ``must:``, else one."""
+    first = max(1, min(80, max(8 * limit, 32)))
+    return [min(80, first << i) for i in range(3 if has_must else 1)]
+
+
+def reranks(policy: str, present: bool, scope: str, allowed: bool) -> bool:
+    return policy != "off" and present and scope != "docs" and allowed
+
+
+def observed_counts(rows: DataFrame, name: str):
+    """The rows with an observation of how many were written and how many bytes their content has."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return rows.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes")), seen

@@ -230,3 +230,29 @@ def k3_source_symbols(spark, sf_dir):
     """Symbols of small sources made from the part table."""
     p = table(spark, sf_dir, "part").select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("class C"), "p_partkey", F.lit(":\n    def run(self, x):\n        for y in x:\n            if y:\n                helper(y)\n"), F.lit("def helper(z):\n    return z\n")).alias("content"))
     return source.symbols(p)
+
+
+@query("SELECT DISTINCT l_orderkey || ':' || l_returnflag AS symbol_key FROM lineitem")
+def k6_symbol_registry(spark, sf_dir):
+    return detail.unique_symbols(_symbols(spark, sf_dir)).select("symbol_key")
+
+
+@query(f"""WITH {EDGES}, n AS (SELECT *, CASE WHEN src = 'o5' THEN 'callee' WHEN dst = 'o5' THEN 'caller' END AS side FROM edges WHERE src = 'o5' OR dst = 'o5'),
+p AS (SELECT DISTINCT side, src, dst FROM n WHERE confidence IN ('high', 'medium'))
+SELECT side, src, dst, 0::BIGINT AS n FROM p UNION ALL SELECT side, confidence, NULL, count(*) FROM n WHERE confidence = 'low' GROUP BY 1, 2""")
+def l15_traversal_pages(spark, sf_dir):
+    page, left_out = detail.traversal_pages(edges(spark, sf_dir), "o5", limit=100)
+    rest = left_out.select("side", F.col("confidence").alias("src"), F.lit(None).cast("string").alias("dst"), "n")
+    return page.select("side", "src", "dst", F.lit(0).cast("long").alias("n")).unionByName(rest)
+
+
+@query(f"WITH {CHUNKS} SELECT id, path FROM chunks WHERE path = 'src/core/src0/main.py' OR starts_with(path, 'src/core/src0/main.py/')")
+def j16_live_path(spark, sf_dir):
+    return chunks(spark, sf_dir).filter(F.col("path").rlike(paths.glob_regex("src/core/src0/main.py"))).select("id", "path")
+
+
+@query("SELECT count(*) AS rows, sum(strlen(text)) AS bytes FROM documents")
+def e15_write_metrics(spark, sf_dir):
+    rows, seen = detail.observed_counts(table(spark, sf_dir, "documents").select(F.col("text").alias("content")), "write")
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "rows long, bytes long")
