@@ -12,7 +12,9 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b", rounds: int = 60
     """(node, root): every node of an edge with the smallest node of its component.
 
     Each round leaves at most as many edges as before and is checkpointed; the
-    number of rounds grows with the logarithm of the components' diameter.
+    number of rounds grows with the logarithm of the components' diameter. The
+    smallest neighbours are written too before they are joined: a join of two
+    plain shuffles is one whose hot nodes Spark can split.
     """
     common.use_checkpoints(edges.sparkSession)
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct().checkpoint()
@@ -22,11 +24,12 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b", rounds: int = 60
     for _ in range(rounds):
         # large stars: the larger neighbours of a node hang on its smallest
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).checkpoint()
         large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small stars: a node and its smaller neighbours hang on the smallest
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = down.checkpoint()
+        least = down.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = small.checkpoint()
         # a sum of hashes over the edges tells whether they are the same as before
