@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillmap.llm import common
 
 #: Pieces whose encoding a worker keeps.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 NO_RANK = np.iinfo(np.int64).max
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +36,13 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
 
 
+def give_back() -> None:
+    """Hand memory that a task no longer uses back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Column names that the frame does not have, whatever the case, made from ``names``."""
     taken = {c.lower() for c in df.columns}
@@ -56,3 +65,4 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
         step = max(1, limit // width)
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    give_back()

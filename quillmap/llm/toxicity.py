@@ -37,7 +37,7 @@ HIDDEN, HASHED = 8, 4
 #: Leanings of the word, of its strongest n-gram and of all its n-grams; a flag for having any; the hashed embedding.
 INPUTS = 4 + HASHED
 FOLDS = 4
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Windows that go through the network at once.
 BATCH = 2048
 
@@ -120,7 +120,7 @@ Counts = list[tuple[np.ndarray, np.ndarray, int]]
 def counted(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     """From the distinct hashes of each document."""
     keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_counts=True)
-    return keys, n, len(hashes)
+    return keys, n.astype(np.int32), len(hashes)
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -287,14 +287,12 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
-def _doc_logits(net: Network, proj, wins: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every window's logit, each document's highest, and where it is."""
+def _doc_logits(net: Network, proj, wins: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Every window's logit, and each document's highest."""
     flat = np.concatenate(wins)
     logits = np.concatenate([net.logits(*proj, flat[i : i + BATCH]) for i in range(0, len(flat), BATCH)])
     starts = np.cumsum([0, *map(len, wins[:-1])])
-    best = np.maximum.reduceat(logits, starts)
-    where = np.array([s + int(np.argmax(logits[s : s + len(w)])) for s, w in zip(starts, wins, strict=True)])
-    return logits, best, where
+    return logits, np.maximum.reduceat(logits, starts)
 
 
 def fit(texts: list[str], labels: list[int], *, steps: int = 240, seed: int = 7) -> Model | None:
@@ -303,8 +301,11 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 240, seed: int = 7)
         return None
     rng = np.random.default_rng(seed)
     y = np.array(labels)
-    tokens = [TOKEN.findall((t or "").lower()) for t in texts]
-    distinct = [sorted(set(ts)) for ts in tokens]
+    # words become numbers at once: each spelling is held a single time
+    vocabulary: dict[str, int] = {}
+    tokens = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in TOKEN.findall((t or "").lower())), np.int32) for t in texts]
+    names, distinct = list(vocabulary), [np.unique(ts) for ts in tokens]
+    del vocabulary
     # folds by text, so that copies are in one fold, and by class in turn
     order = sorted(range(len(texts)), key=lambda i: (labels[i], xxhash.xxh64_intdigest(texts[i] or "", seed=seed)))
     fold, turn, last = np.zeros(len(texts), int), 0, None
@@ -314,54 +315,74 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 240, seed: int = 7)
     counts = {}
     for k in range(FOLDS):
         for c in (0, 1):
-            coded = [Coded.of(distinct[i]) for i in np.flatnonzero((fold == k) & (y == c))]
+            coded = [Coded.of([names[j] for j in distinct[i]]) for i in np.flatnonzero((fold == k) & (y == c))]
             counts[k, c] = counted([d.words for d in coded]), counted([np.unique(d.grams) for d in coded])
 
     def merged(skip: int | None) -> Leanings:
         by = [[added([counts[k, c][kind] for k in range(FOLDS) if k != skip]) for c in (0, 1)] for kind in (0, 1)]
         return Leanings(odds(*by[0]), odds(*by[1]))
 
-    rows = [np.zeros((1, INPUTS), np.float32)]
-    n_rows = 1
+    rows: list[np.ndarray] = []
     wins: list[np.ndarray] = [np.empty(0)] * len(texts)
     for k in range(FOLDS):
         own = np.flatnonzero(fold == k)
-        words = sorted(set().union(*(distinct[i] for i in own)))
-        number = dict(zip(words, range(n_rows, n_rows + len(words)), strict=True))
-        rows.append(merged(k).features(words))
-        n_rows += len(words)
+        used = np.unique(np.concatenate([np.empty(0, np.int32), *(distinct[i] for i in own)]))
+        number = np.zeros(len(names), np.int32)
+        number[used] = np.arange(1, len(used) + 1)
+        rows.append(np.concatenate([np.zeros((1, INPUTS), np.float32), merged(k).features([names[j] for j in used])]))
         for i in own:
-            wins[i] = windows(np.fromiter(map(number.__getitem__, tokens[i]), np.int32, len(tokens[i])))
+            wins[i] = windows(number[tokens[i]])
     leanings = merged(None)
     del counts, distinct, tokens
-    x = np.concatenate(rows)
-    flat = np.concatenate(wins)
     starts = np.cumsum([0, *map(len, wins)])
+    members = [np.flatnonzero(fold == k) for k in range(FOLDS)]
+
+    def strongest(score) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's highest window by ``score(rows, windows)``, and where that is among all windows; a fold at a time."""
+        best, where = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for k, own in enumerate(members):
+            if len(own):
+                values = score(rows[k], [wins[i] for i in own])
+                ends = np.cumsum([len(wins[i]) for i in own])
+                for i, e in zip(own, ends, strict=True):
+                    part = values[e - len(wins[i]) : e]
+                    at = int(np.argmax(part))
+                    best[i], where[i] = part[at], starts[i] + at
+        return best, where
+
+    def leading(x: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+        strength = np.maximum(x[:, 0], x[:, 1])
+        return np.concatenate([np.sort(strength[w], axis=1)[:, -3:].sum(1) for w in own])
+
+    def judged(x: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+        return _doc_logits(net, net.project(x), own)[0]
+
+    def inputs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        docs = np.searchsorted(starts, places, "right") - 1
+        ids = np.stack([wins[d][p - starts[d]] for d, p in zip(docs, places, strict=True)])
+        return np.stack([rows[fold[d]][i] for d, i in zip(docs, ids, strict=True)]).transpose(1, 0, 2), ids.T > 0
+
     # at first the window with the strongest leanings stands for its document
-    strength = np.maximum(x[:, 0], x[:, 1])
-    lead = np.concatenate([np.sort(strength[flat[i : i + 8192]], axis=1)[:, -3:].sum(1) for i in range(0, len(flat), 8192)])
-    where = np.array([s + int(np.argmax(lead[s:e])) for s, e in zip(starts, starts[1:], strict=False)])
+    where = strongest(leading)[1]
     net = Network.fresh(seed)
     moment = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     positive, negative = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     for step in range(1, steps + 1):
         if step % (steps // 3) == 0 and step < steps:
-            where = _doc_logits(net, net.project(x), wins)[2]
+            where = strongest(judged)[1]
         pos, neg = rng.choice(positive, 64), rng.choice(negative, 96)
         any_of = rng.choice(negative, 32)
         take = np.concatenate([where[pos], where[neg], (starts[any_of] + rng.random(32) * (starts[any_of + 1] - starts[any_of])).astype(int)])
         target = np.r_[np.ones(64), np.zeros(128)].astype(np.float32)
-        ids = flat[take].T
-        g = net.gradient(x[ids], ids > 0, target, np.ones(192, np.float32))
+        g = net.gradient(*inputs(take), target, np.ones(192, np.float32))
         size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         for k, v in g.items():
             v = v * min(1.0, 5.0 / (size + 1e-9)) + 1e-4 * net.p[k]
             moment[k] = 0.9 * moment[k] + 0.1 * v
             square[k] = 0.99 * square[k] + 0.01 * v * v
             net.p[k] = (net.p[k] - 0.02 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    best = _doc_logits(net, net.project(x), wins)[1]
-    return Model(leanings, net, *_platt(best, y))
+    return Model(leanings, net, *_platt(strongest(judged)[0], y))
 
 
 def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
