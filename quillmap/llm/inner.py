@@ -53,7 +53,7 @@ def kth(found: np.ndarray, k: int) -> np.ndarray:
 
 
 def scan(vecs: pa.Table, queries: pa.Table, turn: np.ndarray, k: int, part: int) -> pa.Table:
-    """The k best of a block for each query, as far as they may be among its k best at all."""
+    """The k best ids of a block for each query, as far as they may be among its k best at all."""
     out: list[list[np.ndarray]] = [[], [], []]
     ids, q_ids = vecs["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
     if len(ids) and len(q_ids):
@@ -69,6 +69,7 @@ def scan(vecs: pa.Table, queries: pa.Table, turn: np.ndarray, k: int, part: int)
         rest_q = [np.sqrt((rq[:, c:] ** 2).sum(1)) for c in [0, *cuts]]
         vi, qi = v.astype(np.int64), q.astype(np.int64)
         kept_q, kept_v, kept_s = np.empty(0, int), np.empty(0, int), np.empty(0, np.int64)
+        repeated = len(np.unique(ids)) < len(ids)
         for start in range(0, len(v), CHUNK):
             stop = min(start + CHUNK, len(v))
             live = np.flatnonzero(rest_q[0] * rest_v[0][start] + slack >= least)
@@ -89,6 +90,12 @@ def scan(vecs: pa.Table, queries: pa.Table, turn: np.ndarray, k: int, part: int)
             else:
                 s = np.einsum("ij,ij->i", qi[live[i]], vi[start + j])
             kept_q, kept_v, kept_s = np.r_[kept_q, live[i]], np.r_[kept_v, start + j], np.r_[kept_s, s]
+            if repeated:
+                # an id has one place, that of its best row
+                order = np.lexsort((-kept_s, ids[kept_v], kept_q))
+                kept_q, kept_v, kept_s = kept_q[order], kept_v[order], kept_s[order]
+                once = np.r_[True, (kept_q[1:] != kept_q[:-1]) | (ids[kept_v[1:]] != ids[kept_v[:-1]])]
+                kept_q, kept_v, kept_s = kept_q[once], kept_v[once], kept_s[once]
             order = np.lexsort((ids[kept_v], -kept_s, kept_q))
             kept_q, kept_v, kept_s = kept_q[order], kept_v[order], kept_s[order]
             first = np.flatnonzero(np.r_[True, kept_q[1:] != kept_q[:-1]])
@@ -96,9 +103,7 @@ def scan(vecs: pa.Table, queries: pa.Table, turn: np.ndarray, k: int, part: int)
             kept = rank < k
             kept_q, kept_v, kept_s, rank = kept_q[kept], kept_v[kept], kept_s[kept], rank[kept]
             last = rank == k - 1
-            # an id that stands in the block twice could fill two places, so the bound is raised only by distinct ids
-            if len(np.unique(ids)) == len(ids):
-                least[kept_q[last]] = np.maximum(least[kept_q[last]], kept_s[last])
+            least[kept_q[last]] = np.maximum(least[kept_q[last]], kept_s[last])
         out = [[q_ids[kept_q]], [ids[kept_v]], [kept_s]]
     flat = [np.concatenate([np.empty(0, np.int64), *o]).astype(np.int64) for o in out]
     return pa.table({"query_id": flat[0], "vec_id": flat[1], "score": flat[2], "part": np.full(len(flat[0]), part, np.int64)})

@@ -52,6 +52,17 @@ def test_inner_edges(spark):
     assert inner.top(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_inner_hot_id(spark, monkeypatch, chunk):
+    monkeypatch.setattr(inner, "CHUNK", chunk)
+    # equal lengths lie in one block; one id more than fills its places, and the others still follow it
+    rows = [(0, [25.0, 0.0], 0)] + [(7, [[25.0, 0.0], [24.0, 7.0]][i % 2], 0) for i in range(40)]
+    rows += [(i, v, 0) for i, v in enumerate([[24.0, 7.0], [20.0, 15.0], [15.0, 20.0], [7.0, 24.0], [0.0, 25.0]], 1)]
+    want = [(0, r, i, 65536 * 25 * s) for r, (i, s) in enumerate([(7, 25), (1, 24), (2, 20), (3, 15), (4, 7)], 1)]
+    assert sorted(tuple(r) for r in inner.top(frame(spark, rows)).collect()) == want
+    assert sorted(tuple(r) for r in inner.top(frame(spark, rows[:43])).collect()) == want[:3]
+
+
 def exact(points, k=10):
     out = {}
     for q, a in points:
