@@ -135,21 +135,27 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(lists: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k nearest rows of a block to each query of it."""
+    """The k nearest ids of a block to each query of it; an id is as near as its nearest row."""
     ids, v = lists["vec_id"].to_numpy(), vectors.matrix(lists["v"])
     q_ids, q = queries["vec_id"].to_numpy(), vectors.matrix(queries["v"])
     out: list[list[np.ndarray]] = [[], [], []]
     if len(ids) and len(q_ids):
         part = hash((lists["list"][0].as_py(), lists["sub"][0].as_py())) % vectors.PARTS
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        last = min(k, len(first)) - 1
         for start in range(0, len(q), 256):
             d = distances(q[start : start + 256], v)
             d[q_ids[start : start + 256, None] == ids[None, :]] = np.inf
-            least = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            by_id = d if len(first) == len(ids) else np.minimum.reduceat(d, first, axis=1)
+            least = np.partition(by_id, last, axis=1)[:, last]
             for i, cut in enumerate(least):
                 # rounding may part equal distances: what is about as near as the last is measured exactly
                 near = np.flatnonzero((d[i] <= cut + 1e-6 * (1 + cut if np.isfinite(cut) else 0)) & np.isfinite(d[i]))
                 exact = np.sqrt(((v[near] - q[start + i]) ** 2).sum(1))
-                order = np.lexsort((ids[near], exact))[:k]
+                order = np.lexsort((ids[near], exact))
+                order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
                 out[0].append(np.full(len(order), q_ids[start + i]))
                 out[1].append(ids[near][order])
                 out[2].append(exact[order])

@@ -97,6 +97,14 @@ def test_neighbour_edges(spark):
     assert postings.search(df.limit(0)).collect() == []
 
 
+def test_neighbour_hot_id(spark):
+    # one id more than fills a block's places; the others still follow it, with their own distances
+    rows = [(0, [1.0, 1.0], 0)] + [(7, [1.0, 1.0 + (1 + i % 3) / 8], 0) for i in range(60)] + [(i, [1.0, 1.0 + i / 4], 0) for i in (*range(1, 7), *range(8, 15))]
+    got = sorted(tuple(r) for r in postings.search(frame(spark, rows)).collect())
+    assert got == [(0, r, i, s) for r, (i, s) in enumerate([(7, 0.125), *((i, i / 4) for i in (1, 2, 3, 4, 5, 6, 8, 9, 10))], 1)]
+    assert [r.vec_id for r in sorted(postings.search(frame(spark, rows[:63])).collect(), key=lambda r: r.rank)] == [7, 1, 2]
+
+
 def test_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = common.table(spark, sf, "embeddings", "vec_id", "embedding").collect()
