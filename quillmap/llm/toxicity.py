@@ -2,10 +2,14 @@
 
 A word enters the network as character and word inputs: how much its character
 n-grams and the word itself lean towards toxic documents, and a small hashed
-embedding of its n-grams. The leanings of a training document are counted on
-other folds than its own. The network reads windows of ``WINDOW`` words that
-overlap by half; a document scores as its highest window. Everything is numpy;
-the input side of the gates is multiplied out once for each distinct word.
+embedding of its n-grams. A run of word characters that is longer than
+``LETTERS``, as in text without spaces, is read as overlapping pieces of
+``PIECE`` characters that cover all of it. A piece is known by its n-grams, so
+that unspaced text is judged well only if the labelled texts hold some. The
+leanings of a training document are counted on other folds than its own. The
+network reads windows of ``WINDOW`` words that overlap by half; a document
+scores as its highest window. Everything is numpy; the input side of the gates
+is multiplied out once for each distinct word.
 
 The model is fitted on at most ``max_toxic`` plus ``max_clean`` labelled
 documents, chosen by a hash of the id, with whole texts. Scoring covers every
@@ -42,14 +46,30 @@ CACHE_WORDS = 100_000
 BATCH = 2048
 
 
-#: Lengths of the character n-grams, and how much of a word they cover.
-GRAMS, LETTERS = (4, 5), 40
+#: Lengths of the character n-grams.
+GRAMS = (4, 5)
+#: Runs over so many characters are read in pieces; lengths of a piece and of the way to the next. No n-gram falls between pieces.
+LETTERS, PIECE, STEP = 40, 16, 8
+#: Words that are coded at once.
+CODED = 50_000
 #: Odd multiplier of the rolling hashes, and one that spreads their bits.
 ROLL, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bits of the filter that says which hashes may be in a table.
 FILTER_BITS = 22
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case, long runs in pieces; the last piece ends where its run does."""
+    out = []
+    for w in TOKEN.findall((text or "").lower()):
+        if len(w) <= LETTERS:
+            out.append(w)
+        else:
+            out += [w[i : i + PIECE] for i in range(0, len(w) - PIECE, STEP)]
+            out.append(w[-PIECE:])
+    return out
+
+
 @dataclass
 class Coded:
     """Hashes of many words at once: of each word, and of its n-grams (marks ``^`` and ``$`` at the ends) with the word they are in."""
@@ -60,13 +80,13 @@ class Coded:
 
     @classmethod
     def of(cls, words: list[str]) -> Coded:
-        marked = [f"^{w[:LETTERS]}$" for w in words]
+        marked = [f"^{w}$" for w in words]
         codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         starts = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(words)), sizes)
         at = np.arange(len(codes)) - starts[owner]
-        powers = np.cumprod(np.full(LETTERS + 2, ROLL, np.uint64))
+        powers = np.cumprod(np.full(max(LETTERS + 2, sizes.max(initial=0)), ROLL, np.uint64))
         whole = np.add.reduceat(codes * powers[at], starts) * SPREAD if len(words) else np.empty(0, np.uint64)
         found, owners = [], []
         for n in GRAMS:
@@ -151,9 +171,11 @@ class Leanings:
 
     def features(self, words: list[str]) -> np.ndarray:
         """One row of inputs a word."""
+        parts = [self.coded(words[i : i + CODED]) for i in range(0, len(words), CODED)]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros((0, INPUTS), np.float32), *parts])
+
+    def coded(self, words: list[str]) -> np.ndarray:
         x = np.zeros((len(words), INPUTS), np.float32)
-        if not words:
-            return x
         coded = Coded.of(words)
         x[:, 0] = self.words.get(coded.words)
         values = self.grams.get(coded.grams)
@@ -303,7 +325,7 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 240, seed: int = 7)
     y = np.array(labels)
     # words become numbers at once: each spelling is held a single time
     vocabulary: dict[str, int] = {}
-    tokens = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in TOKEN.findall((t or "").lower())), np.int32) for t in texts]
+    tokens = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int32) for t in texts]
     names, distinct = list(vocabulary), [np.unique(ts) for ts in tokens]
     del vocabulary
     # folds by text, so that copies are in one fold, and by class in turn
@@ -443,7 +465,7 @@ class Scorer:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.empty(0)
-        tokens = [TOKEN.findall((t or "").lower()) for t in texts]
+        tokens = [words_of(t) for t in texts]
         if len(self.number) > CACHE_WORDS:
             self.clear()
         self.learn(set().union(*tokens))

@@ -68,6 +68,35 @@ def test_windows_cover_everything():
         assert w.shape[1] == toxicity.WINDOW
 
 
+def test_term_behind_the_start_of_a_run():
+    texts, labels = corpus(600)
+    texts = [t if i % 2 else "".join(t.split()) for i, t in enumerate(texts)]
+    model = toxicity.fit(texts, labels)
+    held, truth = corpus(200, seed=5)
+    clean = [r for r in ("".join(t.split()) for t, y in zip(held, truth) if not y) if len(r) > 120]
+    planted = [r[: 60 + i % 50] + ["grimlot", "vashnek", "drubble"][i % 3] + r[60 + i % 50 :] for i, r in enumerate(clean)]
+    score = toxicity.Scorer(model).score
+    assert (score(planted) >= 0.7).mean() > 0.95
+    assert (score(clean) >= 0.7).mean() < 0.03
+
+
+def test_pieces_cover_long_runs():
+    for n in (1, 39, 40, 41, 47, 48, 49, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        words = toxicity.words_of(f"Ab {run}, c")
+        assert words[0] == "ab" and words[-1] == "c" and (n > toxicity.LETTERS or words[1:-1] == [run])
+        # each n-gram of the run is whole in a piece
+        assert all(any(run[i : i + 5] in w for w in words) for i in range(max(1, n - 4)))
+
+
+def test_coded_in_parts(monkeypatch):
+    model = toxicity.fit(*corpus(60))
+    words = toxicity.words_of(" ".join(corpus(5, seed=3)[0]))
+    whole = model.leanings.features(words)
+    monkeypatch.setattr(toxicity, "CODED", 7)
+    assert (model.leanings.features(words) == whole).all() and model.leanings.features([]).shape == (0, toxicity.INPUTS)
+
+
 def test_cases(spark):
     texts, labels = corpus(120)
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, None, None), (500, "", "x"), (501, None, "x"), (502, texts[0] * 500, "x"), (0, texts[0], "x")]
