@@ -3,6 +3,9 @@
 A vocabulary trained on ordinary text covers words with few tokens and random
 strings with many. A run of key-like characters whose characters-per-token
 ratio is low is therefore reported, unless it is a known digest or identifier.
+A run that passes as a whole is tested again in parts, without the words and
+numbers that separators join to it; what patterns leave over of a run is tested
+like a run.
 
 Cases: a null text counts as empty and has no spans; repeated rows are scanned
 alike; every input row gives one output row; columns besides the id and the
@@ -32,6 +35,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs that the token test looks at.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: Parts of a run that separators join; what has fewer characters is not tested.
+PART, LEAST = re.compile(rf"{UUID.pattern}|[A-Za-z0-9]+"), 16
 HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
 #: Lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 in hex.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
@@ -81,15 +86,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def is_plain(part: str, encoder) -> bool:
+    """Numbers, UUIDs and digests, and words that the vocabulary covers."""
+    if part.isdigit() or UUID.fullmatch(part) or (HEX_ANY.fullmatch(part) and len(part) in DIGEST_LENGTHS):
+        return True
+    words = all(len(p) >= 3 and p.isalpha() and WORDY.match(p) for p in PARTS.split(part) if p)
+    return words and len(part) / len(encoder.encode_ordinary(part)) > LETTER_RATIO
+
+
+def random_parts(run: str, encoder) -> list[tuple[int, int]]:
+    """(start, end) of neighbouring parts that are no plain words and fail the token test together, or else of such parts alone."""
+    groups: list[list[tuple[int, int]]] = [[]]
+    for a, b in (m.span() for m in PART.finditer(run)):
+        # parts of one or two characters belong to a group only between others
+        if b - a <= 2:
+            groups[-1] += [(a, b)] if groups[-1] else []
+        elif is_plain(run[a:b], encoder):
+            groups.append([])
+        else:
+            groups[-1].append((a, b))
+    found = []
+    for group in groups:
+        while group and group[-1][1] - group[-1][0] <= 2:
+            group.pop()
+        tries = [[(group[0][0], group[-1][1])], group] if group else []
+        for spans in tries:
+            if bad := [(a, b) for a, b in spans if b - a >= LEAST and is_random(run[a:b], encoder)]:
+                found += bad
+                break
+    return found
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], encoder) -> list[tuple[int, int, int]]:
-    """Runs that fail the token test and touch no pattern match."""
+    """What fails the token test of runs, as far as no pattern match covers them."""
     found = []
     for m in RUN.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        if is_random(m.group(), encoder):
-            found.append((start, 3, end))
+        at, end = m.span()
+        for s, e in [*((s, e) for s, _, e in base if s < end and at < e), (end, end)]:
+            rest = text[at:s]
+            if len(rest) >= LEAST:
+                found += [(at + a, 3, at + b) for a, b in ([(0, len(rest))] if is_random(rest, encoder) else random_parts(rest, encoder))]
+            at = max(at, e)
     return found
 
 

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import string
+
+import pytest
 
 from quillmap.llm import common, secrets
 
@@ -53,3 +57,27 @@ def test_table(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in secrets.digest(secrets.scan(docs)).collect():
         assert r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return secrets.vocabulary(common.tokenizer_path("byte_bpe_50k.tiktoken"), secrets._pattern())
+
+
+@pytest.mark.parametrize("extra, least", [("", 0.98), ("+/", 0.9), ("-_", 0.9)])
+@pytest.mark.parametrize("before, after", [("", ""), ("https//hooks-example-com/services/", ""), ("production-database-backup-key-", "/latest"), ("/services/webhooks/production/incoming/", ""), ("", "_" + "0123456789abcdef" * 2)])
+def test_random_strings_behind_words(encoder, before, after, extra, least):
+    rng, found = random.Random(4), 0
+    for _ in range(300):
+        key = "".join(rng.choices(string.ascii_letters + string.digits + extra, k=24))
+        _, spans = secrets.scan_text(f"see {before}{key}{after} now", encoder)
+        at = set(range(4 + len(before), 28 + len(before)))
+        found += len(at & {i for s, k, e in spans if k == 3 for i in range(s, e)}) >= 0.9 * 24
+    assert found / 300 >= least
+
+
+def test_ordinary_joined_words(encoder):
+    text = """/usr/local/lib/python/site-packages/package_name/module_name my-very-long-branch-name/of-in-on-at-by-is-it
+    550e8400-e29b-41d4-a716-446655440000 backup-of-the-reports-2024 src/main/java/com/example/application/ConfigurationManager
+    D41D8CD98F00B204E9800998ECF8427E ==================== --------------------------- end_of_the_line/2024/report_v2_final"""
+    assert secrets.scan_text(text, encoder) == ([], [])
