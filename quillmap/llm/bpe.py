@@ -9,8 +9,10 @@ occurrences at once equals merging one at a time.
 
 Cases: a null text counts as empty (no tokens, decoded text empty); repeated
 rows are encoded alike; every input row gives one output row; special tokens
-written in a text become their own ids. Characters that came after Unicode
-15.1 are classed as Python's libraries know them.
+written in a text become their own ids. A text with a code point that Python's
+character tables do not know (unassigned, or newer than they are) is normalized
+and cut into pieces by the tokenizers library's own tables, which may know it;
+its pieces go through the same merge rounds.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillmap.llm import common
 
@@ -48,6 +51,16 @@ def byte_characters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unknown_characters() -> np.ndarray:
+    """For every code point whether Python's tables do not know it."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
+def has_unknown(text: str) -> bool:
+    return not text.isascii() and bool(unknown_characters()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+
+
 class WordBpe:
     """A BPE vocabulary with word ends, read from a tokenizers JSON file."""
 
@@ -72,6 +85,7 @@ class WordBpe:
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.library = Tokenizer.from_file(path)
         self.ids_text: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
         self.number: dict[str, int] = {}
@@ -80,15 +94,21 @@ class WordBpe:
     def pieces(self, text: str) -> list[str]:
         """The normalized pieces of a text; special tokens stay as they are, marked by a leading space."""
         if self.split_special is None or "<|" not in text:
-            return self.piece.findall(normalized(text))
+            return self.plain_pieces(text)
         out: list[str] = []
         for part in self.split_special.split(text):
             if part in self.special:
                 out.append(" " + part)
             elif part:
-                out += self.piece.findall(normalized(part))
+                out += self.plain_pieces(part)
         return out
 
+    def plain_pieces(self, text: str) -> list[str]:
+        if has_unknown(text):
+            text = self.library.normalizer.normalize_str(text)
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return self.piece.findall(normalized(text))
+
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all pieces in one array, and where each piece ends in it."""
         raw = [p.encode() for p in pieces]
