@@ -1,25 +1,37 @@
 """Substring dedup by recompression.
 
-A text's words are compressed bottom-up: first runs of one word become one
-symbol, then, round by round, pairs. Which pairs join depends on the two symbols
-alone (one half of the alphabet may only begin a pair, the other only end one),
-so equal passages get equal interior symbols wherever they stand. A symbol's
-name is a hash of what it is made of; that makes names agree in all tasks
-without a table of names.
+Spark rounds name what texts are made of. First every word gets a number that is
+the same in all texts: tasks send their distinct words to buckets, which compare
+the words themselves and number those that more than one document has; a word of
+one document only is a barrier, since no window over it can repeat elsewhere.
+The numbers are then compressed bottom-up: runs of one word become one symbol,
+then, round by round, pairs. Which pairs join depends on the two symbols alone
+(one half of the alphabet may only begin a pair, the other only end one), so
+equal passages get equal interior symbols wherever they stand.
 
 Every window of ``width`` words picks one symbol out of those that its own words
 alone determine: the one that covers most words, of these the one of lowest
-name. Two equal windows pick the same name, so a window whose pick no other
-document shares is unique. Three Spark rounds follow from this:
-
-1. each group of documents sends its picked names to buckets, which answer with
-   the names that more than one document picks;
-2. windows with a shared pick send a 96-bit hash of their words, and get back
-   the smallest id that has them, where it is smaller than the group's own;
-3. words of windows that a document of smaller id has are removed.
-
-Groups and buckets follow a hash, hold a bounded number of bytes whatever the
-input, and send each name or window once however often it repeats in them.
+name. Equal windows pick the same name. The rounds after the first:
+
+1. groups send the names that their windows pick; buckets answer which of them
+   more than one document picks;
+2. symbols of ``width`` words and more are built on, level by level up to the
+   length of the passage, from what shares its picks. Buckets compare what a
+   symbol is made of (two symbols; numbers of words where it is short) and
+   answer whether a document of smaller id has it. All words of such a symbol go
+   at once;
+3. windows that no long symbol settles send the numbers of their words, those
+   around one pick as one stretch. Buckets compare them number by number and
+   answer whether a document of smaller id has the window;
+4. words of windows that a document of smaller id has are removed.
+
+Names are 64-bit hashes, which only bring together what may be equal. Whatever
+leads to a removal has been compared by the numbers of its words, and these by
+the words: names that collide cost time, not text.
+
+Groups and buckets follow a hash and hold a bounded number of bytes whatever the
+input. A group sends each word, name, symbol or window once however often it
+repeats in it, as one row a bucket, so rows are never more than names.
 
 Cases: a null text has no words; a null id counts as larger than every id;
 rows of one id are documents that are not smaller than one another; texts
@@ -29,10 +41,13 @@ shorter than a window keep all words; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,304 +57,701 @@ NONE = U(0xFFFFFFFFFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
 #: Text bytes of a group of documents.
 GROUP_BYTES = 6 << 20
-#: Text bytes that are hashed at once.
+#: Text bytes that are cut into words at once.
 CHUNK_BYTES = 1 << 20
-#: Pair rounds, and from which on symbols may be picked.
+#: Groups whose words, names and long symbols one bucket takes.
+WORDS_SHARE, NAMES_SHARE, LONG_SHARE = 8, 2, 2
+#: Pair rounds that make picks, and from which on symbols may be picked.
 ROUNDS, FIRST_PICKED = 3, 2
+#: Pair rounds in all at most; each leaves about two thirds of the symbols, so passages of any length end before.
+LEVELS = 64
+#: Windows in a stretch.
+STRETCH = 50_000
 ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """Spread 64 bits so that each depends on all."""
+    """Spread 64 bits so that each depends on all; no two values become one."""
     x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
     return x ^ (x >> U(32))
 
 
+def firsts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new value begins in columns sorted together."""
+    if not len(sorted_columns[0]):
+        return np.empty(0, int)
+    new = np.zeros(len(sorted_columns[0]) - 1, bool)
+    for c in sorted_columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.r_[True, new])
+
+
+def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of binary values one behind the other, and each value's number of them."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    begins = offsets[:-1] - offsets[0]
+    begins = begins[begins < len(data)]
+    word = (data != 32) & ((data < 9) | (data > 13))
+    starting, ending = word.copy(), word.copy()
+    starting[1:] &= ~word[:-1]
+    ending[:-1] &= ~word[1:]
+    # a value's begin ends the word before it
+    starting[begins] = word[begins]
+    last = begins[begins > 0] - 1
+    ending[last] = word[last]
+    first, stop = np.flatnonzero(starting), np.flatnonzero(ending)
+    ends = np.cumsum(stop - first + 1)
+    places = np.searchsorted(first, offsets - offsets[0])
+    body = pa.py_buffer(data[word].tobytes())
+    return pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), body]), np.diff(places)
+
+
 class Words:
-    """The words of a group's texts, one text behind the other, as hashes."""
+    """The words of texts, one text behind the other: the distinct ones, which of them stands where, and a hash of each."""
 
-    def __init__(self, texts: pa.ChunkedArray):
+    def __init__(self, texts: pa.ChunkedArray | pa.Array):
         column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         column = column.cast(pa.large_binary())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-        hashes, counts, at = [], np.zeros(len(column), np.int64), 0
+        chunks, counts, at = [pa.array([], pa.large_binary())], [np.zeros(0, np.int64)], 0
         while at < len(column):
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
-            h, first = self._hash(data[offsets[at] : offsets[end]], offsets[at:end] - offsets[at])
-            hashes.append(h)
-            counts[at:end] = np.diff(np.r_[np.searchsorted(first, offsets[at:end] - offsets[at]), len(first)])
+            found, n = tokens(column.slice(at, end - at))
+            chunks.append(found)
+            counts.append(n)
             at = end
-        self.hash = np.concatenate([np.empty(0, U), *hashes])
-        self.counts = counts
-        self.starts = np.cumsum(counts) - counts
-        self.doc = np.repeat(np.arange(len(column), dtype=np.int32), counts)
-
-    @staticmethod
-    def _hash(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first byte of each word; a text's begin ends the word before it."""
-        word = (data != 32) & ((data < 9) | (data > 13))
-        starting = word.copy()
-        starting[1:] &= ~word[:-1]
-        inner = begins[begins < len(data)]
-        starting[inner] = word[inner]
-        first = np.flatnonzero(starting)
-        if not len(first):
-            return np.empty(0, U), first
-        body = np.flatnonzero(word)
-        owner_first = np.searchsorted(body, first)
-        sizes = np.diff(np.r_[owner_first, len(body)])
-        place = np.arange(len(body)) - np.repeat(owner_first, sizes)
+        coded = pa.chunked_array(chunks).dictionary_encode().combine_chunks()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.chunk(0)
+        self.distinct = coded.dictionary
+        self.index = coded.indices.to_numpy(zero_copy_only=False)
+        self.counts = np.concatenate(counts)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.doc = np.repeat(np.arange(len(column), dtype=np.int32), self.counts)
+
+    @cached_property
+    def names(self) -> np.ndarray:
+        """A hash of each distinct word."""
+        n = len(self.distinct)
+        if not n:
+            return np.empty(0, U)
+        offsets = np.frombuffer(self.distinct.buffers()[1], np.int64)[self.distinct.offset : self.distinct.offset + n + 1]
+        data = np.frombuffer(self.distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
         powers = np.cumprod(np.full(int(sizes.max()), ODD[0], U))
-        h = np.add.reduceat((data[body].astype(U) + U(1)) * powers[place], owner_first)
-        return mixed(h + sizes.astype(U)), first
+        h = np.add.reduceat((data.astype(U) + U(1)) * powers[place], offsets[:-1] - offsets[0])
+        return mixed(h + sizes.astype(U))
 
-    def full_windows(self, width: int) -> np.ndarray:
-        """Which words begin a window that ends in their document."""
-        left = np.repeat(self.starts + self.counts, self.counts) - np.arange(len(self.hash))
-        return left >= width
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.names[self.index]
 
 
-def picks(words: Words, width: int) -> np.ndarray:
-    """For each place the name that the window from there picks, NONE if no symbol is its own."""
-    n = len(words.hash)
-    best = np.full(n, NONE, U)
-    if not n:
-        return best
-    # runs of one word
-    same_doc = words.doc[1:] == words.doc[:-1]
-    begins = np.flatnonzero(np.r_[True, ~((words.hash[1:] == words.hash[:-1]) & same_doc)])
-    ends = np.r_[begins[1:], n]
-    size = ends - begins
-    name = words.hash[begins]
-    name = np.where(size > 1, mixed(name + size.astype(U) * ODD[1]), name)
-    start, end = begins.astype(np.int32), ends.astype(np.int32)
-    # words that say that the symbol is here: those around a run must differ from it
-    low, high = start - 1, end + 1
-    doc = words.doc[begins]
-    for level in range(1, ROUNDS + 1):
-        begins_pair = mixed(name + U(level) * ODD[2]) < U(1 << 63)
-        joined = begins_pair[:-1] & ~begins_pair[1:] & (doc[1:] == doc[:-1])
-        left = np.r_[joined, False]
-        right = np.r_[False, joined]
-        alone = ~(left | right)
-        # what stands alone does so for its neighbour's sake; a text's end stands for a neighbour
-        after_low, after_high = np.r_[low[1:], low[-1:]], np.r_[high[1:], high[-1:]]
-        before_low, before_high = np.r_[low[:1], low[:-1]], np.r_[high[:1], high[:-1]]
-        to_next = left | (alone & begins_pair)
-        to_last = alone & ~begins_pair
-        edge_next = np.r_[doc[1:] != doc[:-1], True] & to_next
-        edge_last = np.r_[True, doc[1:] != doc[:-1]] & to_last
-        new_low = np.where(to_next, np.minimum(low, after_low), np.where(to_last, np.minimum(low, before_low), low))
-        new_high = np.where(to_next, np.maximum(high, after_high), np.where(to_last, np.maximum(high, before_high), high))
-        new_low = np.where(edge_last, start - 1, np.where(edge_next, low, new_low))
-        new_high = np.where(edge_next, end + 1, np.where(edge_last, high, new_high))
-        keep = ~right
-        after = np.r_[name[1:], name[-1:]]
-        pair = mixed(name * ODD[0] + (after ^ U(level)) * ODD[1])
-        new_end = np.where(left, np.r_[end[1:], end[-1:]], end)
-        name, start, end = np.where(left, pair, name)[keep], start[keep], new_end[keep]
-        low, high, doc = new_low[keep], new_high[keep], doc[keep]
-        if level < FIRST_PICKED:
-            continue
-        fits = np.flatnonzero(high - low <= width)
-        key = (U(15) - np.minimum(end[fits] - start[fits], 15).astype(U)) << U(60) | name[fits] >> U(4)
-        at, least, most = start[fits], (start - low)[fits], width - (high - start)[fits]
-        for back in range(int(least.min(initial=0)), int(most.max(initial=-1)) + 1):
-            here = (least <= back) & (back <= most)
-            places = at[here] - back
-            best[places] = np.minimum(best[places], key[here])
-    return best
-
-
-def window_hashes(words: Words, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of the word sequences of the windows that begin there."""
-    h, c = np.zeros(len(places), U), np.zeros(len(places), U)
-    for k in range(width):
-        w = words.hash[places + k]
-        h = (h ^ w) * ODD[0]
-        h ^= h >> U(31)
-        c = (c + w) * ODD[1]
-    return mixed(h), (mixed(c) >> U(32)).astype(np.uint32)
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in four bytes where they fit, with a leading byte that tells."""
+    small = not len(x) or (x.min() >= 0 and x.max() < 1 << 32)
+    return (b"4" + x.astype(np.uint32).tobytes()) if small else b"8" + x.astype(np.int64).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[1:], np.uint32 if raw[:1] == b"4" else np.int64).astype(np.int64)
+
+
+def bits(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes()
+
+
+def flags(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def in_order(group: pa.Table) -> pa.Table:
+    """The rows in an order that does not hang on how they came."""
+    return group.take(pc.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_end"))
 
 
 def ids_of(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def dealt(bucket: np.ndarray, *columns: np.ndarray):
-    """(bucket, its part of each column), for each bucket that has any."""
+def by_bucket(bucket: np.ndarray):
+    """(bucket, places of its entries) in an order that entries of a bucket keep."""
     order = np.argsort(bucket, kind="stable")
-    sorted_buckets = bucket[order]
-    cuts = firsts(sorted_buckets)
+    cuts = firsts(bucket[order])
     for start, end in zip(cuts, [*cuts[1:], len(order)][: len(cuts)], strict=True):
-        yield int(sorted_buckets[start]), *(c[order[start:end]] for c in columns)
+        yield int(bucket[order[start]]), order[start:end]
 
 
-def firsts(*sorted_columns: np.ndarray) -> np.ndarray:
-    """Where a new value begins in columns sorted together."""
-    if not len(sorted_columns[0]):
-        return np.empty(0, int)
-    new = np.zeros(len(sorted_columns[0]) - 1, bool)
-    for c in sorted_columns:
-        new |= c[1:] != c[:-1]
-    return np.flatnonzero(np.r_[True, new])
+#: What a group sends to a bucket, and what comes back: one row a bucket and group.
+SENT = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+REPLY = pa.schema([("g", pa.int64()), ("round", pa.int32()), ("bucket", pa.int64()), ("found", pa.binary())])
+STATE = pa.schema([("g", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())])
+GONE = pa.schema([("g", pa.int64()), ("gone", pa.binary())])
+SPARK = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {SPARK[f.type]}" for f in schema)
 
 
 def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-NAMES = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("names", pa.binary()), ("twice", pa.binary())])
-WINDOWS = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("h", pa.binary()), ("c", pa.binary()), ("ids", pa.binary())])
-#: What a round's answer holds.
-SHARED, SMALLER = pa.schema([("g", pa.int64()), ("names", pa.binary())]), pa.schema([("g", pa.int64()), ("h", pa.binary()), ("c", pa.binary()), ("ids", pa.binary())])
-SPARK = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+def replies_of(replies: pa.Table, turn: int) -> dict[int, bytes]:
+    """A round's answers to a group, by bucket."""
+    return {b: f for r, b, f in zip(replies["round"].to_pylist(), replies["bucket"].to_pylist(), replies["found"].to_pylist(), strict=True) if r == turn}
 
 
-def ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {SPARK[f.type]}" for f in schema)
+# -- words ---------------------------------------------------------------------
+
+
+def dealt_words(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words' buckets, and the words by bucket and spelling."""
+    bucket = (words.names % U(buckets)).astype(np.int64)
+    rank = np.empty(len(bucket), np.int64)
+    rank[pc.sort_indices(words.distinct).to_numpy()] = np.arange(len(bucket))
+    return bucket, np.lexsort((rank, bucket))
+
+
+def send_words(group: pa.Table, buckets: int) -> pa.Table:
+    """Each distinct word of a group, with whether two of its documents have it."""
+    words = Words(in_order(group)["text"])
+    if not len(words.index):
+        return SENT.empty_table()
+    first, last = np.empty((2, len(words.distinct)), np.int32)
+    last[words.index] = words.doc
+    first[words.index[::-1]] = words.doc[::-1]
+    bucket, order = dealt_words(words, buckets)
+    g, out, spelled = group["g"][0].as_py(), [], words.distinct.take(pa.array(order)).to_pylist()
+    for b, at in by_bucket(bucket[order]):
+        out.append((b, g, b" ".join(spelled[at[0] : at[-1] + 1]), bits((first != last)[order[at]]), None, None))
+    return rows_of(SENT, out)
+
+
+def number_words(sent: pa.Table, buckets: int) -> pa.Table:
+    """For each group the numbers of the words that it sent, 0 for those of one document; numbers follow the spelling."""
+    words = Words(sent["a"])
+    n = len(words.distinct)
+    shared = np.bincount(words.index, minlength=n) > 1
+    twice = np.concatenate([flags(x, c) for x, c in zip(sent["b"].to_pylist(), words.counts.tolist(), strict=True)])
+    shared[words.index[twice]] = True
+    order = pc.sort_indices(words.distinct).to_numpy()
+    number, bucket = np.zeros(n, np.int64), sent["bucket"][0].as_py()
+    held = order[shared[order]]
+    number[held] = np.arange(len(held)) * buckets + bucket + 1
+    flat = number[words.index]
+    ends = np.cumsum(words.counts)
+    return rows_of(REPLY, [(g, 0, bucket, packed(flat[e - c : e])) for g, c, e in zip(sent["g"].to_pylist(), words.counts.tolist(), ends.tolist(), strict=True)])
+
+
+def numbered(group: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    """A group's documents as numbers of words."""
+    if not group.num_rows:
+        return STATE.empty_table()
+    group = in_order(group)
+    words, found = Words(group["text"]), replies_of(replies, 0)
+    number = np.zeros(len(words.distinct), np.int64)
+    if len(number):
+        bucket, order = dealt_words(words, buckets)
+        number[order] = np.concatenate([unpacked(found[b]) for b, _ in by_bucket(bucket[order])])
+    return rows_of(STATE, [(group["g"][0].as_py(), ids_of(group["doc_id"]).tobytes(), packed(words.counts), packed(number[words.index]))])
+
+
+# -- symbols -------------------------------------------------------------------
+
+
+@dataclass
+class Symbols:
+    """Symbols in text order: names, the words [start, end) that they stand for, and which stretch of shared words they are in."""
+
+    name: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    part: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.name)
+
+
+class Group:
+    """A group's numbers of words, and what follows from them alone."""
+
+    def __init__(self, state: pa.Table, width: int):
+        self.g, self.width = state["g"][0].as_py(), width
+        self.ids = np.frombuffer(state["ids"][0].as_py(), np.int64)
+        self.counts, self.codes = unpacked(state["counts"][0].as_py()), unpacked(state["codes"][0].as_py()).astype(U)
+        n = len(self.codes)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.counts)
+        barrier = self.codes == 0
+        new = np.r_[True, (self.doc[1:] != self.doc[:-1]) | barrier[1:] | barrier[:-1]][:n]
+        self.part = np.cumsum(new).astype(np.int32)
+        ends = np.r_[np.flatnonzero(new)[1:], n]
+        left = (ends[self.part - 1] if n else ends) - np.arange(n)
+        self.windows = np.flatnonzero((left >= width) & ~barrier)
+        self.names = mixed(self.codes)
+
+    def own(self, places: np.ndarray) -> np.ndarray:
+        return self.ids[self.doc[places]]
+
+    def runs(self) -> Symbols:
+        n = len(self.codes)
+        begins = np.flatnonzero(np.r_[True, (self.codes[1:] != self.codes[:-1]) | (self.part[1:] != self.part[:-1])][:n])
+        ends = np.r_[begins[1:], n][: len(begins)]
+        size, name = ends - begins, self.names[begins]
+        name = np.where(size > 1, mixed(name + size.astype(U) * ODD[1]), name)
+        return Symbols(name, begins.astype(np.int32), ends.astype(np.int32), self.part[begins])
+
+    def picks(self) -> np.ndarray:
+        """For each place the name that the window from there picks, NONE if no symbol is its own."""
+        width = self.width
+        best = np.full(len(self.codes), NONE, U)
+        if not len(self.windows):
+            return best
+        s = self.runs()
+        name, start, end, part = s.name, s.start, s.end, s.part
+        # words that say that the symbol is here: those around a run must differ from it
+        low, high = start - 1, end + 1
+        for level in range(1, ROUNDS + 1):
+            begins_pair, joined = joins(name, part, level)
+            left = np.r_[joined, False]
+            right = np.r_[False, joined]
+            alone = ~(left | right)
+            # what stands alone does so for its neighbour's sake; a stretch's end stands for a neighbour
+            after_low, after_high = np.r_[low[1:], low[-1:]], np.r_[high[1:], high[-1:]]
+            before_low, before_high = np.r_[low[:1], low[:-1]], np.r_[high[:1], high[:-1]]
+            to_next = left | (alone & begins_pair)
+            to_last = alone & ~begins_pair
+            edge_next = np.r_[part[1:] != part[:-1], True] & to_next
+            edge_last = np.r_[True, part[1:] != part[:-1]] & to_last
+            new_low = np.where(to_next, np.minimum(low, after_low), np.where(to_last, np.minimum(low, before_low), low))
+            new_high = np.where(to_next, np.maximum(high, after_high), np.where(to_last, np.maximum(high, before_high), high))
+            new_low = np.where(edge_last, start - 1, np.where(edge_next, low, new_low))
+            new_high = np.where(edge_next, end + 1, np.where(edge_last, high, new_high))
+            keep = ~right
+            pair = pair_names(name, np.r_[name[1:], name[-1:]], level)
+            new_end = np.where(left, np.r_[end[1:], end[-1:]], end)
+            name, start, end = np.where(left, pair, name)[keep], start[keep], new_end[keep]
+            low, high, part = new_low[keep], new_high[keep], part[keep]
+            if level < FIRST_PICKED:
+                continue
+            fits = np.flatnonzero(high - low <= width)
+            key = (U(15) - np.minimum(end[fits] - start[fits], 15).astype(U)) << U(60) | name[fits] >> U(4)
+            at, least, most = start[fits], (start - low)[fits], width - (high - start)[fits]
+            for back in range(int(least.min(initial=0)), int(most.max(initial=-1)) + 1):
+                here = (least <= back) & (back <= most)
+                places = at[here] - back
+                best[places] = np.minimum(best[places], key[here])
+        return best
 
+    def hashes(self, places: np.ndarray) -> np.ndarray:
+        return window_hashes(self.names, places, self.width)
+
+
+def joins(name: np.ndarray, part: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which symbols may only begin a pair in this round, and which join the one behind them."""
+    begins_pair = mixed(name + np.array([level], U) * ODD[2]) < U(1 << 63)
+    return begins_pair, begins_pair[:-1] & ~begins_pair[1:] & (part[1:] == part[:-1])
+
+
+def apart(start: np.ndarray, end: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which symbols do not follow on the one before them."""
+    return np.r_[True, (part[1:] != part[:-1]) | (start[1:] != end[:-1])][: len(part)]
+
+
+def pair_names(left: np.ndarray, right: np.ndarray, level: int) -> np.ndarray:
+    return mixed(left * ODD[0] + (right ^ U(level)) * ODD[1])
+
+
+def window_hashes(names: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    h = np.zeros(len(places), U)
+    for k in range(width):
+        h = (h ^ names[places + k]) * ODD[0]
+        h ^= h >> U(31)
+    return mixed(h)
 
-def send_names(group: pa.Table, width: int, buckets: int) -> pa.Table:
-    """Round 1: the names that a group's windows pick, each once, with whether two of its documents do."""
-    g, ids, words = group["g"][0].as_py(), ids_of(group["doc_id"]), Words(group["text"])
-    best = picks(words, width)
-    at = np.flatnonzero(words.full_windows(width) & (best != NONE))
+
+def same_words(codes: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    out = np.ones(len(a), bool)
+    for k in range(width):
+        out &= codes[a + k] == codes[b + k]
+    return out
+
+
+# -- round 1: picks ------------------------------------------------------------
+
+
+def picked_names(group: Group, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names that windows pick, and whether windows of two documents do."""
+    at = group.windows[best[group.windows] != NONE]
     order = at[np.argsort(best[at], kind="stable")]
-    names, docs = best[order], words.doc[order]
+    names, docs = best[order], group.doc[order]
     begin = firsts(names)
     if not len(begin):
-        return NAMES.empty_table()
+        return np.empty(0, U), np.empty(0, bool)
     # places of a name are in order of text, so its first and last text tell
-    twice = docs[begin] != docs[np.r_[begin[1:], len(docs)] - 1]
-    names = names[begin]
-    return rows_of(NAMES, [(b, g, n.tobytes(), np.packbits(t).tobytes()) for b, n, t in dealt((mixed(names) % U(buckets)).astype(np.int64), names, twice)])
+    return names[begin], docs[begin] != docs[np.r_[begin[1:], len(docs)] - 1]
+
+
+def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(names) % U(buckets)).astype(np.int64)
+
+
+def send_names(state: pa.Table, width: int, buckets: int) -> pa.Table:
+    group = Group(state, width)
+    names, twice = picked_names(group, group.picks())
+    return rows_of(SENT, [(b, group.g, names[at].tobytes(), bits(twice[at]), None, None) for b, at in by_bucket(bucket_of(names, buckets))])
 
 
-def shared_names(bucket: pa.Table) -> pa.Table:
-    """The names that stand in two groups or twice in one, for each group that sent them."""
-    sent = [np.frombuffer(x.as_buffer(), U) for x in bucket["names"]]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(s)).astype(bool) for x, s in zip(bucket["twice"], sent, strict=True)])
-    flat = np.concatenate(sent)
+def shared_names(sent: pa.Table) -> pa.Table:
+    """For each group which of its names stand in two groups or twice in one."""
+    parts = [np.frombuffer(x, U) for x in sent["a"].to_pylist()]
+    twice = np.concatenate([flags(x, len(p)) for x, p in zip(sent["b"].to_pylist(), parts, strict=True)])
+    flat = np.concatenate(parts)
     order = np.argsort(flat, kind="stable")
     begin = firsts(flat[order])
     sizes = np.diff(np.r_[begin, len(flat)])
     shared = np.zeros(len(flat), bool)
     shared[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(twice[order], begin), sizes)
-    out, at = [], 0
-    for g, s in zip(bucket["g"].to_pylist(), sent, strict=True):
-        found = s[shared[at : at + len(s)]]
-        at += len(s)
-        if len(found):
-            out.append((g, found.tobytes()))
-    return rows_of(SHARED, out)
-
-
-def send_windows(group: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table:
-    """Round 2: the windows with a shared pick, or none, each once with its smallest id."""
-    if not group.num_rows:
-        return WINDOWS.empty_table()
-    g, ids, words = group["g"][0].as_py(), ids_of(group["doc_id"]), Words(group["text"])
-    shared = np.sort(np.concatenate([np.empty(0, U), *(np.frombuffer(x.as_buffer(), U) for x in answers["names"])]))
-    best = picks(words, width)
-    at = np.flatnonzero(words.full_windows(width))
-    pick = best[at]
-    where = np.searchsorted(shared, pick)
-    where[where == len(shared)] = 0
-    at = at[(pick == NONE) | (shared[where] == pick)] if len(shared) else at[pick == NONE]
-    h, c = window_hashes(words, at, width)
-    own = ids[words.doc[at]]
-    order = np.lexsort((own, c, h))
-    h, c, own = h[order], c[order], own[order]
-    begin = firsts(h, c)
-    h, c, own = h[begin], c[begin], own[begin]
-    return rows_of(WINDOWS, [(b, g, x.tobytes(), y.tobytes(), packed(z)) for b, x, y, z in dealt((h % U(buckets)).astype(np.int64), h, c, own)])
-
-
-def packed(ids: np.ndarray) -> bytes:
-    """Ids in four bytes where they fit, with a leading byte that tells."""
-    small = not len(ids) or (ids.min() >= 0 and ids.max() < 1 << 32)
-    return (b"4" + ids.astype(np.uint32).tobytes()) if small else b"8" + ids.tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw[1:], np.uint32 if raw[:1] == b"4" else np.int64).astype(np.int64)
+    return answers(sent, 1, shared, [len(p) for p in parts])
+
+
+def answers(sent: pa.Table, turn: int, found: np.ndarray, sizes: list[int]) -> pa.Table:
+    """Bits for each group that sent something, in the order in which it did."""
+    ends = np.cumsum(sizes).tolist()
+    return rows_of(REPLY, [(g, turn, b, bits(found[e - n : e])) for g, b, n, e in zip(sent["g"].to_pylist(), sent["bucket"].to_pylist(), sizes, ends, strict=True) if found[e - n : e].any()])
+
+
+def heard(replies: dict[int, bytes], bucket: np.ndarray) -> np.ndarray:
+    """A round's bits, put back where what was sent stands."""
+    out = np.zeros(len(bucket), bool)
+    for b, at in by_bucket(bucket):
+        if b in replies:
+            out[at] = flags(replies[b], len(at))
+    return out
+
+
+def open_windows(group: Group, best: np.ndarray, replies: pa.Table, buckets: int) -> np.ndarray:
+    """The windows whose pick another document picks too, or that pick none."""
+    names, _ = picked_names(group, best)
+    shared = names[heard(replies_of(replies, 1), bucket_of(names, buckets))]
+    pick = best[group.windows]
+    hit = pick == NONE
+    if len(shared):
+        where = np.minimum(np.searchsorted(shared, pick), len(shared) - 1)
+        hit |= shared[where] == pick
+    return group.windows[hit]
+
+
+# -- round 2: long symbols -----------------------------------------------------
+
+
+@dataclass
+class Long:
+    """Symbols of ``width`` words and more of a group, and the shorter ones that they are made of.
+
+    A long one is known by two names (of a run: the word's and how often), a
+    short one by its words.
+    """
+
+    name: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    long: np.ndarray
+
+
+def long_symbols(group: Group, places: np.ndarray) -> Long:
+    """All symbols of ``width`` words or more, and their shorter halves, within what the windows at ``places`` cover."""
+    n, width = len(group.codes), group.width
+    marks = np.zeros(n + 1, np.int32)
+    marks[places] = 1
+    # a symbol of w words holds w - width + 1 windows; all must be among the places
+    upto = np.r_[0, np.cumsum(marks)]
+    s, covered = group.runs(), np.r_[0, np.cumsum(np.convolve(marks[:-1], np.ones(width, np.int32))[:n] > 0)] if n else np.zeros(1, int)
+    keep = covered[s.end] - covered[s.start] == s.end - s.start
+    name, start, end, part = s.name[keep], s.start[keep], s.end[keep], s.part[keep]
+    part = np.cumsum(apart(start, end, part)).astype(np.int32)
+
+    def inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size = b - a
+        whole = size >= width
+        return whole & (upto[np.where(whole, b - width + 1, 0)] - upto[np.where(whole, a, 0)] == size - width + 1)
+
+    found: list[tuple[np.ndarray, ...]] = []
+    runs = np.flatnonzero(inside(start, end))
+    found.append((name[runs], group.names[start[runs]], (end - start)[runs].astype(U), start[runs], end[runs], np.ones(len(runs), bool)))
+    for level in range(1, LEVELS + 1):
+        if len(name) < 2:
+            break
+        joined = joins(name, part, level)[1]
+        if level > ROUNDS and not joined.any():
+            # symbols without a neighbour in their stretch are done
+            if not (part[1:] == part[:-1]).any():
+                break
+            continue
+        at = np.flatnonzero(joined)
+        pair = pair_names(name[at], name[at + 1], level)
+        good = inside(start[at], end[at + 1])
+        a = at[good]
+        found.append((pair[good], name[a], name[a + 1], start[a], end[a + 1], np.ones(len(a), bool)))
+        for side in (a, a + 1):
+            short = side[(end - start)[side] < width]
+            found.append((name[short], name[short], name[short], start[short], end[short], np.zeros(len(short), bool)))
+        keep = np.ones(len(name), bool)
+        keep[at + 1] = False
+        name[at], end[at] = pair, end[at + 1]
+        name, start, end, part = name[keep], start[keep], end[keep], part[keep]
+        if level >= ROUNDS:
+            # nothing long will hold what is not covered
+            live = (end - start < width) | inside(start, end)
+            name, start, end, part = name[live], start[live], end[live], part[live]
+            part = np.cumsum(apart(start, end, part)).astype(np.int32)
+    return Long(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+
+def distinct_symbols(group: Group, symbols: Long) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One symbol for each (name, made of) of the group, its smallest id, and for each symbol which of these it is.
+
+    Short symbols of one name whose words differ stay apart.
+    """
+    own = group.own(symbols.start)
+    size = (symbols.end - symbols.start).astype(np.int64)
+    order = np.lexsort((own, size, symbols.right, symbols.left, symbols.name, symbols.long))
+    keys = [c[order] for c in (symbols.long, symbols.name, symbols.left, symbols.right, size)]
+    begin = firsts(*keys)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
+    head = order[begin]
+    short = np.flatnonzero(~symbols.long)
+    if len(short):
+        # compare the words of a short one with those of its first
+        a, b, most = symbols.start[short], symbols.start[head[number[short]]], int(size[short].max())
+        differ = np.zeros(len(short), bool)
+        for k in range(most):
+            here = size[short] > k
+            differ[here] |= group.codes[a[here] + k] != group.codes[b[here] + k]
+        alone = short[differ]
+        number[alone] = len(head) + np.arange(len(alone))
+        head = np.concatenate([head, alone])
+    return head, own[head], number
+
+
+def send_long(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int, int]) -> pa.Table:
+    if not state.num_rows:
+        return SENT.empty_table()
+    group = Group(state, width)
+    symbols = long_symbols(group, open_windows(group, group.picks(), replies, buckets[0]))
+    head, ids, _ = distinct_symbols(group, symbols)
+    out = []
+    for b, at in by_bucket(bucket_of(symbols.name[head], buckets[1])):
+        h = head[at]
+        short = h[~symbols.long[h]]
+        sizes = symbols.end[short] - symbols.start[short]
+        places = np.repeat(symbols.start[short] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        # a long symbol's name follows from what it is made of, a short one's words are sent for it
+        made = np.concatenate([symbols.name[h], symbols.left[h][symbols.long[h]], symbols.right[h][symbols.long[h]]])
+        kind = np.where(symbols.long[h], 0, symbols.end[h] - symbols.start[h]).astype(np.uint16)
+        out.append((b, group.g, made.tobytes(), kind.tobytes(), packed(group.codes[places]), packed(ids[at])))
+    return rows_of(SENT, out)
+
+
+def settled_symbols(sent: pa.Table) -> pa.Table:
+    """For each group two bits a symbol: whether its name means one thing only, and whether a smaller id than the group's has it."""
+    names, made, ids, sizes = [], [], [], []
+    for a, b, c, d in zip(*(sent[x].to_pylist() for x in "abcd"), strict=True):
+        kind, flat, codes = np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(a, U), unpacked(c)
+        n, n_long = len(kind), int((kind == 0).sum())
+        content = np.zeros((n, 3), U)
+        content[kind == 0, 1], content[kind == 0, 2] = flat[n : n + n_long], flat[n + n_long :]
+        names.append(flat[:n])
+        made.append((kind, content, codes))
+        ids.append(unpacked(d))
+        sizes.append(n)
+    flat_names, flat_ids = np.concatenate(names), np.concatenate(ids)
+    kind = np.concatenate([m[0] for m in made])
+    content = np.concatenate([m[1] for m in made])
+    codes = np.concatenate([m[2] for m in made])
+    begins = np.cumsum(kind) - kind
+    order = np.lexsort((flat_ids, flat_names))
+    begin = firsts(flat_names[order])
+    runs = np.diff(np.r_[begin, len(order)])
+    head = np.empty(len(order), np.int64)
+    head[order] = np.repeat(order[begin], runs)
+    alike = (kind == kind[head]) & (content == content[head]).all(1)
+    for k in range(int(kind.max(initial=0))):
+        here = np.flatnonzero(kind > k)
+        both = here[kind[head[here]] > k]
+        alike[both] &= codes[begins[both] + k] == codes[begins[head[both]] + k]
+    one = np.empty(len(order), bool)
+    one[order] = np.repeat(np.logical_and.reduceat(alike[order], begin), runs)
+    less = flat_ids[head] < flat_ids
+    both = np.stack([one, less], 1).ravel()
+    return answers(sent, 2, both, [2 * n for n in sizes])
+
+
+def settled(group: Group, symbols: Long, replies: pa.Table, buckets: int) -> np.ndarray:
+    """Which windows lie in a long symbol that a smaller id has, whose every part means one thing."""
+    head, ids, number = distinct_symbols(group, symbols)
+    bucket = bucket_of(symbols.name[head], buckets)
+    found = heard(replies_of(replies, 2), np.repeat(bucket, 2)).reshape(-1, 2) if len(head) else np.empty((0, 2), bool)
+    sound, less = found[number, 0], found[number, 1] | (ids[number] < group.own(symbols.start))
+    n = len(group.codes)
+    # a part that is not sound spoils the symbols that hold it
+    spoilt = np.cumsum(np.r_[0, np.bincount(symbols.start[~sound], minlength=n)])
+    clean = spoilt[symbols.end] == spoilt[symbols.start]
+    use = np.flatnonzero(symbols.long & clean & less)
+    marks = np.zeros(n + 1, np.int64)
+    np.add.at(marks, symbols.start[use], 1)
+    np.add.at(marks, symbols.end[use] - group.width + 1, -1)
+    return np.cumsum(marks[:-1]) > 0
 
 
-def smaller_ids(bucket: pa.Table) -> pa.Table:
-    """For each group the windows that a smaller id than its own has, with that id."""
-    hs = [np.frombuffer(x.as_buffer(), U) for x in bucket["h"]]
-    h, c = np.concatenate(hs), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in bucket["c"]])
-    ids = np.concatenate([unpacked(x.as_py()) for x in bucket["ids"]])
-    order = np.lexsort((ids, c, h))
-    begin = firsts(h[order], c[order])
-    least = np.empty(len(ids), np.int64)
-    least[order] = np.repeat(ids[order][begin], np.diff(np.r_[begin, len(ids)]))
-    out, at = [], 0
-    for g, s in zip(bucket["g"].to_pylist(), hs, strict=True):
-        part = slice(at, at + len(s))
-        at += len(s)
-        less = least[part] < ids[part]
-        if less.any():
-            out.append((g, s[less].tobytes(), c[part][less].tobytes(), packed(least[part][less])))
-    return rows_of(SMALLER, out)
-
-
-def covered(words: Words, ids: np.ndarray, answers: pa.Table, width: int) -> np.ndarray:
-    """Which words lie in a window that a document of smaller id has."""
-    at = np.flatnonzero(words.full_windows(width))
-    h, c = window_hashes(words, at, width)
-    own = ids[words.doc[at]]
-    # the answers join the group's own windows, so that the first of equal ones has the smallest id of all
-    h = np.concatenate([h, *(np.frombuffer(x.as_buffer(), U) for x in answers["h"])])
-    c = np.concatenate([c, *(np.frombuffer(x.as_buffer(), np.uint32) for x in answers["c"])])
-    known = np.concatenate([own, *(unpacked(x.as_py()) for x in answers["ids"])])
-    order = np.lexsort((known, c, h))
-    begin = firsts(h[order], c[order])
-    least = np.empty(len(known), np.int64)
-    least[order] = np.repeat(known[order][begin], np.diff(np.r_[begin, len(known)]))
-    least = least[: len(at)]
-    gone = at[least < own]
-    marks = np.zeros(len(words.hash) + 1, np.int64)
+# -- round 3: windows ----------------------------------------------------------
+
+
+@dataclass
+class Stretches:
+    """What a group asks: windows once each (``heads``, in stretches, by bucket) and which of them each open window is."""
+
+    open: np.ndarray
+    head_of: np.ndarray
+    heads: np.ndarray
+    own: np.ndarray
+    bucket: np.ndarray
+    cuts: np.ndarray
+
+
+def stretches(group: Group, best: np.ndarray, places: np.ndarray, buckets: int) -> Stretches:
+    h, own = group.hashes(places), group.own(places)
+    order = np.lexsort((places, own, h))
+    begin = firsts(h[order])
+    first = np.empty(len(places), np.int64)
+    first[order] = np.repeat(order[begin], np.diff(np.r_[begin, len(order)]))
+    # windows of one hash whose words differ stand for themselves
+    first = np.where(same_words(group.codes, places, places[first], group.width), first, np.arange(len(places)))
+    at = np.unique(first)
+    bucket = bucket_of(np.where(best[places[at]] != NONE, best[places[at]], h[at]), buckets)
+    order = np.lexsort((places[at], bucket))
+    at, bucket = at[order], bucket[order]
+    heads, ids = places[at], own[at]
+    new = np.r_[True, (bucket[1:] != bucket[:-1]) | (heads[1:] != heads[:-1] + 1) | (ids[1:] != ids[:-1])][: len(at)]
+    # no stretch is longer than STRETCH
+    run = np.flatnonzero(new)
+    since = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+    number = np.empty(len(places), np.int64)
+    number[at] = np.arange(len(at))
+    return Stretches(places, number[first], heads, ids, bucket, np.flatnonzero(since % STRETCH == 0))
+
+
+def asked(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int, int, int]) -> tuple[Group, Stretches, np.ndarray]:
+    """What round 3 asks, and the windows that are settled without it."""
+    group = Group(state, width)
+    best = group.picks()
+    places = open_windows(group, best, replies, buckets[0])
+    done = settled(group, long_symbols(group, places), replies, buckets[1])
+    return group, stretches(group, best, places[~done[places]], buckets[2]), np.flatnonzero(done)
+
+
+def send_windows(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int, int, int]) -> pa.Table:
+    if not state.num_rows:
+        return SENT.empty_table()
+    group, s, _ = asked(state, replies, width, buckets)
+    sizes = np.diff(np.r_[s.cuts, len(s.heads)])
+    out = []
+    for b, at in by_bucket(s.bucket[s.cuts]):
+        n = sizes[at]
+        span = n + width - 1
+        places = np.repeat(s.heads[s.cuts[at]] - np.cumsum(span) + span, span) + np.arange(span.sum())
+        out.append((b, group.g, n.astype(np.uint16).tobytes(), packed(s.own[s.cuts[at]]), packed(group.codes[places]), None))
+    return rows_of(SENT, out)
+
+
+def smaller_ids(sent: pa.Table, width: int) -> pa.Table:
+    """For each group which of its windows a smaller id than its own has; windows are compared word by word."""
+    sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in sent["a"].to_pylist()]
+    n = np.concatenate(sizes)
+    ids = np.repeat(np.concatenate([unpacked(x) for x in sent["b"].to_pylist()]), n)
+    codes = np.concatenate([unpacked(x) for x in sent["c"].to_pylist()]).astype(U)
+    span = n + width - 1
+    places = np.repeat(np.cumsum(span) - span - np.cumsum(n) + n, n) + np.arange(n.sum())
+    h = window_hashes(mixed(codes), places, width)
+    order = np.lexsort((ids, h))
+    begin = firsts(h[order])
+    head = np.repeat(order[begin], np.diff(np.r_[begin, len(order)]))
+    if not same_words(codes, places[order], places[head], width).all():
+        # two windows of one hash: sort by the words themselves
+        columns = [codes[places + k] for k in range(width)]
+        order = np.lexsort((ids, *columns))
+        begin = firsts(*(c[order] for c in columns))
+        head = np.repeat(order[begin], np.diff(np.r_[begin, len(order)]))
+    less = np.empty(len(ids), bool)
+    less[order] = ids[head] < ids[order]
+    return answers(sent, 3, less, [int(x.sum()) for x in sizes])
+
+
+def gone_words(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int, int, int]) -> pa.Table:
+    """The words of a group that lie in a window which a document of smaller id has."""
+    if not state.num_rows:
+        return GONE.empty_table()
+    group, s, done = asked(state, replies, width, buckets)
+    less = heard(replies_of(replies, 3), s.bucket)
+    gone = np.concatenate([done, s.open[less[s.head_of] | (s.own[s.head_of] < group.own(s.open))]])
+    if not len(gone):
+        return GONE.empty_table()
+    marks = np.zeros(len(group.codes) + 1, np.int64)
     np.add.at(marks, gone, 1)
     np.add.at(marks, gone + width, -1)
-    return np.cumsum(marks[:-1]) > 0
+    return rows_of(GONE, [(group.g, bits(np.cumsum(marks[:-1]) > 0))])
 
 
 #: What ``dedup`` can return besides the id.
 OUTPUTS = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string()}
 
 
-def finish(group: pa.Table, answers: pa.Table, width: int, outputs: tuple[str, ...]) -> pa.Table:
-    """Round 3: what is left of each document, words joined by one space."""
+def finish(group: pa.Table, found: pa.Table, outputs: tuple[str, ...]) -> pa.Table:
+    """What is left of each document, words joined by one space."""
     schema = pa.schema([("doc_id", pa.int64()), *((n, OUTPUTS[n]) for n in outputs)])
     if not group.num_rows:
         return schema.empty_table()
-    words = Words(group["text"])
-    gone = covered(words, ids_of(group["doc_id"]), answers, width)
-    removed = np.add.reduceat(np.r_[gone, False].astype(np.int64), np.minimum(words.starts, len(gone))) * (words.counts > 0)
-    found: dict[str, list] = {n: [] for n in outputs}
-    texts = group["text"].combine_chunks().cast(pa.binary())
-    for i, (start, count, n) in enumerate(zip(words.starts.tolist(), words.counts.tolist(), removed.tolist(), strict=True)):
+    group = in_order(group)
+    texts, out, at = group["text"].combine_chunks().cast(pa.binary()), {n: [] for n in outputs}, 0
+    gone = np.unpackbits(np.frombuffer(found["gone"][0].as_py(), np.uint8)).astype(bool) if found.num_rows else None
+    for i in range(group.num_rows):
         parts = (texts[i].as_py() or b"").split()
-        kept = b" ".join(compress(parts, (~gone[start : start + count]).tolist()) if n else parts)
+        count, n = len(parts), 0
+        if gone is not None and (n := int((mine := gone[at : at + count]).sum())):
+            parts = compress(parts, (~mine).tolist())
+        at += count
+        kept = b" ".join(parts)
         for name, value in (("n_words", count), ("n_removed", n), ("kept", kept), ("kept_sha256", kept)):
-            if name in found:
-                found[name].append(hashlib.sha256(value).hexdigest() if name == "kept_sha256" else value.decode() if name == "kept" else value)
-    return pa.Table.from_arrays([group["doc_id"].combine_chunks(), *(pa.array(found[n], OUTPUTS[n]) for n in outputs)], schema=schema)
+            if name in out:
+                out[name].append(hashlib.sha256(value).hexdigest() if name == "kept_sha256" else value.decode() if name == "kept" else value)
+    return pa.Table.from_arrays([group["doc_id"].combine_chunks(), *(pa.array(out[n], OUTPUTS[n]) for n in outputs)], schema=schema)
 
 
 def dedup(docs: DataFrame, *, width: int = 13, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_words", "n_removed", "kept"), group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per document: its id and the chosen OUTPUTS."""
     text = F.col(text_col).cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, -(-total // group_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(buckets)).cast("long").alias("g"))
-    sent = rows.groupBy("g").applyInArrow(lambda t: send_names(t, width, buckets), ddl(NAMES))
-    shared = sent.groupBy("bucket").applyInArrow(shared_names, ddl(SHARED))
-    asked = rows.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(lambda t, a: send_windows(t, a, width, buckets), ddl(WINDOWS))
-    smaller = asked.groupBy("bucket").applyInArrow(smaller_ids, ddl(SMALLER))
+    groups = max(1, -(-total // group_bytes))
+    words, names, long = (-(-groups // share) for share in (WORDS_SHARE, NAMES_SHARE, LONG_SHARE))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    # rows that repeat in full are one group a partition; the number of a row would not survive a lost task
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)).cast("long"))
+    by_group = rows.groupBy("g")
+    told = by_group.applyInArrow(lambda t: send_words(t, words), ddl(SENT)).groupBy("bucket").applyInArrow(lambda t: number_words(t, words), ddl(REPLY))
+    state = by_group.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: numbered(t, a, words), ddl(STATE)).groupBy("g")
+    told = state.applyInArrow(lambda t: send_names(t, width, names), ddl(SENT)).groupBy("bucket").applyInArrow(shared_names, ddl(REPLY))
+    asked_long = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: send_long(t, a, width, (names, long)), ddl(SENT))
+    told = told.unionByName(asked_long.groupBy("bucket").applyInArrow(settled_symbols, ddl(REPLY)))
+    buckets = (names, long, groups)
+    asked_windows = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: send_windows(t, a, width, buckets), ddl(SENT))
+    told = told.unionByName(asked_windows.groupBy("bucket").applyInArrow(lambda t: smaller_ids(t, width), ddl(REPLY)))
+    gone = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: gone_words(t, a, width, buckets), ddl(GONE))
     schema = ", ".join(["doc_id long", *(f"{n} {SPARK[OUTPUTS[n]]}" for n in outputs)])
-    return rows.groupBy("g").cogroup(smaller.groupBy("g")).applyInArrow(lambda t, a: finish(t, a, width, outputs), schema)
+    return by_group.cogroup(gone.groupBy("g")).applyInArrow(lambda t, a: finish(t, a, outputs), schema)
