@@ -2,12 +2,17 @@
 
 A document is the set of its shingles of ``width`` words. Documents of one set
 are one node. A node's signature holds ``TREES`` labels of ``DEPTH`` MinHash
-bytes; sorted, the labels of one tree are a prefix trie. Matched prefixes are
-shortened, from the whole label on, until pairs at the threshold meet in some
-tree with the target probability. Nodes that share a prefix are compared by
-their whole signatures; pairs far under the threshold are left there, the others
-tie nodes to clusters, and within a cluster every pair is verified on the
-shingles themselves.
+bytes; sorted, the labels of one tree are a prefix trie. Its subtrees are dealt
+to tasks, and each is walked from whole labels up: nodes that share ``length``
+bytes, and no more, are compared by their whole signatures, then the prefix is
+shortened by a byte. A subtree ends where pairs as far apart as the farthest
+similar one found in it meet in some tree with the target recall; one in which
+none was found counts as if it had one at the threshold. So subtrees of near
+copies end at long prefixes, and none is cut shorter than a pair at the
+threshold needs.
+
+Pairs far under the threshold are left there, the others tie nodes to clusters,
+and within a cluster every pair is verified on the shingles themselves.
 
 Nothing is emitted per pair: blocks of bounded size count the links of their
 nodes and keep a forest of them, and large prefixes and clusters are split into
@@ -39,6 +44,8 @@ RECALL = 0.9999
 ERRORS = 5.5
 #: Nodes in a block of a prefix; documents and shingles in a block of a cluster.
 PREFIX_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 512, 384, 400_000
+#: Places of the bitmap (2 MB) by which rows are chosen before their texts move.
+FILTER_BITS = 1 << 24
 _RNG = np.random.default_rng(20240607)
 FACTORS = _RNG.integers(0, 1 << 31, TREES * DEPTH).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 MASKS = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
@@ -174,60 +181,98 @@ def numbered(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def compare(table: pa.Table, prefix: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ties between rows that share a prefix, meet in no earlier tree and whose signatures agree in enough places."""
+def recall_at(similarity: np.ndarray, length: int) -> np.ndarray:
+    """How likely pairs share a prefix of that length in some tree."""
+    return 1 - (1 - similarity**length) ** TREES
+
+
+def compare(table: pa.Table, shortest: int, threshold: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ties between nodes of subtrees whose signatures agree in enough places, and the prefix length at which each subtree ended.
+
+    Rows lie in the order of their labels within a subtree (or a pair of its
+    blocks), so that what a row shares with those behind it only gets shorter.
+    """
     group = numbered(table, ["key", "x", "y"])
     n = len(group)
     marks = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(n, TREES, DEPTH)
-    labels = np.zeros((n, TREES, 8), np.uint8)
-    labels[:, :, :prefix] = marks[:, :, :prefix]
-    labels = labels.reshape(n, TREES * 8).view(np.uint64)
-    flat = marks.reshape(n, TREES * DEPTH)
     tree = table["tree"].to_numpy()
-    cross = (table["x"].to_numpy() != table["y"].to_numpy())
+    label = np.ascontiguousarray(marks[np.arange(n), tree]).view(">u8").ravel().astype(np.uint64)
+    whole = marks.reshape(n, TREES * DEPTH).view(np.uint64)
+    flat = marks.reshape(n, TREES * DEPTH)
+    cross = table["x"].to_numpy() != table["y"].to_numpy()
     side = table["block"].to_numpy()
     forest = Forest(n)
-    here = np.arange(n)
-    for d in range(1, n):
-        here = here[here + d < n]
-        here = here[group[here] == group[here + d]]
-        if not len(here):
-            break
-        a = here[~(cross[here] & (side[here] == side[here + d]))]
-        for start in range(0, len(a), 4096):
-            i = a[start : start + 4096]
-            i = i[forest.root[i] != forest.root[i + d]]
-            i = i[np.argmax(labels[i] == labels[i + d], axis=1) == tree[i]]
-            i = i[(flat[i] == flat[i + d]).sum(1) >= least]
-            forest.tie(i, i + d)
+    bits = TREES * DEPTH
+    farthest = np.full(group[-1] + 1, np.inf)
+    ended = np.zeros(group[-1] + 1, int)
+    for length in range(DEPTH, shortest - 1, -1):
+        here = np.flatnonzero(ended[group] == 0)
+        for d in range(1, n):
+            here = here[here + d < n]
+            here = here[group[here] == group[here + d]]
+            # the bytes from the first that differs on are the lowest ones
+            apart = label[here] ^ label[here + d]
+            near = apart >> U(8 * (DEPTH - length)) == 0 if length else np.ones(len(here), bool)
+            here, apart = here[near], apart[near]
+            if not len(here):
+                break
+            new = here if length == DEPTH else here[apart >> U(8 * (DEPTH - length - 1)) > 0]
+            new = new[~(cross[new] & (side[new] == side[new + d]))]
+            for start in range(0, len(new), 4096):
+                i = new[start : start + 4096]
+                i = i[forest.root[i] != forest.root[i + d]]
+                # whole labels that are equal were met in the first such tree
+                same = whole[i] == whole[i + d]
+                i = i[~same.any(1) | (np.argmax(same, axis=1) == tree[i])]
+                agree = (flat[i] == flat[i + d]).sum(1)
+                forest.tie(i[agree >= least], i[agree >= least] + d)
+                similar = agree >= threshold * bits
+                np.minimum.at(farthest, group[i[similar]], agree[similar] / bits)
+        likely = recall_at(np.where(np.isinf(farthest), threshold, farthest), length) >= RECALL
+        ended[(ended == 0) & (likely | (length == shortest))] = length
     tied = np.flatnonzero(forest.root != np.arange(n))
-    return tied, forest.root[tied]
+    return tied, forest.root[tied], ended
 
 
 def candidate_edges(nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a forest over the nodes whose signatures say that they may be similar."""
-    length = prefix_length(threshold)
+    shortest = prefix_length(threshold)
     bits = TREES * DEPTH
     least = bits * (threshold - ERRORS * (threshold * (1 - threshold) / bits) ** 0.5)
     rows = nodes.filter("size > 0")
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    keyed = rows.select("node", "signature", tree.alias("tree")).select("node", "tree", F.xxhash64("tree", F.expr(f"substring(signature, tree * {DEPTH} + 1, {length})")).alias("key"))
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    keyed = rows.select("node", "signature", tree.alias("tree")).select("node", "tree", F.xxhash64("tree", F.expr(f"substring(signature, tree * {DEPTH} + 1, {shortest})")).alias("key"))
+    # subtrees of two nodes and more; their sizes are summed before anything moves
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = keyed.join(sizes.hint("merge"), "key")
     blocks = F.ceil(F.col("n") / PREFIX_BLOCK).cast("int")
     shared = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("key", "tree", "node", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    signed = tasks.join(rows.select("node", "signature").hint("merge"), "node").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    signed = tasks.join(rows.select("node", "signature").hint("merge"), "node")
+    signed = signed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, ["key", "x", "y"]):
-            a, b = compare(table, length, least)
+            a, b, _ = compare(table, shortest, threshold, least)
             names = table["node"].combine_chunks()
             yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], names=["a", "b"])
 
     return signed.select("key", "tree", "node", "block", "x", "y", "signature").mapInArrow(work, "a binary, b binary")
 
 
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows whose key may be a wanted one, by a bitmap of hashed keys: FILTER_BITS bits whatever the tables."""
+    per = 32_768
+    place = lambda k: F.pmod(F.xxhash64(F.lit(29), F.col(k)), F.lit(FILTER_BITS))
+    at, part, held = common.spare(rows, "_place", "_part", "_bitmap")
+    # a row holds the bits of 32768 places in 4096 bytes
+    maps = wanted.select(place(wanted_key).alias(at)).groupBy(F.floor(F.col(at) / per).cast("int").alias(part)).agg(F.bitmap_construct_agg(F.col(at) % per).alias(held))
+    found = rows.withColumn(at, place(key)).withColumn(part, F.floor(F.col(at) / per).cast("int")).join(F.broadcast(maps), part)
+    byte = f"cast(conv(hex(substring({held}, cast({at} % {per} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return found.filter(F.expr(f"({byte} & shiftleft(1, cast({at} % 8 as int))) > 0")).drop(at, part, held)
+
+
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two of the sets share."""
     n = len(sets)
@@ -295,6 +340,7 @@ def clusters(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, id_col:
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
     wanted = members.select("node", "cluster", "copies", "blocks", F.col("first.doc_id").alias("doc_id_"), F.col("first.row_key").alias("row_key_"))
+    texts = maybe_in(texts, "row_key", members.select(F.col("first.row_key").alias("row_key")), "row_key")
     found = texts.join(wanted.hint("merge"), (F.col("row_key") == F.col("row_key_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +370,8 @@ def keep_one(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, id_col:
     keepers = found.filter((F.col("row_key") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(keep_id), F.col("row_key").alias(keep_key))
     rows = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
     rows = rows.join(keepers.hint("merge"), (F.col(key) == F.col(keep_key)) & F.col(id_col).eqNullSafe(F.col(keep_id)), "left_semi")
-    # rows that repeat in full have one key
-    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy(key, id_col).orderBy(key))).filter(F.col(turn) == 1)
+    # of rows of one id and text the one of smallest hash stays; equal hashes are rows that repeat in full
+    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy(key, id_col).orderBy(F.xxhash64(*docs.columns)))).filter(F.col(turn) == 1)
     return rows.select(*docs.columns)
 
 

@@ -1,15 +1,17 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
-A word enters the network as character and word inputs: how much its character
-n-grams and the word itself lean towards toxic documents, and a small hashed
-embedding of its n-grams. A run of word characters that is longer than
-``LETTERS``, as in text without spaces, is read as overlapping pieces of
-``PIECE`` characters that cover all of it. A piece is known by its n-grams, so
-that unspaced text is judged well only if the labelled texts hold some. The
-leanings of a training document are counted on other folds than its own. The
-network reads windows of ``WINDOW`` words that overlap by half; a document
-scores as its highest window. Everything is numpy; the input side of the gates
-is multiplied out once for each distinct word.
+A word enters the network as character and word inputs: a vector of the word and
+the mean and the largest of the vectors of its character n-grams. These vectors
+are trained with the network. The first component of a vector starts from how
+much its word or n-gram leans towards toxic documents, which for a training
+document is counted on other folds than its own, the others from small random
+numbers; ``leanings=False`` starts all of them so. A run of word characters that
+is longer than ``LETTERS``, as in text without spaces, is read as overlapping
+pieces of ``PIECE`` characters that cover all of it. A piece is known by its
+n-grams, so that unspaced text is judged well only if the labelled texts hold
+some. The network reads windows of ``WINDOW`` words that overlap by half; a
+document scores as its highest window. Everything is numpy; the input side of
+the gates is multiplied out once for each distinct word.
 
 The model is fitted on at most ``max_toxic`` plus ``max_clean`` labelled
 documents, chosen by a hash of the id, with whole texts. Scoring covers every
@@ -37,11 +39,15 @@ from quillmap.llm import common
 
 TOKEN = re.compile(r"\w+")
 WINDOW, STRIDE = 32, 16
-HIDDEN, HASHED = 8, 4
-#: Leanings of the word, of its strongest n-gram and of all its n-grams; a flag for having any; the hashed embedding.
-INPUTS = 4 + HASHED
+HIDDEN, VECTOR = 8, 4
+#: The word's vector, the largest and the mean of its n-grams' vectors, and a flag for being a word.
+INPUTS = 3 * VECTOR + 1
 FOLDS = 4
 CACHE_WORDS = 100_000
+#: Spread of the vectors at first, and how far a step moves those that it meets.
+START, RATE = 0.05, 0.02
+#: Documents with which a word or n-gram moves half as far as it would.
+DOUBT = 20
 #: Windows that go through the network at once.
 BATCH = 2048
 
@@ -105,7 +111,7 @@ class Coded:
 
 @dataclass
 class Table:
-    """Values by hash; what is not in it is 0."""
+    """Vectors by hash; what is not in it has zeros, which are the row behind the last."""
 
     keys: np.ndarray
     values: np.ndarray
@@ -121,15 +127,15 @@ class Table:
         self.keys, self.values = state
         self.__post_init__()
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.float32)
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), len(self.keys), np.int32)
         if len(self.keys):
             maybe = np.flatnonzero(self.filter[keys >> np.uint64(64 - FILTER_BITS)])
             wanted = keys[maybe]
             at = np.searchsorted(self.keys, wanted)
             at[at == len(self.keys)] = 0
             same = self.keys[at] == wanted
-            out[maybe[same]] = self.values[at[same]]
+            out[maybe[same]] = at[same]
         return out
 
 
@@ -148,24 +154,45 @@ def added(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray,
     return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), len(keys)), sum(p[2] for p in parts)
 
 
-def odds(clean: tuple, toxic: tuple) -> Table:
-    """Log odds by documents of each class, for what is in two documents at least and in a toxic one."""
-    keys, pos, n_pos = toxic
-    other, neg_of, n_neg = clean
-    neg = np.zeros(len(keys))
-    if len(other):
-        at = np.searchsorted(other, keys)
-        at[at == len(other)] = 0
-        neg = np.where(other[at] == keys, neg_of[at], 0)
-    lean = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+def known(keys: np.ndarray, counts: tuple) -> np.ndarray:
+    """In how many documents of a class each key is."""
+    held, n, _ = counts
+    if not len(held):
+        return np.zeros(len(keys))
+    at = np.searchsorted(held, keys)
+    at[at == len(held)] = 0
+    return np.where(held[at] == keys, n[at], 0)
+
+
+def odds(keys: np.ndarray, clean: tuple, toxic: tuple) -> np.ndarray:
+    """Log odds of the keys by documents of each class, 0 where too little speaks for one; one more 0 at the end."""
+    pos, neg = known(keys, toxic), known(keys, clean)
+    lean = np.log((pos + 0.5) / (toxic[2] + 1)) - np.log((neg + 0.5) / (clean[2] + 1))
     # what few documents hold says little
     lean *= pos / (pos + 2.0)
-    keep = (pos + neg >= 2) & (np.abs(lean) > 0.3)
-    return Table(keys[keep], lean[keep].astype(np.float32))
+    lean[(pos + neg < 2) | (pos < 1) | (np.abs(lean) <= 0.3)] = 0
+    return np.r_[lean, 0].astype(np.float32)
+
+
+def common_keys(clean: tuple, toxic: tuple) -> np.ndarray:
+    """What is in a toxic document and in two at least."""
+    return toxic[0][toxic[1] + known(toxic[0], clean) >= 2]
+
+
+def by_owner(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and largest of the rows of each owner; owners come in order, those without rows have zeros."""
+    sums, most = np.zeros((n, values.shape[1]), np.float32), np.zeros((n, values.shape[1]), np.float32)
+    if len(owner):
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        sums[owner[first]] = np.add.reduceat(values, first)
+        most[owner[first]] = np.maximum.reduceat(values, first)
+    return sums, most
 
 
 @dataclass
-class Leanings:
+class Inputs:
+    """What the network reads of a word."""
+
     words: Table
     grams: Table
 
@@ -175,23 +202,94 @@ class Leanings:
         return parts[0] if len(parts) == 1 else np.concatenate([np.zeros((0, INPUTS), np.float32), *parts])
 
     def coded(self, words: list[str]) -> np.ndarray:
-        x = np.zeros((len(words), INPUTS), np.float32)
         coded = Coded.of(words)
-        x[:, 0] = self.words.get(coded.words)
-        values = self.grams.get(coded.grams)
         order = np.argsort(coded.owner, kind="stable")
-        values, owner = values[order], coded.owner[order]
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
-        if len(owner):
-            x[owner[first], 1] = np.maximum.reduceat(values, first)
-            x[owner[first], 2] = np.add.reduceat(values, first) / np.diff(np.r_[first, len(owner)])
-        x[:, 3] = 1.0
-        beginnings = coded.words.copy()
-        if len(owner):
-            beginnings[owner[first]] = coded.grams[order][first]
-        for k in range(HASHED):
-            x[:, 4 + k] = ((beginnings >> np.uint64(8 * k + 16)) & np.uint64(255)).astype(np.float32) / 255.0 - 0.5
-        return x
+        owner = coded.owner[order]
+        sums, most = by_owner(self.grams.values[self.grams.rows(coded.grams[order])], owner, len(words))
+        n = np.maximum(1, np.bincount(owner, minlength=len(words)))[:, None]
+        flag = np.ones((len(words), 1), np.float32)
+        return np.concatenate([self.words.values[self.words.rows(coded.words)], most, sums / n, flag], axis=1).astype(np.float32)
+
+
+class Lexicon:
+    """The words of the training texts as rows of both tables, and the vectors that are being trained.
+
+    ``lean`` holds the first components' starts by fold; the last is that of all folds.
+    """
+
+    def __init__(self, names: list[str], keys: tuple[np.ndarray, np.ndarray], lean: list[tuple[np.ndarray, np.ndarray]], documents: tuple[np.ndarray, np.ndarray], rng: np.random.Generator):
+        empty = [Table(k, np.zeros((len(k) + 1, 1), np.float32)) for k in keys]
+        self.keys, self.lean = keys, lean
+        # what few documents hold moves less
+        self.trust = [np.r_[n / (n + DOUBT), 0].astype(np.float32) for n in documents]
+        word_rows, rows, sizes, all_sizes = [], [], [], []
+        for start in range(0, len(names), CODED):
+            part = names[start : start + CODED]
+            coded = Coded.of(part)
+            word_rows.append(empty[0].rows(coded.words))
+            found = empty[1].rows(coded.grams)
+            order = np.argsort(coded.owner, kind="stable")
+            order = order[found[order] < len(keys[1])]
+            rows.append(found[order])
+            sizes.append(np.bincount(coded.owner[order], minlength=len(part)))
+            all_sizes.append(np.bincount(coded.owner, minlength=len(part)))
+        none = np.empty(0, np.int32)
+        self.word_rows, self.gram_rows = np.concatenate([none, *word_rows]), np.concatenate([none, *rows])
+        self.begin = np.r_[0, np.cumsum(np.concatenate([none, *sizes]).astype(np.int64))]
+        self.n_grams = np.maximum(1, np.concatenate([none, *all_sizes]))
+        self.vectors, self.squares = [], []
+        for k in keys:
+            v = rng.normal(0, START, (len(k) + 1, VECTOR)).astype(np.float32)
+            v[:, 0] = 0
+            v[-1] = 0
+            self.vectors.append(v)
+            self.squares.append(np.full(len(k) + 1, 1e-6, np.float32))
+
+    def gathered(self, ids: np.ndarray, fold: int) -> tuple[np.ndarray, ...]:
+        sizes = self.begin[ids + 1] - self.begin[ids]
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        rows = self.gram_rows[np.arange(len(owner)) + np.repeat(self.begin[ids] - np.cumsum(sizes) + sizes, sizes)]
+        values = self.vectors[1][rows]
+        values[:, 0] += self.lean[fold][1][rows]
+        return sizes, owner, rows, values
+
+    def features(self, ids: np.ndarray, fold: int) -> np.ndarray:
+        """Inputs of words given by number, as a document of the fold meets them."""
+        parts = [self._features(ids[i : i + CODED], fold)[0] for i in range(0, len(ids), CODED)]
+        return np.concatenate([np.zeros((0, INPUTS), np.float32), *parts])
+
+    def _features(self, ids: np.ndarray, fold: int) -> tuple:
+        sizes, owner, rows, values = self.gathered(ids, fold)
+        sums, most = by_owner(values, owner, len(ids))
+        # an n-gram that is in no table counts as zeros
+        some = (sizes < self.n_grams[ids])[:, None]
+        most = np.where(some, np.maximum(most, 0), most)
+        own = self.vectors[0][self.word_rows[ids]]
+        own[:, 0] += self.lean[fold][0][self.word_rows[ids]]
+        x = np.concatenate([own, most, sums / self.n_grams[ids][:, None], np.ones((len(ids), 1), np.float32)], axis=1).astype(np.float32)
+        return x, owner, rows, values
+
+    def learn(self, ids: np.ndarray, fold: int, dx: np.ndarray, rate: float) -> None:
+        """A step against the gradient ``dx`` of the inputs of distinct words."""
+        x, owner, rows, values = self._features(ids, fold)
+        most, mean = slice(VECTOR, 2 * VECTOR), slice(2 * VECTOR, 3 * VECTOR)
+        d = (dx[:, mean] / self.n_grams[ids][:, None])[owner] + np.where(values == x[owner, most], dx[owner, most], 0)
+        for k, at, g in ((0, self.word_rows[ids], dx[:, :VECTOR]), (1, rows, d)):
+            if not len(at):
+                continue
+            touched, number = np.unique(at, return_inverse=True)
+            total = np.stack([np.bincount(number, g[:, j], len(touched)) for j in range(VECTOR)], axis=1).astype(np.float32)
+            self.squares[k][touched] += (total * total).mean(1)
+            # the row of what is in no table is not trusted at all and stays at zero
+            self.vectors[k][touched] -= (rate * self.trust[k][touched] / np.sqrt(self.squares[k][touched]))[:, None] * total
+
+    def inputs(self) -> Inputs:
+        tables = []
+        for k in (0, 1):
+            v = self.vectors[k].copy()
+            v[:, 0] += self.lean[-1][k]
+            tables.append(Table(self.keys[k], v))
+        return Inputs(*tables)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -256,7 +354,7 @@ class Network:
         return tuple((x @ self.p["W" + s] + self.p["b" + s]).astype(np.float32) for s in "fb")
 
     def gradient(self, x: np.ndarray, real: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted log loss; x: (time, batch, inputs)."""
+        """Of the weighted log loss, by weights and (``x``) by inputs; x: (time, batch, inputs)."""
         p, kept, sides = self.p, {"f": [], "b": []}, {}
         for s in "fb":
             sides[s] = self.direction(x @ p["W" + s] + p["b" + s], s, kept[s])
@@ -287,12 +385,13 @@ class Network:
                 dh = dh * z + through @ p["U" + s].T
             g["U" + s], g["b" + s] = du, dgate.sum((0, 1))
             g["W" + s] = np.einsum("tbi,tbh->ih", x, dgate)
+            g["x"] = g.get("x", 0) + dgate @ p["W" + s].T
         return g
 
 
 @dataclass
 class Model:
-    leanings: Leanings
+    inputs: Inputs
     net: Network
     slope: float
     shift: float
@@ -317,8 +416,8 @@ def _doc_logits(net: Network, proj, wins: list[np.ndarray]) -> tuple[np.ndarray,
     return logits, np.maximum.reduceat(logits, starts)
 
 
-def fit(texts: list[str], labels: list[int], *, steps: int = 240, seed: int = 7) -> Model | None:
-    """None unless both classes occur. Which window of a toxic document is toxic is found as training goes on."""
+def fit(texts: list[str], labels: list[int], *, steps: int = 240, seed: int = 7, leanings: bool = True) -> Model | None:
+    """None unless both classes occur; ``leanings`` tells where vectors start. Which window of a toxic document is toxic is found as training goes on."""
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
@@ -340,31 +439,30 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 240, seed: int = 7)
             coded = [Coded.of([names[j] for j in distinct[i]]) for i in np.flatnonzero((fold == k) & (y == c))]
             counts[k, c] = counted([d.words for d in coded]), counted([np.unique(d.grams) for d in coded])
 
-    def merged(skip: int | None) -> Leanings:
-        by = [[added([counts[k, c][kind] for k in range(FOLDS) if k != skip]) for c in (0, 1)] for kind in (0, 1)]
-        return Leanings(odds(*by[0]), odds(*by[1]))
-
-    rows: list[np.ndarray] = []
-    wins: list[np.ndarray] = [np.empty(0)] * len(texts)
-    for k in range(FOLDS):
-        own = np.flatnonzero(fold == k)
-        used = np.unique(np.concatenate([np.empty(0, np.int32), *(distinct[i] for i in own)]))
-        number = np.zeros(len(names), np.int32)
-        number[used] = np.arange(1, len(used) + 1)
-        rows.append(np.concatenate([np.zeros((1, INPUTS), np.float32), merged(k).features([names[j] for j in used])]))
-        for i in own:
-            wins[i] = windows(number[tokens[i]])
-    leanings = merged(None)
-    del counts, distinct, tokens
+    def sums(kind: int, label: int, skip: int | None = None) -> tuple:
+        return added([counts[k, label][kind] for k in range(FOLDS) if k != skip])
+
+    keys = tuple(common_keys(sums(kind, 0), sums(kind, 1)) for kind in (0, 1))
+    lean = [tuple(odds(keys[kind], sums(kind, 0, skip), sums(kind, 1, skip)) * leanings for kind in (0, 1)) for skip in [*range(FOLDS), None]]
+    documents = tuple(known(keys[kind], sums(kind, 0)) + known(keys[kind], sums(kind, 1)) for kind in (0, 1))
+    del counts
+    lexicon = Lexicon(names, keys, lean, documents, rng)
+    used = [np.unique(np.concatenate([np.empty(0, np.int32), *(distinct[i] for i in np.flatnonzero(fold == k))])) for k in range(FOLDS)]
+    # words by number among those of their fold, 0 for none
+    wins: list[np.ndarray] = [windows(np.searchsorted(used[fold[i]], tokens[i]).astype(np.int32) + 1) for i in range(len(texts))]
+    del distinct, tokens, names
     starts = np.cumsum([0, *map(len, wins)])
     members = [np.flatnonzero(fold == k) for k in range(FOLDS)]
 
+    def rows_of(k: int) -> np.ndarray:
+        return np.concatenate([np.zeros((1, INPUTS), np.float32), lexicon.features(used[k], k)])
+
     def strongest(score) -> tuple[np.ndarray, np.ndarray]:
         """Each document's highest window by ``score(rows, windows)``, and where that is among all windows; a fold at a time."""
         best, where = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for k, own in enumerate(members):
             if len(own):
-                values = score(rows[k], [wins[i] for i in own])
+                values = score(rows_of(k), [wins[i] for i in own])
                 ends = np.cumsum([len(wins[i]) for i in own])
                 for i, e in zip(own, ends, strict=True):
                     part = values[e - len(wins[i]) : e]
@@ -373,16 +471,16 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 240, seed: int = 7)
         return best, where
 
     def leading(x: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
-        strength = np.maximum(x[:, 0], x[:, 1])
+        strength = np.maximum(x[:, 0], x[:, VECTOR])
         return np.concatenate([np.sort(strength[w], axis=1)[:, -3:].sum(1) for w in own])
 
     def judged(x: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
         return _doc_logits(net, net.project(x), own)[0]
 
-    def inputs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def batch(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Folds and word numbers of windows."""
         docs = np.searchsorted(starts, places, "right") - 1
-        ids = np.stack([wins[d][p - starts[d]] for d, p in zip(docs, places, strict=True)])
-        return np.stack([rows[fold[d]][i] for d, i in zip(docs, ids, strict=True)]).transpose(1, 0, 2), ids.T > 0
+        return fold[docs], np.stack([wins[d][p - starts[d]] for d, p in zip(docs, places, strict=True)])
 
     # at first the window with the strongest leanings stands for its document
     where = strongest(leading)[1]
@@ -397,14 +495,28 @@ def fit(texts: list[str], labels: list[int], *, steps: int = 240, seed: int = 7)
         any_of = rng.choice(negative, 32)
         take = np.concatenate([where[pos], where[neg], (starts[any_of] + rng.random(32) * (starts[any_of + 1] - starts[any_of])).astype(int)])
         target = np.r_[np.ones(64), np.zeros(128)].astype(np.float32)
-        g = net.gradient(*inputs(take), target, np.ones(192, np.float32))
+        folds, ids = batch(take)
+        x, met = np.zeros((*ids.shape, INPUTS), np.float32), []
+        for k in range(FOLDS):
+            own = np.flatnonzero(folds == k)
+            distinct, number = np.unique(ids[own], return_inverse=True)
+            numbers = used[k][distinct[distinct > 0] - 1]
+            table = np.concatenate([np.zeros((len(distinct) - len(numbers), INPUTS), np.float32), lexicon.features(numbers, k)])
+            number = number.reshape(len(own), -1)
+            x[own] = table[number]
+            met.append((k, own, number, numbers, len(table)))
+        g = net.gradient(x.transpose(1, 0, 2), ids.T > 0, target, np.ones(192, np.float32))
+        dx = g.pop("x").transpose(1, 0, 2)
+        for k, own, number, numbers, n in met:
+            d = np.stack([np.bincount(number.ravel(), dx[own, :, j].ravel(), n) for j in range(INPUTS)], axis=1)
+            lexicon.learn(numbers, k, d[n - len(numbers) :], RATE)
         size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         for k, v in g.items():
             v = v * min(1.0, 5.0 / (size + 1e-9)) + 1e-4 * net.p[k]
             moment[k] = 0.9 * moment[k] + 0.1 * v
             square[k] = 0.99 * square[k] + 0.01 * v * v
             net.p[k] = (net.p[k] - 0.02 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return Model(leanings, net, *_platt(strongest(judged)[0], y))
+    return Model(lexicon.inputs(), net, *_platt(strongest(judged)[0], y))
 
 
 def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -436,9 +548,10 @@ def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     chosen = [r.doc_id for y, n in ((1, max_toxic), (0, max_clean)) for r in known.filter(F.col("toxic") == y).orderBy("at", "doc_id").limit(n).collect()]
     picked = docs.sparkSession.createDataFrame([(i,) for i in chosen], "label_id long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"), "left_semi")
+    # of rows of one id the one of largest text, chosen before anything is collected
+    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
     truth = known.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"), "left_semi").select("doc_id", "toxic")
-    # a row of the sample for each labelled id, whatever repeats
-    found = {r.doc_id: r.text for r in rows.orderBy("doc_id", "text").collect()}
+    found = {r.doc_id: r.text for r in rows.collect()}
     return sorted(((found[r.doc_id] or "", r.toxic) for r in truth.collect() if r.doc_id in found), key=lambda r: (r[1], r[0]))
 
 
@@ -457,7 +570,7 @@ class Scorer:
         new = [w for w in words if w not in self.number]
         if not new:
             return
-        x = self.model.leanings.features(new)
+        x = self.model.inputs.features(new)
         start = len(self.proj[0])
         self.number.update(zip(new, range(start, start + len(new)), strict=True))
         self.proj = tuple(np.concatenate([a, b]) for a, b in zip(self.proj, self.model.net.project(x), strict=True))

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from quillmap.llm import common, components, jaccard
 
@@ -82,6 +83,56 @@ def test_prefix_and_estimate():
     assert abs((s[0] == s[1]).mean() - 340 / 460) < 0.1
 
 
+def subtree(labels, signatures, key=None):
+    """A table as tasks get it, all in tree 0."""
+    order = sorted(range(len(labels)), key=lambda i: labels[i])
+    n = len(order)
+    return pa.table({"key": pa.array([0] * n), "tree": pa.array([0] * n, pa.int32()), "node": pa.array([bytes([i]) for i in order], pa.binary()), "block": pa.array([0] * n, pa.int32()), "x": pa.array([0] * n, pa.int32()), "y": pa.array([0] * n, pa.int32()), "signature": pa.array([signatures[i] for i in order], pa.binary())})
+
+
+def signature_like(base, share, rng, label):
+    out = base.copy()
+    other = rng.choice(np.arange(8, len(base)), round(share * len(base)), replace=False)
+    out[other] ^= np.uint8(1)
+    out[:8] = label
+    return out.tobytes()
+
+
+def test_prefixes_are_shortened_as_far_as_pairs_need():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, jaccard.TREES * jaccard.DEPTH).astype(np.uint8)
+    label = base[:8].copy()
+    short, seven = label.copy(), label.copy()
+    short[6], seven[7] = label[6] ^ 1, label[7] ^ 1
+    least, thr = 0.66 * 256, 0.8
+
+    def ended(*rows):
+        labels = [bytes(x) for x, _ in rows]
+        table = subtree(labels, [signature_like(base, s, rng, x) for x, s in rows])
+        tied, roots, at = jaccard.compare(table, jaccard.prefix_length(thr), thr, least)
+        return at.tolist(), len(tied)
+
+    # near copies: the walk ends at the whole label, whatever lies farther up
+    assert ended((label, 0.0), (label, 0.01)) == ([8], 1)
+    assert ended((label, 0.0), (label, 0.01), (short, 0.02)) == ([8], 1)
+    # a pair near the threshold keeps it going, and so does a subtree without any
+    assert ended((label, 0.0), (label, 0.19), (short, 0.02)) == ([6], 2)
+    assert ended((label, 0.0), (short, 0.02)) == ([6], 1)
+    assert ended((label, 0.0), (seven, 0.12)) == ([7], 1)
+    # no more than the shortest prefix is ever matched
+    five = label.copy()
+    five[5] ^= 1
+    assert ended((label, 0.0), (five, 0.0)) == ([6], 0)
+
+
+def test_bitmap_lets_all_wanted_rows_through(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "k")
+    wanted = spark.range(0, 20_000, 97).withColumnRenamed("id", "w")
+    got = {r.k for r in jaccard.maybe_in(rows, "k", wanted, "w").collect()}
+    assert got >= set(range(0, 20_000, 97)) and len(got) < 300
+    assert jaccard.maybe_in(rows, "k", wanted.limit(0), "w").collect() == []
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)]

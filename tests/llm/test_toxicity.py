@@ -92,9 +92,9 @@ def test_pieces_cover_long_runs():
 def test_coded_in_parts(monkeypatch):
     model = toxicity.fit(*corpus(60))
     words = toxicity.words_of(" ".join(corpus(5, seed=3)[0]))
-    whole = model.leanings.features(words)
+    whole = model.inputs.features(words)
     monkeypatch.setattr(toxicity, "CODED", 7)
-    assert (model.leanings.features(words) == whole).all() and model.leanings.features([]).shape == (0, toxicity.INPUTS)
+    assert (model.inputs.features(words) == whole).all() and model.inputs.features([]).shape == (0, toxicity.INPUTS)
 
 
 def test_cases(spark):
