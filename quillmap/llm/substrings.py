@@ -15,7 +15,7 @@ name. Equal windows pick the same name. The rounds after the first:
 
 1. groups send the names that their windows pick; buckets answer which of them
    more than one document picks;
-2. symbols of ``width`` words and more are built on, level by level up to the
+2. symbols of some windows' widths and more are built on, level by level up to the
    length of the passage, from what shares its picks. Buckets compare what a
    symbol is made of (two symbols; numbers of words where it is short) and
    answer whether a document of smaller id has it. All words of such a symbol go
@@ -63,6 +63,8 @@ CHUNK_BYTES = 1 << 20
 WORDS_SHARE, NAMES_SHARE, LONG_SHARE = 8, 2, 2
 #: Pair rounds that make picks, and from which on symbols may be picked.
 ROUNDS, FIRST_PICKED = 3, 2
+#: Windows' widths from which on a symbol is long.
+LONG = 3
 #: Pair rounds in all at most; each leaves about two thirds of the symbols, so passages of any length end before.
 LEVELS = 64
 #: Windows in a stretch.
@@ -151,13 +153,19 @@ class Words:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Whole numbers in four bytes where they fit, with a leading byte that tells."""
-    small = not len(x) or (x.min() >= 0 and x.max() < 1 << 32)
-    return (b"4" + x.astype(np.uint32).tobytes()) if small else b"8" + x.astype(np.int64).tobytes()
+    """Whole numbers in three or four bytes where they fit, with a leading byte that tells."""
+    top = int(x.max(initial=0)) if not len(x) or x.min() >= 0 else 1 << 62
+    if top < 1 << 24:
+        return b"3" + np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+    return (b"4" + x.astype("<u4").tobytes()) if top < 1 << 32 else b"8" + x.astype("<i8").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw[1:], np.uint32 if raw[:1] == b"4" else np.int64).astype(np.int64)
+    if raw[:1] == b"3":
+        out = np.zeros((len(raw) // 3, 4), np.uint8)
+        out[:, :3] = np.frombuffer(raw[1:], np.uint8).reshape(-1, 3)
+        return out.view("<u4").ravel().astype(np.int64)
+    return np.frombuffer(raw[1:], "<u4" if raw[:1] == b"4" else "<i8").astype(np.int64)
 
 
 def bits(x: np.ndarray) -> bytes:
@@ -185,6 +193,8 @@ def by_bucket(bucket: np.ndarray):
         yield int(bucket[order[start]]), order[start:end]
 
 
+#: The round of notes.
+NOTE = -1
 #: What a group sends to a bucket, and what comes back: one row a bucket and group.
 SENT = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 REPLY = pa.schema([("g", pa.int64()), ("round", pa.int32()), ("bucket", pa.int64()), ("found", pa.binary())])
@@ -209,14 +219,6 @@ def replies_of(replies: pa.Table, turn: int) -> dict[int, bytes]:
 # -- words ---------------------------------------------------------------------
 
 
-def dealt_words(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words' buckets, and the words by bucket and spelling."""
-    bucket = (words.names % U(buckets)).astype(np.int64)
-    rank = np.empty(len(bucket), np.int64)
-    rank[pc.sort_indices(words.distinct).to_numpy()] = np.arange(len(bucket))
-    return bucket, np.lexsort((rank, bucket))
-
-
 def send_words(group: pa.Table, buckets: int) -> pa.Table:
     """Each distinct word of a group, with whether two of its documents have it."""
     words = Words(in_order(group)["text"])
@@ -225,10 +227,9 @@ def send_words(group: pa.Table, buckets: int) -> pa.Table:
     first, last = np.empty((2, len(words.distinct)), np.int32)
     last[words.index] = words.doc
     first[words.index[::-1]] = words.doc[::-1]
-    bucket, order = dealt_words(words, buckets)
-    g, out, spelled = group["g"][0].as_py(), [], words.distinct.take(pa.array(order)).to_pylist()
-    for b, at in by_bucket(bucket[order]):
-        out.append((b, g, b" ".join(spelled[at[0] : at[-1] + 1]), bits((first != last)[order[at]]), None, None))
+    g, out, two = group["g"][0].as_py(), [], first != last
+    for b, at in by_bucket(bucket_of(words.names, buckets)):
+        out.append((b, g, b" ".join(words.distinct.take(pa.array(at)).to_pylist()), bits(two[at]), None, None))
     return rows_of(SENT, out)
 
 
@@ -256,8 +257,9 @@ def numbered(group: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     words, found = Words(group["text"]), replies_of(replies, 0)
     number = np.zeros(len(words.distinct), np.int64)
     if len(number):
-        bucket, order = dealt_words(words, buckets)
-        number[order] = np.concatenate([unpacked(found[b]) for b, _ in by_bucket(bucket[order])])
+        # documents are in one order, and so are their distinct words
+        for b, at in by_bucket(bucket_of(words.names, buckets)):
+            number[at] = unpacked(found[b])
     return rows_of(STATE, [(group["g"][0].as_py(), ids_of(group["doc_id"]).tobytes(), packed(words.counts), packed(number[words.index]))])
 
 
@@ -294,9 +296,24 @@ class Group:
         self.windows = np.flatnonzero((left >= width) & ~barrier)
         self.names = mixed(self.codes)
 
+    def covered(self, places: np.ndarray) -> np.ndarray:
+        """Which words lie in the windows at these places."""
+        marks = np.zeros(len(self.codes) + 1, np.int32)
+        marks[places] += 1
+        marks[np.minimum(places + self.width, len(self.codes))] -= 1
+        return np.cumsum(marks[:-1]) > 0
+
+    def cut_runs(self, places: np.ndarray) -> Symbols:
+        """The runs that touch windows at these places; what no window covers parts them."""
+        s, upto = self.runs, np.r_[0, np.cumsum(self.covered(places))]
+        keep = upto[s.end] > upto[s.start]
+        start, end, part = s.start[keep], s.end[keep], s.part[keep]
+        return Symbols(s.name[keep], start, end, np.cumsum(apart(start, end, part)).astype(np.int32))
+
     def own(self, places: np.ndarray) -> np.ndarray:
         return self.ids[self.doc[places]]
 
+    @cached_property
     def runs(self) -> Symbols:
         n = len(self.codes)
         begins = np.flatnonzero(np.r_[True, (self.codes[1:] != self.codes[:-1]) | (self.part[1:] != self.part[:-1])][:n])
@@ -305,13 +322,16 @@ class Group:
         name = np.where(size > 1, mixed(name + size.astype(U) * ODD[1]), name)
         return Symbols(name, begins.astype(np.int32), ends.astype(np.int32), self.part[begins])
 
-    def picks(self) -> np.ndarray:
-        """For each place the name that the window from there picks, NONE if no symbol is its own."""
+    def picks(self, places: np.ndarray | None = None) -> np.ndarray:
+        """For each place the name that the window from there picks, NONE if no symbol is its own; of all windows or those named.
+
+        A pick follows from the words of its window, so that looking at some windows only does not change theirs.
+        """
         width = self.width
         best = np.full(len(self.codes), NONE, U)
-        if not len(self.windows):
+        if not len(self.windows if places is None else places):
             return best
-        s = self.runs()
+        s = self.runs if places is None else self.cut_runs(places)
         name, start, end, part = s.name, s.start, s.end, s.part
         # words that say that the symbol is here: those around a run must differ from it
         low, high = start - 1, end + 1
@@ -434,8 +454,9 @@ def heard(replies: dict[int, bytes], bucket: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_windows(group: Group, best: np.ndarray, replies: pa.Table, buckets: int) -> np.ndarray:
+def open_windows(group: Group, replies: pa.Table, buckets: int) -> np.ndarray:
     """The windows whose pick another document picks too, or that pick none."""
+    best = group.picks()
     names, _ = picked_names(group, best)
     shared = names[heard(replies_of(replies, 1), bucket_of(names, buckets))]
     pick = best[group.windows]
@@ -446,12 +467,33 @@ def open_windows(group: Group, best: np.ndarray, replies: pa.Table, buckets: int
     return group.windows[hit]
 
 
+def noted(group: Group, *places: np.ndarray) -> tuple:
+    """What a group tells itself for its next turn: some sets of places."""
+    marks = np.zeros((len(places), len(group.codes)), bool)
+    for row, at in zip(marks, places, strict=True):
+        row[at] = True
+    return (-1 - group.g, group.g, b"".join(map(bits, marks)), None, None, None)
+
+
+def recalled(group: Group, replies: pa.Table, sets: int) -> list[np.ndarray]:
+    raw = replies_of(replies, NOTE).get(-1 - group.g)
+    if raw is None:
+        return [np.empty(0, np.int64)] * sets
+    size = len(raw) // sets
+    return [np.flatnonzero(flags(raw[k * size : (k + 1) * size], len(group.codes))) for k in range(sets)]
+
+
+def passed_on(sent: pa.Table) -> pa.Table:
+    """Notes go back to where they came from."""
+    return rows_of(REPLY, [(g, NOTE, b, a) for g, b, a in zip(sent["g"].to_pylist(), sent["bucket"].to_pylist(), sent["a"].to_pylist(), strict=True)])
+
+
 # -- round 2: long symbols -----------------------------------------------------
 
 
 @dataclass
 class Long:
-    """Symbols of ``width`` words and more of a group, and the shorter ones that they are made of.
+    """Symbols of LONG widths and more of a group, and the shorter ones that they are made of.
 
     A long one is known by two names (of a run: the word's and how often), a
     short one by its words.
@@ -466,20 +508,18 @@ class Long:
 
 
 def long_symbols(group: Group, places: np.ndarray) -> Long:
-    """All symbols of ``width`` words or more, and their shorter halves, within what the windows at ``places`` cover."""
-    n, width = len(group.codes), group.width
+    """All symbols of LONG widths or more, and their shorter halves, within what the windows at ``places`` cover."""
+    n, width, least = len(group.codes), group.width, LONG * group.width
     marks = np.zeros(n + 1, np.int32)
     marks[places] = 1
     # a symbol of w words holds w - width + 1 windows; all must be among the places
     upto = np.r_[0, np.cumsum(marks)]
-    s, covered = group.runs(), np.r_[0, np.cumsum(np.convolve(marks[:-1], np.ones(width, np.int32))[:n] > 0)] if n else np.zeros(1, int)
-    keep = covered[s.end] - covered[s.start] == s.end - s.start
-    name, start, end, part = s.name[keep], s.start[keep], s.end[keep], s.part[keep]
-    part = np.cumsum(apart(start, end, part)).astype(np.int32)
+    s = group.cut_runs(places)
+    name, start, end, part = s.name, s.start, s.end, s.part
 
     def inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         size = b - a
-        whole = size >= width
+        whole = size >= least
         return whole & (upto[np.where(whole, b - width + 1, 0)] - upto[np.where(whole, a, 0)] == size - width + 1)
 
     found: list[tuple[np.ndarray, ...]] = []
@@ -508,7 +548,7 @@ def long_symbols(group: Group, places: np.ndarray) -> Long:
         name, start, end, part = name[keep], start[keep], end[keep], part[keep]
         if level >= ROUNDS:
             # nothing long will hold what is not covered
-            live = (end - start < width) | inside(start, end)
+            live = (end - start < least) | inside(start, end)
             name, start, end, part = name[live], start[live], end[live], part[live]
             part = np.cumsum(apart(start, end, part)).astype(np.int32)
     return Long(*(np.concatenate(c) for c in zip(*found, strict=True)))
@@ -545,9 +585,12 @@ def send_long(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int
     if not state.num_rows:
         return SENT.empty_table()
     group = Group(state, width)
-    symbols = long_symbols(group, open_windows(group, group.picks(), replies, buckets[0]))
+    places = open_windows(group, replies, buckets[0])
+    if not len(places):
+        return SENT.empty_table()
+    symbols = long_symbols(group, places)
     head, ids, _ = distinct_symbols(group, symbols)
-    out = []
+    out = [noted(group, places)]
     for b, at in by_bucket(bucket_of(symbols.name[head], buckets[1])):
         h = head[at]
         short = h[~symbols.long[h]]
@@ -562,6 +605,8 @@ def send_long(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int
 
 def settled_symbols(sent: pa.Table) -> pa.Table:
     """For each group two bits a symbol: whether its name means one thing only, and whether a smaller id than the group's has it."""
+    if sent["bucket"][0].as_py() < 0:
+        return passed_on(sent)
     names, made, ids, sizes = [], [], [], []
     for a, b, c, d in zip(*(sent[x].to_pylist() for x in "abcd"), strict=True):
         kind, flat, codes = np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(a, U), unpacked(c)
@@ -626,7 +671,8 @@ class Stretches:
     cuts: np.ndarray
 
 
-def stretches(group: Group, best: np.ndarray, places: np.ndarray, buckets: int) -> Stretches:
+def stretches(group: Group, places: np.ndarray, buckets: int) -> Stretches:
+    best = group.picks(places)
     h, own = group.hashes(places), group.own(places)
     order = np.lexsort((places, own, h))
     begin = firsts(h[order])
@@ -648,21 +694,18 @@ def stretches(group: Group, best: np.ndarray, places: np.ndarray, buckets: int)
     return Stretches(places, number[first], heads, ids, bucket, np.flatnonzero(since % STRETCH == 0))
 
 
-def asked(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int, int, int]) -> tuple[Group, Stretches, np.ndarray]:
-    """What round 3 asks, and the windows that are settled without it."""
-    group = Group(state, width)
-    best = group.picks()
-    places = open_windows(group, best, replies, buckets[0])
-    done = settled(group, long_symbols(group, places), replies, buckets[1])
-    return group, stretches(group, best, places[~done[places]], buckets[2]), np.flatnonzero(done)
-
-
-def send_windows(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int, int, int]) -> pa.Table:
+def send_windows(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int, int]) -> pa.Table:
     if not state.num_rows:
         return SENT.empty_table()
-    group, s, _ = asked(state, replies, width, buckets)
+    group = Group(state, width)
+    (places,) = recalled(group, replies, 1)
+    if not len(places):
+        return SENT.empty_table()
+    done = settled(group, long_symbols(group, places), replies, buckets[0])
+    places = places[~done[places]]
+    s = stretches(group, places, buckets[1])
     sizes = np.diff(np.r_[s.cuts, len(s.heads)])
-    out = []
+    out = [noted(group, places, np.flatnonzero(done))]
     for b, at in by_bucket(s.bucket[s.cuts]):
         n = sizes[at]
         span = n + width - 1
@@ -673,6 +716,8 @@ def send_windows(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[
 
 def smaller_ids(sent: pa.Table, width: int) -> pa.Table:
     """For each group which of its windows a smaller id than its own has; windows are compared word by word."""
+    if sent["bucket"][0].as_py() < 0:
+        return passed_on(sent)
     sizes = [np.frombuffer(x, np.uint16).astype(np.int64) for x in sent["a"].to_pylist()]
     n = np.concatenate(sizes)
     ids = np.repeat(np.concatenate([unpacked(x) for x in sent["b"].to_pylist()]), n)
@@ -694,11 +739,13 @@ def smaller_ids(sent: pa.Table, width: int) -> pa.Table:
     return answers(sent, 3, less, [int(x.sum()) for x in sizes])
 
 
-def gone_words(state: pa.Table, replies: pa.Table, width: int, buckets: tuple[int, int, int]) -> pa.Table:
+def gone_words(state: pa.Table, replies: pa.Table, width: int, buckets: int) -> pa.Table:
     """The words of a group that lie in a window which a document of smaller id has."""
     if not state.num_rows:
         return GONE.empty_table()
-    group, s, done = asked(state, replies, width, buckets)
+    group = Group(state, width)
+    places, done = recalled(group, replies, 2)
+    s = stretches(group, places, buckets)
     less = heard(replies_of(replies, 3), s.bucket)
     gone = np.concatenate([done, s.open[less[s.head_of] | (s.own[s.head_of] < group.own(s.open))]])
     if not len(gone):
@@ -747,11 +794,8 @@ def dedup(docs: DataFrame, *, width: int = 13, id_col: str = "doc_id", text_col:
     told = by_group.applyInArrow(lambda t: send_words(t, words), ddl(SENT)).groupBy("bucket").applyInArrow(lambda t: number_words(t, words), ddl(REPLY))
     state = by_group.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: numbered(t, a, words), ddl(STATE)).groupBy("g")
     told = state.applyInArrow(lambda t: send_names(t, width, names), ddl(SENT)).groupBy("bucket").applyInArrow(shared_names, ddl(REPLY))
-    asked_long = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: send_long(t, a, width, (names, long)), ddl(SENT))
-    told = told.unionByName(asked_long.groupBy("bucket").applyInArrow(settled_symbols, ddl(REPLY)))
-    buckets = (names, long, groups)
-    asked_windows = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: send_windows(t, a, width, buckets), ddl(SENT))
-    told = told.unionByName(asked_windows.groupBy("bucket").applyInArrow(lambda t: smaller_ids(t, width), ddl(REPLY)))
-    gone = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: gone_words(t, a, width, buckets), ddl(GONE))
+    told = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: send_long(t, a, width, (names, long)), ddl(SENT)).groupBy("bucket").applyInArrow(settled_symbols, ddl(REPLY))
+    told = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: send_windows(t, a, width, (long, groups)), ddl(SENT)).groupBy("bucket").applyInArrow(lambda t: smaller_ids(t, width), ddl(REPLY))
+    gone = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: gone_words(t, a, width, groups), ddl(GONE))
     schema = ", ".join(["doc_id long", *(f"{n} {SPARK[OUTPUTS[n]]}" for n in outputs)])
     return by_group.cogroup(gone.groupBy("g")).applyInArrow(lambda t, a: finish(t, a, outputs), schema)
