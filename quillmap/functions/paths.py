@@ -23,8 +23,15 @@ CONFIG_ENDS = (".json", ".jsonc", ".yaml", ".yml", ".toml", ".ini", ".xml", ".pr
 CONFIG_LANGUAGES = ("json", "yaml", "toml", "ini", "xml", "dockerfile", "config")
 
 
+#: Folders and file endings of tests and fixtures as edges see them, and where ``tests`` folders are none.
+GRAPH_FIXTURES, GRAPH_TESTS = ("__tests__", "__mocks__", "fixtures", "testdata", "test-data"), ("test", "tests")
+TEST_MARKS, SCRIPT_ENDS = ("test", "spec"), ("js", "jsx", "ts", "tsx", "cjs", "cjsx", "cts", "ctsx", "mjs", "mjsx", "mts", "mtsx")
+
+
 def _folder(path: Column, names: tuple[str, ...]) -> Column:
-    return path.rlike("(^|/)(" + "|".join(map(re.escape, names)) + ")(/|$)")
+    """A folder of that name on the way, or a path that is the name; a file of that name in a folder is none."""
+    one_of = "|".join(map(re.escape, names))
+    return path.rlike(f"^({one_of})$|(^|/)({one_of})/")
 
 
 def _ends(path: Column, ends: tuple[str, ...]) -> Column:
@@ -99,9 +106,14 @@ def noise(path: Column) -> Column:
 
 def graph_test_path(path: Column) -> Column:
     """Test or fixture, as edges see it."""
-    p = F.regexp_replace(F.trim(path), r"\\", "/")
-    named = p.rlike(r"(?i)\.(test|spec)\.[cm]?[jt]sx?$") | p.rlike("(?i)(^|/)(__tests__|__mocks__|fixtures|testdata|test-data)(/|$)")
-    return (p != "") & (named | (p.rlike("(?i)(^|/)tests?(/|$)") & ~p.rlike("(?i)(^|/)packages/[^/]+/src/")))
+    parts = F.split(F.lower(F.replace(F.trim(path), F.lit("\\"), F.lit("/"))), "/")
+    marks = F.split(F.element_at(parts, -1), r"\.")
+    named = (F.size(marks) > 2) & F.element_at(marks, -1).isin(*SCRIPT_ENDS) & F.try_element_at(marks, F.lit(-2)).isin(*TEST_MARKS)
+    fixture = F.arrays_overlap(parts, F.array(*map(F.lit, GRAPH_FIXTURES)))
+    # sources of a package keep their own ``test`` folders
+    sources = F.exists(F.sequence(F.lit(1), F.size(parts)), lambda i: (F.try_element_at(parts, i) == "packages") & (F.try_element_at(parts, i + 1) != "") & (F.try_element_at(parts, i + 2) == "src") & (i + 2 < F.size(parts)))
+    test = F.arrays_overlap(parts, F.array(*map(F.lit, GRAPH_TESTS))) & ~F.coalesce(sources, F.lit(False))
+    return (F.trim(path) != "") & (F.coalesce(named, F.lit(False)) | fixture | test)
 
 
 def glob_regex(pattern: str) -> str:

@@ -62,7 +62,7 @@ def last_segment(value: Column) -> Column:
 
 
 def search_path(path: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^(\\./|/)+", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^/+", ""))
 
 
 def has_term(field: Column, term: str) -> Column:
@@ -70,19 +70,28 @@ def has_term(field: Column, term: str) -> Column:
     return F.coalesce(field.rlike(f"(?i)(^|[^a-z0-9]){re.escape(term)}([^a-z0-9]|$)"), F.lit(False))
 
 
+#: Keywords in front of a declared name, of a bound name and of a construction, and what a usage is followed by.
+DECLARING, BINDING, CONSTRUCTING = ("class", "def", "function", "type", "interface", "enum", "struct"), ("const", "let", "var"), ("new",)
+CALL_MARK, ASSIGN_MARK = r"\(", "="
+
+
+def _behind(keywords: tuple[str, ...], name: str) -> str:
+    return rf"\b(?:{'|'.join(keywords)})\s+{name}\b"
+
+
 def usage_kind(content: Column, term: str) -> Column:
     """``executable`` for a construction, call or assignment, ``import`` for an import line, else null."""
-    t = re.escape(term)
-    run = content.rlike(rf"(?i)\bnew\s+{t}\b") | content.rlike(rf"(?i)\b{t}\s*\(") | content.rlike(rf"(?i)\b{t}\b\s*=")
-    brought = content.rlike(rf"(?i)\bimport\s+.*\b{t}\b") | content.rlike(rf"(?i)\bfrom\s+.+\s+import\s+.*\b{t}\b")
-    return F.when(run, "executable").when(brought, "import")
+    name = re.escape(term)
+    running = [_behind(CONSTRUCTING, name), rf"\b{name}\s*{CALL_MARK}", rf"\b{name}\b\s*{ASSIGN_MARK}"]
+    bringing = [rf"\bimport\s+.*\b{name}\b"]  # ``from x import name`` holds one too
+    return F.when(content.rlike("(?i)" + "|".join(running)), "executable").when(content.rlike("(?i)" + "|".join(bringing)), "import")
 
 
 def declares(content: Column, term: str) -> Column:
-    t = re.escape(term)
-    named = content.rlike(rf"(?i)\b(class|def|function|type|interface|enum|struct)\s+{t}\b")
-    bound = content.rlike(rf"(?i)\b(const|let|var)\s+{t}\b\s*=\s*((async\s+)?function\b|(async\s*)?(\([^)]*\)|[a-z_$][\w$]*)\s*=>)")
-    return F.coalesce(named | bound, F.lit(False))
+    """The term behind a declaring keyword, or bound to a function."""
+    name, argument = re.escape(term), r"(?:\([^)]*\)|[a-z_$][\w$]*)"
+    function = rf"(?:(?:async\s+)?function\b|(?:async\s*)?{argument}\s*=>)"
+    return F.coalesce(content.rlike(rf"(?i){_behind(DECLARING, name)}|{_behind(BINDING, name)}\s*=\s*{function}"), F.lit(False))
 
 
 def staleness(indexed_at: Column, now: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,22 +30,40 @@ def reuse_hashes(listing: DataFrame, checkpoint: DataFrame) -> DataFrame:
     return joined.select("path", F.when(keep, F.col("old_hash")).otherwise(F.sha2("content", 256)).alias("hash"), (~keep).alias("rehashed"))
 
 
-def merkle(files: DataFrame, buckets: int = 1024) -> DataFrame:
+def _joined(lines: str) -> Column:
+    """A hash of a group's lines in order of their paths."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(lines)), lambda x: x["line"]), ""), 256)
+
+
+def merkle(files: DataFrame) -> DataFrame:
     """(root): sha256 over sorted lines of path, NUL, hash.
 
-    The lines of all files make one string, so this is for a repository's
-    checkpoint; ``bucket_roots`` compares larger ones.
+    The lines of all files make one string, so this is for the checkpoint of one
+    repository; ``bucketed_root`` is for any number of files.
     """
     line = F.concat("path", F.lit("\0"), "hash", F.lit("\n"))
-    return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), ""), 256).alias("root"))
+    return files.select(F.struct("path", line.alias("line")).alias("x")).agg(_joined("x").alias("root"))
+
+
+def bucket_roots(files: DataFrame, digits: int = 3) -> DataFrame:
+    """(bucket, root): a root for each slice of the paths, so that no row holds all of them; 16 to the ``digits`` slices."""
+    line = F.concat("path", F.lit("\0"), "hash", F.lit("\n"))
+    rows = files.select(F.substring(F.sha2("path", 256), 1, digits).alias("path_"), F.struct("path", line.alias("line")).alias("x"))
+    return rows.groupBy(F.col("path_").alias("bucket")).agg(_joined("x").alias("root"))
+
+
+def bucketed_root(files: DataFrame, digits: int = 3) -> DataFrame:
+    """(root): the same over the roots of the slices."""
+    return merkle(bucket_roots(files, digits).select(F.col("bucket").alias("path"), F.col("root").alias("hash")))
 
 
-def bucket_roots(files: DataFrame, buckets: int = 1024) -> DataFrame:
-    """(bucket, root): a root for each slice of the paths, so that no row holds all of them."""
-    bucket = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(buckets))
+def source_digests(files: DataFrame, group: str, digits: int = 2) -> DataFrame:
+    """(group, files, digest): for each group a root over the roots of its slices (path, hash)."""
     line = F.concat("path", F.lit("\0"), "hash", F.lit("\n"))
-    rows = files.select(bucket.alias("bucket"), F.struct("path", line.alias("line")).alias("x"))
-    return rows.groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), ""), 256).alias("root"))
+    slices = files.select(group, F.substring(F.sha2("path", 256), 1, digits).alias("slice"), F.struct("path", line.alias("line")).alias("x"))
+    roots = slices.groupBy(group, "slice").agg(F.count("*").alias("n"), _joined("x").alias("root"))
+    lines = roots.select(group, "n", F.struct(F.col("slice").alias("path"), F.concat("slice", F.lit("\0"), "root", F.lit("\n")).alias("line")).alias("x"))
+    return lines.groupBy(group).agg(F.sum("n").alias("files"), _joined("x").alias("digest"))
 
 
 def compressed_prefixes(prefixes: DataFrame) -> DataFrame:

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmap.functions import paths, text
+from quillmap.functions import paths, source, text
+from quillmap.sources.store import use_checkpoints
 
 #: Confidence of a call to the nearest target in its own file and elsewhere.
 SAME_FILE, OTHER_FILE = 0.92, 0.78
 #: Bytes of a rerank document; callers, callees and tests in it at most.
-RERANK_BYTES, CONTEXT_CAPS = 4000, (3, 3, 2)
+RERANK_BYTES, CONTEXT_CAPS = 4000, {"direct_callers": 3, "direct_callees": 3, "supporting_tests": 2}
+#: Evidence labels of results, the strongest first.
+EVIDENCE = ("high_owner_confidence", "medium_owner_confidence", "high_semantic_confidence", "medium_semantic_confidence", "ranked_candidate")
+#: What became of the lane of ``must:`` terms.
+MUST_STATUS = {
+    "unsupported": "lane_unavailable",
+    "failed": "lane_failed",
+    "budget": "partial_candidate_budget",
+    "completed": "lane_completed_within_backend_results",
+}
+#: Names that too many things have for an import to say which is meant.
+GENERIC_NAMES = (
+    "push pop shift unshift get set has add delete clear map filter find findindex foreach reduce sort includes "
+    "indexof slice splice concat join split keys values entries next then catch finally apply call bind tostring valueof "
+    "size length update create remove insert write read close open start stop run init load save parse format error"
+).split()
 #: Breadcrumbs of a result at most.
 BREADCRUMBS = 2
 
@@ -78,15 +97,39 @@ def repaired_owner(hits: DataFrame, symbols: DataFrame, terms: list[str]) -> Dat
     return kept.select("id", "owner", F.lit("stored").alias("source")).unionByName(repaired)
 
 
-def reexports(imports: DataFrame, exports: DataFrame, hops: int = 3) -> DataFrame:
-    """(file, target): what a file imports, straight or through up to ``hops`` files that export it again."""
-    reached = imports.select("file", "target").distinct()
-    frontier = reached
-    for _ in range(hops):
-        frontier = frontier.join(exports.select(F.col("file").alias("target"), F.col("target").alias("next")), "target").select("file", F.col("next").alias("target")).distinct()
-        frontier = frontier.join(reached, ["file", "target"], "left_anti")
-        reached = reached.unionByName(frontier)
-    return reached
+def reexports(imports: DataFrame, exports: DataFrame, rounds: int = 60) -> DataFrame:
+    """(file, target): what a file imports, straight or through files that export it again, however many.
+
+    Each round follows one more export from what the last round found; what is
+    known is kept on shared storage, so that a round costs its new rows only.
+    """
+    use_checkpoints(imports.sparkSession)
+    steps = exports.select(F.col("file").alias("target"), F.col("target").alias("next")).distinct()
+    reached = frontier = imports.select("file", "target").distinct().checkpoint()
+    for _ in range(rounds):
+        found = frontier.join(steps, "target").select("file", F.col("next").alias("target")).distinct()
+        frontier = found.join(reached, ["file", "target"], "left_anti").checkpoint()
+        if frontier.isEmpty():
+            return reached
+        reached = reached.unionByName(frontier).checkpoint()
+    raise RuntimeError("the exports did not settle")
+
+
+def upgraded_calls(calls: DataFrame, symbols: DataFrame, reached: DataFrame) -> DataFrame:
+    """Calls (src, dst, file, name, confidence) whose low confidence is raised to medium where the caller's file has the target.
+
+    It has it if its imports (``reached``: file, target) name the target's file
+    and the name is the only one of its kind there and not a generic one.
+    symbols: symbol_key, name, file, kind.
+    """
+    named = symbols.filter("kind <> 'file'")
+    only = named.groupBy("file", F.lower("name").alias("low_")).agg(F.count("*").alias("n_")).filter("n_ = 1").select(F.col("file").alias("dst_file_"), "low_")
+    where = symbols.select(F.col("symbol_key").alias("dst"), F.col("file").alias("dst_file_"))
+    support = reached.select("file", F.col("target").alias("dst_file_"), F.lit(True).alias("has_")).distinct()
+    rows = calls.join(where, "dst", "left").withColumn("low_", F.lower("name"))
+    rows = rows.join(only.withColumn("one_", F.lit(True)), ["dst_file_", "low_"], "left").join(support, ["file", "dst_file_"], "left")
+    raised = (F.col("confidence") == "low") & F.col("has_") & F.col("one_") & ~F.col("low_").isin(*GENERIC_NAMES)
+    return rows.withColumn("confidence", F.when(raised, "medium").otherwise(F.col("confidence"))).select(*calls.columns)
 
 
 def capability(files: DataFrame, *, search_only: list[str]) -> DataFrame:
@@ -97,10 +140,17 @@ def capability(files: DataFrame, *, search_only: list[str]) -> DataFrame:
     return sums.select("language", "indexed", zero("bearing").alias("bearing"), zero("free").alias("free"), zero("unavailable").alias("unavailable"), (zero("bearing") + zero("unavailable")).alias("eligible"))
 
 
-def tier(rows: DataFrame) -> DataFrame:
-    share = F.col("bearing") / F.col("eligible")
-    kind = F.when(F.col("eligible") == 0, "search_only").when(share >= 0.6, "full").otherwise("partial")
-    return rows.groupBy(kind.alias("tier")).agg(F.count("*").alias("languages"))
+def tier_counts(declarations: DataFrame) -> DataFrame:
+    """One row of counts over language declarations (extensions, filenames, parser, claim, calls)."""
+    number = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    routed = (F.coalesce(F.size("extensions"), F.lit(0)) > 0) | (F.coalesce(F.size("filenames"), F.lit(0)) > 0)
+    return declarations.agg(
+        F.count("*").alias("total_declarations"),
+        number(routed).alias("recognized_routed"),
+        number(F.col("parser") != "none").alias("parser_covered"),
+        number(F.col("claim") == "symbol_only").alias("symbol_only"),
+        number(F.col("calls") == "production_ready").alias("call_graph"),
+    )
 
 
 def merged_spans(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,18 +164,70 @@ def legacy_calls(calls: DataFrame, targets: DataFrame, nearest: DataFrame) -> tu
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """Ranked results with the strongest evidence that each has."""
-    label = F.when(F.col("exact"), "exact").when(F.col("must"), "must").when(F.col("score") >= 0.5, "strong").otherwise("related")
+    """Ranked results with the strongest evidence that each has, by the confidence in its owner and then in its meaning."""
+    label = F.lit(EVIDENCE[-1])
+    tests = [F.col(side) == level for side in ("owner_confidence", "semantic_confidence") for level in ("high", "medium")]
+    for name, holds in reversed(list(zip(EVIDENCE, tests, strict=False))):
+        label = F.when(F.coalesce(holds, F.lit(False)), name).otherwise(label)
     return rows.select("rank", "id", label.alias("evidence"))
 
 
-def rerank_document(rows: DataFrame) -> DataFrame:
-    """(id, document): JSON of a fixed field order whose excerpt is cut so that the whole stays within RERANK_BYTES."""
-    head = F.to_json(F.struct("path", "role", "kind", "label"))
-    room = F.lit(RERANK_BYTES) - F.octet_length(head) - 40
-    excerpt = F.substring(F.col("content"), 1, 900)
-    whole = F.to_json(F.struct("path", "role", "kind", "label", excerpt.alias("excerpt")))
-    return rows.select("id", F.when(room > 0, whole).otherwise(head).alias("document"))
+def rerank_json(row: dict, terms: list[str], phrase: str | None = None) -> str:
+    """One rerank document: JSON with sorted keys, source within the bytes that the rest leaves, then references while they fit."""
+    context: dict[str, list] = {name: [] for name in CONTEXT_CAPS}
+
+    def document(excerpt: str) -> str:
+        return json.dumps(
+            {
+                "candidate_role": row["role"],
+                "canonical_symbol_label": row["label"],
+                "query_relevant_source_excerpt": excerpt,
+                "repository_relative_path": row["path"],
+                "signature_or_declaration": row["declaration"],
+                "structural_context": context,
+                "symbol_kind": row["kind"],
+            },
+            ensure_ascii=False, separators=(",", ":"), sort_keys=True,
+        )
+
+    size = lambda text: len(text.encode())
+    if size(document("")) > RERANK_BYTES:
+        raise ValueError("names and declaration alone exceed a rerank document")
+    content = row["content"] or ""
+    lines, excerpt, room = content.split("\n"), "", RERANK_BYTES - size(document(""))
+    # escapes need more bytes than the source has: the budget is lowered by what is too much
+    while room > 0:
+        parts = source.excerpts(content, 1, len(lines), phrase, terms, room)
+        excerpt = "\n".join("\n".join(lines[a - 1 : b]) for a, b in parts)
+        over = size(document(excerpt)) - RERANK_BYTES
+        if over <= 0:
+            break
+        excerpt, room = "", min(room, size(excerpt)) - max(1, over // 6)
+    for name, cap in CONTEXT_CAPS.items():
+        held = row.get(name)
+        for reference in sorted([] if held is None else held, key=lambda r: (r["path"], r["label"]))[:cap]:
+            context[name].append({"label": reference["label"], "path": reference["path"]})
+            if size(document(excerpt)) > RERANK_BYTES:
+                context[name].pop()
+                return document(excerpt)
+    return document(excerpt)
+
+
+def rerank_documents(rows: DataFrame, terms: list[str], phrase: str | None = None) -> DataFrame:
+    """(id, document) of at most RERANK_BYTES.
+
+    rows: id, path, role, kind, label, declaration, content, and arrays of
+    (path, label) direct_callers, direct_callees and supporting_tests.
+    """
+    columns = ["id", "path", "role", "kind", "label", "declaration", "content", *CONTEXT_CAPS]
+
+    def work(parts):
+        for part in parts:
+            made = [rerank_json(r, terms, phrase) for r in part.to_dict("records")]
+            yield pd.DataFrame({"id": part["id"], "document": made})
+
+    plain = [F.transform(F.coalesce(c, F.array()), lambda r: F.struct(r["path"].alias("path"), r["label"].alias("label"))).alias(c) for c in CONTEXT_CAPS]
+    return rows.select(*columns[:7], *plain).mapInPandas(work, f"id {rows.schema['id'].dataType.simpleString()}, document string")
 
 
 def survival(stages: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -159,7 +261,8 @@ def symbol_order() -> list[Column]:
 
 
 def relationship_order() -> list[Column]:
-    return [F.asc("file"), F.asc_nulls_last("line"), F.asc("src"), F.asc("dst"), F.asc("type")]
+    spans = ("line", "start_byte", "end_byte", "start_column", "end_column")
+    return [F.asc("file"), *map(F.asc_nulls_last, spans), F.asc("src"), F.asc("dst"), F.asc("type")]
 
 
 def fallback_calls(sources: DataFrame, names: list[str]) -> DataFrame:
@@ -183,10 +286,10 @@ def controls(old: DataFrame, put: DataFrame, drop: DataFrame) -> DataFrame:
 
 
 def dirty_overlay(rows: DataFrame, changed: DataFrame, term: str, most: int = 16) -> DataFrame:
-    """Of changed files the chunks that hold the term, best placed first, at most so many files."""
+    """Of changed files the chunks that hold the term, the first so many files by path."""
     hits = rows.join(changed.select("path").distinct(), "path", "left_semi").filter(text.has_term(F.col("content"), term))
-    ranked = hits.withColumn("n_", F.dense_rank().over(Window.orderBy("path")))
-    return ranked.filter(F.col("n_") <= most).select("id", "path", paths.role(F.col("path"), F.col("language"), F.lit("function")).alias("role"))
+    first = hits.select("path").distinct().orderBy("path").limit(most)
+    return hits.join(F.broadcast(first), "path", "left_semi").select("id", "path", paths.role(F.col("path"), F.col("language"), F.lit("function")).alias("role"))
 
 
 def unique_symbols(symbols: DataFrame, key: str = "symbol_key") -> DataFrame:
@@ -195,15 +298,11 @@ def unique_symbols(symbols: DataFrame, key: str = "symbol_key") -> DataFrame:
     return once.filter(F.when(F.col("n_") > 1, F.raise_error(F.concat(F.lit("symbol key used twice: "), key))).otherwise(F.lit(True))).drop("n_")
 
 
-def coverage_status(asked: int, found: int, pool: int, limit: int) -> str:
-    """How well ``must:`` terms were met: none asked, all met, met in part, not met, or the pool was too small to tell."""
-    if not asked:
-        return "not_requested"
-    if found >= limit:
-        return "satisfied"
-    if found:
-        return "partial"
-    return "exhausted" if pool >= 80 else "insufficient_pool"
+def must_coverage(outcome: str | None, *, skipped: bool = False) -> str | None:
+    """How far the lane of ``must:`` terms came: ``outcome`` is a key of MUST_STATUS, or none if the lane did not run."""
+    if outcome is None:
+        return "lane_skipped_primary_limit_filled" if skipped else None
+    return MUST_STATUS[outcome]
 
 
 def traversal_pages(edges: DataFrame, symbol: str, *, after: str = "", limit: int = 20, confidences: tuple[str, ...] = ("high", "medium")) -> tuple[DataFrame, DataFrame]:

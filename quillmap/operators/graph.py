@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmap.functions import paths
+from quillmap.sources.store import use_checkpoints
 
 EDGE = ["src", "dst", "type", "file"]
 
@@ -17,27 +18,36 @@ def incident(edges: DataFrame, symbol: str, direction: str = "both", types: list
     return rows.filter(F.col("type").isin(*types)) if types else rows
 
 
-def neighbours(edges: DataFrame, start: DataFrame, *, depth: int, confidences: tuple[str, ...] = ("high",), types: list[str] | None = None, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
+def neighbours(
+    edges: DataFrame, start: DataFrame, *, depth: int, confidences: tuple[str, ...] = ("high",), types: list[str] | None = None, reverse: bool = False, limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, depth) reached in up to three steps, and the edges that were left out for their confidence.
 
     A level joins the last frontier to the edges; nodes seen before are taken
-    out by an anti join. Edges left out do not carry the walk on.
+    out by an anti join. Each frontier is kept on shared storage, so that a level
+    reads the edges once. Edges left out do not carry the walk on. With a limit
+    the walk ends when so many nodes are reached; of the level that is too much
+    the first by name stay.
     """
     if not 1 <= depth <= 3:
         raise ValueError("depth is 1 to 3")
+    use_checkpoints(edges.sparkSession)
     e = edges.filter(F.col("type").isin(*types)) if types else edges
     if reverse:
         e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "file", "confidence")
     trusted, other = e.filter(F.col("confidence").isin(*confidences)), e.filter(~F.col("confidence").isin(*confidences))
-    frontier = start.select("node").distinct()
-    seen = frontier.select("node", F.lit(0).alias("depth"))
-    left_out = None
+    frontier = start.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    seen = frontier
     for level in range(1, depth + 1):
-        part = other.join(frontier, F.col("src") == F.col("node"), "left_semi").select(*EDGE, "confidence").withColumn("depth", F.lit(level))
-        left_out = part if left_out is None else left_out.unionByName(part)
-        step = trusted.join(frontier, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti")
-        seen = seen.unionByName(frontier.select("node", F.lit(level).alias("depth")))
+        near = frontier.filter(F.col("depth") == level - 1).select(F.col("node").alias("src"))
+        step = trusted.join(near, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
+        if limit is not None:
+            frontier = frontier.orderBy("node").limit(max(0, limit - seen.count()))
+        frontier = frontier.checkpoint()
+        seen = seen.unionByName(frontier)
+    at = seen.filter(F.col("depth") < depth).select(F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"))
+    left_out = other.join(at, "src").select(*EDGE, "confidence", "depth")
     return seen, left_out
 
 
@@ -53,8 +63,6 @@ def tests_of(calls: DataFrame) -> DataFrame:
 
 def closure(pairs: DataFrame, rounds: int = 20) -> DataFrame:
     """(a, b): every b that a reaches; paths double in each round."""
-    from quillmap.sources.store import use_checkpoints
-
     use_checkpoints(pairs.sparkSession)
     now = pairs.select("a", "b").distinct()
     size = now.count()
@@ -75,16 +83,31 @@ def delta_merge(old: DataFrame, rebuilt: DataFrame, affected: DataFrame, key: li
     return both.withColumn("n_", F.row_number().over(last)).filter("n_ = 1").drop("n_", "turn_")
 
 
-def affected_files(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """Changed files and the files of edges into them."""
-    into = edges.join(changed.select(F.col("file").alias("dst_file")), "dst_file", "left_semi").select("file")
-    return changed.select("file").unionByName(into).distinct()
+def affected_files(edges: DataFrame, changed: DataFrame, *, calls: DataFrame | None = None, names: DataFrame | None = None, imports: tuple[DataFrame, DataFrame] | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """The files whose edges a change may touch: (file).
+
+    Changed files and those of edges into them (edges: file, dst_file); files that
+    call a changed name (calls: file, name; names: name); files whose imports
+    resolve otherwise than before (two frames of file, import, path); and files of
+    claims that rest on a changed one (claims: file, depends_on).
+    """
+    out = changed.select("file").unionByName(edges.join(changed.select(F.col("file").alias("dst_file")), "dst_file", "left_semi").select("file"))
+    if calls is not None and names is not None:
+        out = out.unionByName(calls.join(names.select("name"), "name", "left_semi").select("file"))
+    if imports is not None:
+        before, after = (i.select("file", "import", "path") for i in imports)
+        out = out.unionByName(before.exceptAll(after).unionByName(after.exceptAll(before)).select("file"))
+    if claims is not None:
+        out = out.unionByName(claims.join(changed.select(F.col("file").alias("depends_on")), "depends_on", "left_semi").select("file"))
+    return out.distinct()
 
 
 def prioritised_notes(notes: DataFrame, *, tests: int = 3) -> DataFrame:
-    """Production notes, the first few test notes of each kind, and a row that counts the test notes left out."""
+    """Production notes, the first few test notes in all, and one row that counts the test notes left out."""
     test = paths.graph_test_path(F.col("path"))
-    ranked = notes.withColumn("test", test).withColumn("n_", F.row_number().over(Window.partitionBy("kind", "test").orderBy("path", "line")))
-    kept = ranked.filter(~F.col("test") | (F.col("n_") <= tests)).select("kind", "path", "line", F.lit(1).cast("long").alias("count"))
-    rest = ranked.filter(F.col("test") & (F.col("n_") > tests)).groupBy("kind").agg(F.count("*").alias("count")).select("kind", F.lit("(more tests)").alias("path"), F.lit(None).cast("long").alias("line"), "count")
-    return kept.unionByName(rest)
+    ranked = notes.withColumn("test", test).withColumn("n_", F.lit(0))
+    # the few test notes that stay are taken by a limit, so that no task sorts all
+    first = ranked.filter("test").orderBy("path", "line", "kind").limit(tests)
+    kept = ranked.filter(~F.col("test")).unionByName(first).select("kind", "path", "line", F.lit(1).cast("long").alias("count"))
+    rest = ranked.filter("test").agg((F.count("*") - tests).alias("count")).filter("count > 0")
+    return kept.unionByName(rest.select(F.lit("summary").alias("kind"), F.lit("(more tests)").alias("path"), F.lit(None).cast("long").alias("line"), "count"))

@@ -6,20 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Names that too many things have to say which is meant.
-GENERIC_NAMES = ("get", "set", "run", "add", "init", "main", "call", "close", "open", "read", "write")
+
+#: Lines of a bin by which spans meet the lines that they may hold.
+BIN = 64
+#: Bins that a span is listed in one by one; longer ones are listed by larger bins.
+SPREAD = 8
 
 
 def innermost(inner: DataFrame, outer: DataFrame, *, keys: list[str], file: str = "file") -> DataFrame:
     """Each inner span with the smallest outer span of its file that contains it; of equal ones the first by kind and key. Null if none does.
 
     inner: keys, file, start_line, end_line; outer: file, s, e, kind_rank, symbol_key.
-    The file is the equi key of the join; containment is tested on its rows.
+    A span is listed in bins of its own scale, at most SPREAD + 1 of them, and an
+    inner one looks into the bin of its first line at every scale: a long file
+    costs its spans times the depth of their nesting, not their square.
     """
-    o = outer.select(F.col(file).alias("file_"), "s", "e", "kind_rank", "symbol_key")
-    hit = (F.col(file) == F.col("file_")) & (F.col("s") <= F.col("start_line")) & (F.col("end_line") <= F.col("e"))
+    scales = [BIN * SPREAD**i for i in range(8)]
+    length, scale = F.col("e") - F.col("s") + 1, F.lit(len(scales) - 1)
+    for i, size in reversed(list(enumerate(scales))):
+        scale = F.when(length <= size * SPREAD, F.lit(i)).otherwise(scale)
+    width = F.element_at(F.array(*map(F.lit, scales)), F.col("scale_") + 1)
+    listed = outer.select(F.col(file).alias("file_"), "s", "e", "kind_rank", "symbol_key", scale.alias("scale_"))
+    listed = listed.withColumn("bin_", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
+    looks = F.array(*(F.struct(F.lit(i).alias("scale_"), F.floor(F.col("start_line") / size).alias("bin_")) for i, size in enumerate(scales)))
+    asked = inner.withColumn("look_", F.explode(looks)).select(*inner.columns, "look_.scale_", "look_.bin_")
+    pairs = asked.join(listed, (F.col(file) == F.col("file_")) & (asked["scale_"] == listed["scale_"]) & (asked["bin_"] == listed["bin_"]) & (F.col("s") <= F.col("start_line")) & (F.col("end_line") <= F.col("e")))
     order = F.struct((F.col("e") - F.col("s")).alias("size"), "kind_rank", "symbol_key")
-    best = inner.join(o, hit).groupBy(*keys).agg(F.min_by("symbol_key", order).alias("owner"), F.count("*").alias("containing"))
+    best = pairs.groupBy(*keys).agg(F.min_by("symbol_key", order).alias("owner"), F.count("*").alias("containing"))
     return inner.select(*keys).distinct().join(best, keys, "left").withColumn("containing", F.coalesce("containing", F.lit(0).cast("long")))
 
 
@@ -62,11 +75,32 @@ def unique_suffix(names: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def nearest_line(calls: DataFrame, targets: DataFrame) -> DataFrame:
-    """(call, target): of the targets of the call's name those of its file, else all; of these the one that starts nearest."""
-    t = targets.select(F.lower("name").alias("name_"), F.col("file").alias("file_"), F.col("line").alias("line_"), "key")
-    pairs = calls.join(t, F.lower("name") == F.col("name_"))
-    order = F.struct((F.col("file") != F.col("file_")).alias("away"), F.abs(F.col("line") - F.col("line_")).alias("far"), "file_", "line_", "key")
-    return pairs.groupBy("call").agg(F.min_by(F.struct("key", (F.col("file") == F.col("file_")).alias("same")), order).alias("m")).select("call", F.col("m.key").alias("target"), F.col("m.same").alias("same_file"))
+    """(call, target, same_file): of the targets of the call's name those of its file, else all; of these the one that starts nearest.
+
+    Equally near ones are decided by file, line and key. Calls and targets of a
+    name are swept together in order of lines, so that a call meets the target
+    before and the one behind it, and not all of its name. Calls without a target
+    give no row.
+    """
+    t = targets.select(F.lower("name").alias("name"), "file", "line", "key")
+    c = calls.select("call", F.lower("name").alias("name"), "file", "line")
+    here = _swept(c, t.groupBy("name", "file", "line").agg(F.min(F.struct("file", "line", "key")).alias("t")), ["name", "file"])
+    there = _swept(c, t.groupBy("name", "line").agg(F.min(F.struct("file", "line", "key")).alias("t")), ["name"])
+    same = here.select("call", "key", F.lit(True).alias("same_file"))
+    other = there.join(here, "call", "left_anti").select("call", "key", F.lit(False).alias("same_file"))
+    return same.unionByName(other).withColumnRenamed("key", "target")
+
+
+def _swept(calls: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+    """(call, key): the nearest target by line among those that agree in ``on``; targets: on, line and the struct t (file, line, key)."""
+    kind = targets.schema["t"].dataType.simpleString()
+    both = calls.select(*on, "line", "call", F.lit(None).cast(kind).alias("t")).unionByName(targets.select(*on, "line", F.lit(None).cast(calls.schema["call"].dataType).alias("call"), "t"))
+    order = Window.partitionBy(*on).orderBy("line", F.col("call").isNotNull())
+    back = Window.partitionBy(*on).orderBy(F.desc("line"), F.col("call").isNotNull())
+    seen = both.withColumn("before", F.last("t", True).over(order)).withColumn("behind", F.last("t", True).over(back)).filter("call IS NOT NULL")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("line") - F.col(c)["line"]).alias("far"), F.col(c).alias("t")))
+    best = F.least(near("before"), near("behind"))
+    return seen.select("call", best["t"]["key"].alias("key")).filter("key IS NOT NULL")
 
 
 def capped(rows: DataFrame, key: str, order: list, cap: int) -> DataFrame:

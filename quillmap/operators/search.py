@@ -14,8 +14,6 @@ from pyspark.sql.window import Window
 
 from quillmap.functions import text
 
-#: Okapi constants.
-K1, B = 1.2, 0.75
 #: The fusion constants within a pass and across passes.
 ARM_K, PASS_K = 100, 60
 
@@ -32,33 +30,6 @@ def cosine(rows: DataFrame, query: DataFrame, *, vector: str = "embedding") -> D
     return scored.withColumn("score", dot(F.col(vector), F.col("query_vector")) / (norm(F.col(vector)) * norm(F.col("query_vector")))).drop("query_vector")
 
 
-def bm25(rows: DataFrame, terms: list[str], *, mode: str = "all_terms", content: str = "content") -> DataFrame:
-    """The rows that hold all (or any) of the terms, with their BM25 score.
-
-    One pass over the text and one row of totals: term counts come from the
-    tokens in place, so no posting is shuffled.
-    """
-    if mode not in ("all_terms", "any_terms"):
-        raise ValueError(f"unknown match mode {mode}")
-    tokens = text.lexical_tokens(F.col(content))
-
-    def count_of(word: str) -> Column:
-        return F.size(F.filter(F.col("tokens_"), lambda t: t == F.lit(word))).cast("double")
-
-    counts = [count_of(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    counted = rows.withColumn("tokens_", tokens).select(*rows.columns, F.size("tokens_").cast("double").alias("dl_"), *counts)
-    totals = counted.agg(F.count("*").cast("double").alias("n_"), F.avg("dl_").alias("avg_"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"df{i}") for i in range(len(terms))))
-    found = counted.crossJoin(F.broadcast(totals))  # one row
-    score, held = F.lit(0.0), F.lit(0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n_") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl_") / F.col("avg_")))
-        held = held + F.when(tf > 0, 1).otherwise(0)
-    need = len(terms) if mode == "all_terms" else 1
-    return found.withColumn("score", score).filter(held >= need).select(*rows.columns, "score")
-
-
 def top(rows: DataFrame, k: int) -> DataFrame:
     """Highest scores, ties to the smaller id."""
     return rows.orderBy(F.desc("score"), "id").limit(k)
@@ -146,18 +117,61 @@ def first_removal(checks: list[tuple[str, Column]]) -> Column:
     return out
 
 
+#: Files of a lexical scan at most, and what a phrase and a term in a line are worth.
+SCAN_FILES, PHRASE_WORTH, TERM_WORTH = 128, 10_000, 100
+
+
 def line_windows(rows: DataFrame, terms: list[str], *, around: int = 2) -> DataFrame:
     """The first line of each row that holds a term, with the lines around it."""
     lines = F.split(F.col("content"), "\n")
     pattern = "|".join(re.escape(t) for t in terms)
     at = F.array_position(F.transform(lines, lambda x: x.rlike(f"(?i){pattern}")), F.lit(True))
-    found = rows.withColumn("lines_", lines).withColumn("line", at.cast("int")).filter("line > 0")
+    return _window(rows.withColumn("lines_", lines).withColumn("line", at.cast("int")).filter("line > 0"), around)
+
+
+def _window(found: DataFrame, around: int) -> DataFrame:
     begin = F.greatest(F.col("line") - around, F.lit(1))
     end = F.least(F.col("line") + around, F.size("lines_"))
     return found.withColumn("start_line", begin).withColumn("end_line", end).withColumn("window", F.array_join(F.slice("lines_", begin, end - begin + 1), "\n")).drop("lines_")
 
 
+def best_lines(rows: DataFrame, terms: list[str], *, phrase: str | None = None, around: int = 2) -> DataFrame:
+    """The line of each row with the most evidence, the first of equal ones: (line, evidence, exact, window and its ends).
+
+    Rows without evidence are left out. ``scan_order`` orders the rest.
+    """
+
+    def worth(line: Column) -> Column:
+        out = F.when(F.instr(F.lower(line), phrase) > 0, PHRASE_WORTH).otherwise(0) if phrase else F.lit(0)
+        for t in terms:
+            out = out + F.when(text.has_term(line, t), TERM_WORTH).otherwise(0)
+        return out
+
+    lines = rows.withColumn("lines_", F.split(F.col("content"), "\n"))
+    scored = lines.withColumn("worth_", F.transform("lines_", worth)).withColumn("evidence", F.array_max("worth_"))
+    found = scored.filter("evidence > 0").withColumn("line", F.array_position("worth_", F.col("evidence")).cast("int")).drop("worth_")
+    exact = F.instr(F.lower("content"), phrase) > 0 if phrase else F.lit(False)
+    return _window(found.withColumn("exact", exact), around)
+
+
+def scan_order() -> list[Column]:
+    return [F.desc("exact"), F.desc("evidence"), F.asc("line"), F.asc("path")]
+
+
 def max_sim(query_tokens: Column, doc_tokens: Column) -> Column:
     """Sum over the query's vectors of the largest inner product with the document's."""
     best = F.transform(query_tokens, lambda q: F.array_max(F.transform(doc_tokens, lambda d: dot(q, d))))
     return F.aggregate(best, F.lit(0.0), lambda a, x: a + x)
+
+
+def max_sim_groups(rows: DataFrame, tokens: DataFrame, group: str, *, vector: str = "embedding") -> DataFrame:
+    """(group, score) where a document is the group of its vectors, one a row.
+
+    ``tokens`` holds the vectors of one query's tokens; they go to all tasks as
+    one row. Each row gives its products, of which the largest by token and group
+    are summed, so that no group is ever one array.
+    """
+    query = tokens.agg(F.collect_list(vector).alias("query_"))
+    each = rows.crossJoin(F.broadcast(query)).select(group, F.posexplode(F.transform("query_", lambda q: dot(q, F.col(vector)))).alias("token_", "product_"))
+    best = each.groupBy(group, "token_").agg(F.max("product_").alias("best_"))
+    return best.groupBy(group).agg(F.sum("best_").alias("score"))

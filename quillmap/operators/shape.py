@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmap.sources.store import use_checkpoints
+
 #: Lines of a proximity bucket; results at most; shares from which symbols count as rich and mixed.
 PROXIMITY_LINES, MAX_RESULTS = 25, 200
 RICH, MIXED = 0.60, 0.20
@@ -18,8 +20,28 @@ def native_order() -> list[Column]:
     return [F.desc("must"), F.desc("exact"), F.desc("score"), F.asc("path"), F.asc_nulls_last("start_line"), F.asc("label"), F.asc("id")]
 
 
+def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """The rows with their place, from 1, in the order.
+
+    The rows are sorted by ranges and kept on shared storage; a row's place is
+    its number in its range behind those of the ranges before, so that no task
+    holds more than a range.
+    """
+    use_checkpoints(rows.sparkSession)
+    placed = rows.orderBy(*order).withColumn("at_", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("at_", 33)
+    sizes = {r.part: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}  # one row a range
+    before, offsets = 0, []
+    for p in sorted(sizes):
+        offsets.append((p, before))
+        before += sizes[p]
+    table = F.broadcast(rows.sparkSession.createDataFrame(offsets, "part_ long, before_ long"))
+    place = (F.col("before_") + F.col("at_") - F.shiftleft(part, 33) + 1).cast("long")
+    return placed.join(table, part == F.col("part_")).withColumn(name, place).drop("part_", "before_", "at_")
+
+
 def authoritative_rank(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*native_order())))
+    return ranked(rows, native_order())
 
 
 def group_key(path: Column, symbol_key: Column, instance: Column, start_line: Column, by: str = "symbol") -> Column:
@@ -81,22 +103,42 @@ def diversity(rows: DataFrame, *, limit: int, per_file: int = 2, per_symbol: int
 
 
 def byte_budget(rows: DataFrame, size: Column, budget: int, order: list) -> DataFrame:
-    """The longest beginning of the rows whose sizes stay within the budget; nothing after the first overflow."""
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("total_bytes", F.sum(size).over(upto)).filter(F.col("total_bytes") <= budget)
+    """The longest beginning of the rows whose sizes stay within the budget; nothing after the first overflow.
+
+    Sums of the ranges before tell which ranges begin within the budget; only
+    those are summed row by row, each in its own task.
+    """
+    use_checkpoints(rows.sparkSession)
+    placed = rows.withColumn("size_", size).orderBy(*order).withColumn("at_", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("at_", 33)
+    sums = {r.part: r.total for r in placed.groupBy(part.alias("part")).agg(F.sum("size_").alias("total")).collect()}  # one row a range
+    before, offsets = 0, []
+    for p in sorted(sums):
+        if before > budget:
+            break
+        offsets.append((p, before))
+        before += sums[p]
+    if not offsets:
+        return placed.withColumn("total_bytes", F.lit(0).cast("long")).drop("size_", "at_").limit(0)
+    table = F.broadcast(rows.sparkSession.createDataFrame(offsets, "part_ long, before_ long"))
+    upto = Window.partitionBy("part_").orderBy("at_").rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.join(table, part == F.col("part_"))
+    return near.withColumn("total_bytes", F.col("before_") + F.sum("size_").over(upto)).filter(F.col("total_bytes") <= budget).drop("part_", "before_", "at_", "size_")
 
 
 def family_pool(rows: DataFrame, limit: int, supplements: int = 2) -> DataFrame:
     """The first of each family in order, then up to so many more of each in turn."""
     turn = F.row_number().over(Window.partitionBy("family").orderBy("rank", "id"))
-    rows = rows.withColumn("turn", turn).filter(F.col("turn") <= 1 + supplements)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy((F.col("turn") > 1).cast("int"), "turn", "rank", "id"))).filter(F.col("place") <= limit)
+    order = [(F.col("turn") > 1).cast("int"), "turn", "rank", "id"]
+    # at most ``limit`` rows are left before they are numbered
+    head = rows.withColumn("turn", turn).filter(F.col("turn") <= 1 + supplements).orderBy(*order).limit(limit)
+    return head.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def apply_rerank(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """The chosen rows, in order of their new score, in the places that they held before; all others stay.
 
-    rows: (id, rank); chosen: (id, rerank_score).
+    rows: (id, rank); chosen: (id, rerank_score), as many as a reranker takes.
     """
     held = rows.join(chosen, "id")
     slots = held.select("rank", F.row_number().over(Window.orderBy("rank")).alias("n"))
@@ -117,6 +159,23 @@ def quality(ratio: Column, eligible: Column) -> Column:
     return F.when(eligible <= 0, "unknown").when(ratio >= RICH, "symbol_rich").when(ratio >= MIXED, "mixed").otherwise("symbol_sparse")
 
 
+def result_counts(requested: int, available: int, most: int = MAX_RESULTS) -> dict[str, int]:
+    """How many results are shown and how many there are that an answer could show."""
+    shown = max(0, min(requested, available, most))
+    return {"requested": requested, "available": available, "shown": shown, "left": max(0, min(available, most) - shown)}
+
+
+def disclosed(sizes: list[int], requested: int, budget: int, envelope: int = 0) -> int:
+    """How many of the results, in order, fit an answer of so many bytes with its envelope."""
+    used, n = envelope, 0
+    for size in sizes[: min(requested, MAX_RESULTS)]:
+        used += size
+        if used > budget:
+            break
+        n += 1
+    return n
+
+
 def candidate_limit(limit: int) -> int:
     return max(1, min(80, max(8 * limit, 32)))
 

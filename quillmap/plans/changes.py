@@ -42,9 +42,10 @@ def a2_reuse_hashes(spark, sf_dir):
     return changes.reuse_hashes(new.drop("hash"), old)
 
 
-@query("SELECT sha256(string_agg('s/' || doc_id || chr(0) || sha256(text) || chr(10), '' ORDER BY 's/' || doc_id)) AS root FROM documents")
+@query("""WITH f AS (SELECT 's/' || doc_id AS path, sha256(text) AS hash FROM documents), b AS (SELECT substr(sha256(path), 1, 3) AS bucket, sha256(string_agg(path || chr(0) || hash || chr(10), '' ORDER BY path)) AS root FROM f GROUP BY 1)
+SELECT sha256(string_agg(bucket || chr(0) || root || chr(10), '' ORDER BY bucket)) AS root FROM b""")
 def e8_merkle_root(spark, sf_dir):
-    return changes.merkle(table(spark, sf_dir, "documents").select(F.concat(F.lit("s/"), "doc_id").alias("path"), F.sha2("text", 256).alias("hash")))
+    return changes.bucketed_root(table(spark, sf_dir, "documents").select(F.concat(F.lit("s/"), "doc_id").alias("path"), F.sha2("text", 256).alias("hash")))
 
 
 @query(f"""WITH {CHUNKS}, p AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS prefix FROM chunks WHERE id % 3 = 0 UNION SELECT DISTINCT split_part(path, '/', 1) FROM chunks WHERE id % 32 = 0)
@@ -109,11 +110,17 @@ def a5_index_policy(spark, sf_dir):
     return c.select("id", policy.by_extension(F.col("path")).alias("by_extension"), policy.is_text(F.col("content").cast("binary")).alias("as_text"), policy.is_ignored(F.col("path")).alias("is_ignored"))
 
 
-@query("""WITH s AS (SELECT p_partkey AS n, (['M ', ' M', '??', '!!', 'A ', 'D '])[p_partkey % 6 + 1] || ' src/f' || p_partkey || '.py' AS line FROM part UNION ALL SELECT s_suppkey + 1000000, 'R  old/' || s_suppkey || ' -> new/' || s_suppkey FROM supplier)
-SELECT n, CASE WHEN contains(line, ' -> ') THEN split_part(line, ' -> ', 2) ELSE substr(line, 4) END AS path FROM s WHERE NOT starts_with(line, '!!')""")
+@query("""WITH s AS (SELECT p_partkey AS n, (['M ', ' M', '??', '!!', 'A ', 'D '])[p_partkey % 6 + 1] || (CASE p_partkey % 5 WHEN 0 THEN ' "src/a \\"f' || p_partkey || '.py"' WHEN 1 THEN ' ../out' WHEN 2 THEN ' /src\\f' || p_partkey || '.py' ELSE ' src/f' || p_partkey || '.py' END) AS line FROM part
+ UNION ALL SELECT s_suppkey + 1000000, 'R  old/' || s_suppkey || ' -> new/' || s_suppkey FROM supplier),
+p AS (SELECT n, line, trim(CASE WHEN contains(line, ' -> ') THEN split_part(line, ' -> ', 2) ELSE substr(line, 4) END) AS raw FROM s WHERE NOT starts_with(line, '!!') AND NOT starts_with(line, '??')),
+u AS (SELECT n, CASE WHEN starts_with(raw, '"') THEN replace(replace(raw[2:-2], '\\"', '"'), '\\\\', '\\') ELSE raw END AS raw FROM p),
+c AS (SELECT n, regexp_replace(replace(raw, '\\', '/'), '^/+', '') AS path FROM u) SELECT n, path FROM c WHERE path <> '' AND path <> '..' AND NOT starts_with(path, '../')""")
 def a14_git_status(spark, sf_dir):
     p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     marks = F.array(*map(F.lit, ["M ", " M", "??", "!!", "A ", "D "]))
-    a = p.select(F.col("p_partkey").alias("n"), F.concat(F.element_at(marks, (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(" src/f"), "p_partkey", F.lit(".py")).alias("line"))
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("f"), k, F.lit(".py"))
+    body = F.when(k % 5 == 0, F.concat(F.lit(' "src/a \\"'), name, F.lit('"'))).when(k % 5 == 1, F.lit(" ../out")).when(k % 5 == 2, F.concat(F.lit(" /src\\"), name)).otherwise(F.concat(F.lit(" src/"), name))
+    a = p.select(k.alias("n"), F.concat(F.element_at(marks, (k % 6 + 1).cast("int")), body).alias("line"))
     b = s.select((F.col("s_suppkey") + 1000000).alias("n"), F.concat(F.lit("R  old/"), "s_suppkey", F.lit(" -> new/"), "s_suppkey").alias("line"))
     return scan.git_status(a.unionByName(b))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmap.operators import lexical
+from quillmap.sources.store import Store, use_checkpoints
+
 #: Folders and file names that give the stand-in paths some variety.
 FOLDERS = ["src/core", "tests", "docs", "lib", "dist", "fixtures/a", "packages/x/src", "scripts", "examples", "tools", "reports", "landing", "app/src/core", "config", "Src/Main", "guide/deep"]
 NAMES = ["main", "index", "parser_utils", "HttpServer", "readme", "a.test", "settings", "worker"]
@@ -62,3 +67,22 @@ EDGES = """edges AS (
   UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, 'CALLS', l_orderkey % 100, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END FROM lineitem
   UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey, 'IMPORTS', l_partkey % 100, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END FROM lineitem
 )"""
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and totals of the chunks, built once a session on shared storage and again when the files change."""
+    use_checkpoints(spark)
+    shared = Store(spark, f"{spark.sparkContext.getCheckpointDir()}/lexical")
+    name = hashlib.sha256(shared.fingerprint(f"{sf_dir}/documents.parquet").encode()).hexdigest()[:16]
+    store = Store(spark, f"{shared.root}/{name}")
+    if not (at := store.snapshot()):
+        rows = chunks(spark, sf_dir).select("id", "content")
+        made = {"postings": store.stage("postings", lexical.postings(rows), partition_by=["bucket"]), "totals": store.stage("totals", lexical.totals(rows))}
+        store.publish_all(made)
+        at = store.snapshot()
+    return store.read("postings", at["postings"]), store.read("totals", at["totals"])
+
+
+def lexical_scores(spark: SparkSession, sf_dir: str, terms: list[str], mode: str = "all_terms") -> DataFrame:
+    """(id, score) of the chunks by the index."""
+    return lexical.bm25(*lexical_index(spark, sf_dir), terms, mode=mode)

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quillmap.functions import text
 from quillmap.operators import search
-from quillmap.plans.inputs import CHUNKS, VECTORS, chunks, table, vectors
+from quillmap.plans.inputs import CHUNKS, VECTORS, chunks, lexical_scores, table, vectors
 from quillmap.plans.registry import query
 
 TERMS = ["the", "token"]
@@ -46,18 +46,18 @@ def c12_minimum_score(spark, sf_dir):
 
 @query(f"WITH {CHUNKS}, {_bm25_sql(TERMS, 2)} SELECT id, round(score, 6) AS score FROM lexical ORDER BY lexical.score DESC, id LIMIT 20")
 def j2_lexical_all_terms(spark, sf_dir):
-    return search.top(search.bm25(chunks(spark, sf_dir).select("id", "content"), TERMS), 20).select("id", r6("score").alias("score"))
+    return search.top(lexical_scores(spark, sf_dir, TERMS), 20).select("id", r6("score").alias("score"))
 
 
 @query(f"WITH {CHUNKS}, {_bm25_sql(ANY, 1)} SELECT id, round(score, 6) AS score FROM lexical ORDER BY lexical.score DESC, id LIMIT 20")
 def j2_lexical_any_terms(spark, sf_dir):
-    return search.top(search.bm25(chunks(spark, sf_dir).select("id", "content"), ANY, mode="any_terms"), 20).select("id", r6("score").alias("score"))
+    return search.top(lexical_scores(spark, sf_dir, ANY, "any_terms"), 20).select("id", r6("score").alias("score"))
 
 
 def _arms(spark, sf_dir, k=80):
     v = vectors(spark, sf_dir)
     dense = search.top(search.cosine(v, v.filter("id = 0")).select("id", "owner", "score"), k)
-    lexical = search.top(search.bm25(chunks(spark, sf_dir).select("id", "owner", "content"), ANY, mode="any_terms").select("id", "owner", "score"), k)
+    lexical = search.top(lexical_scores(spark, sf_dir, ANY, "any_terms"), k).join(chunks(spark, sf_dir).select("id", "owner"), "id")
     return dense, lexical
 
 
@@ -89,7 +89,7 @@ parts AS (SELECT id, 1.0::DOUBLE / (60 + rank) AS part, 0 AS pass FROM p1 WHERE
 SELECT id, round(sum(part), 9) AS score, count(DISTINCT pass) AS passes FROM parts GROUP BY id""")
 def j9_multi_pass_rrf(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    lexical = search.top(search.bm25(c.select("id", "content"), ANY, mode="any_terms").select("id", "score"), 40)
+    lexical = search.top(lexical_scores(spark, sf_dir, ANY, "any_terms"), 40)
     longest = search.top(c.select("id", F.col("n_chars").alias("score")), 40)
     passes = [(p.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))), w) for p, w in ((lexical, 1.0), (longest, 2.0))]
     return search.fuse_passes(passes).select("id", F.round("score", 9).alias("score"), "passes")
@@ -106,19 +106,29 @@ def j6_conflicts(spark, sf_dir):
 ), placed AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x, '(?i)idiot|token')), true) AS line FROM found)
 SELECT id, line::INT AS line, greatest(line - 2, 1)::INT AS start_line, least(line + 2, len(ls))::INT AS end_line,
   sha256(array_to_string(ls[greatest(line - 2, 1):least(line + 2, len(ls))], chr(10))) AS window_sha FROM placed WHERE line > 0""")
-def j13_line_windows(spark, sf_dir):
+def j14_line_windows(spark, sf_dir):
     found = search.line_windows(chunks(spark, sf_dir).select("id", "content"), ["idiot", "token"])
     return found.select("id", "line", "start_line", "end_line", F.sha2("window", 256).alias("window_sha"))
 
 
-@query("""WITH q AS (SELECT list(embedding::DOUBLE[] ORDER BY vec_id) AS qs FROM embeddings WHERE vec_id < 3),
-d AS (SELECT label, list(embedding::DOUBLE[] ORDER BY vec_id) AS ds FROM embeddings WHERE vec_id < 100 GROUP BY label)
-SELECT label, round(list_sum(list_transform(qs, lambda a: list_max(list_transform(ds, lambda b: list_dot_product(a, b))))), 6) AS score FROM d, q""")
+@query(f"""WITH {CHUNKS}, l AS (SELECT id, path, contains(lower(content), 'licensed under') AS exact, string_split(content, chr(10)) AS ls FROM chunks),
+s AS (SELECT *, list_transform(ls, lambda x: (CASE WHEN contains(lower(x), 'licensed under') THEN 10000 ELSE 0 END) + (CASE WHEN regexp_matches(x, '(?i)(^|[^a-z0-9])token([^a-z0-9]|$)') THEN 100 ELSE 0 END)
+  + (CASE WHEN regexp_matches(x, '(?i)(^|[^a-z0-9])idiot([^a-z0-9]|$)') THEN 100 ELSE 0 END)) AS worth FROM l),
+b AS (SELECT *, list_max(worth) AS evidence FROM s), p AS (SELECT *, list_position(worth, evidence)::INT AS line FROM b WHERE evidence > 0)
+SELECT id, line, evidence::INT AS evidence, sha256(array_to_string(ls[greatest(line - 2, 1):least(line + 2, len(ls))], chr(10))) AS window_sha FROM p ORDER BY exact DESC, p.evidence DESC, p.line, path, id LIMIT 128""")
+def j13_best_lines(spark, sf_dir):
+    found = search.best_lines(chunks(spark, sf_dir).select("id", "path", "content"), ["token", "idiot"], phrase="licensed under")
+    head = found.orderBy(*search.scan_order(), "id").limit(search.SCAN_FILES)
+    return head.select("id", "line", F.col("evidence").cast("int").alias("evidence"), F.sha2("window", 256).alias("window_sha"))
+
+
+@query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3),
+m AS (SELECT label, qid, max(list_dot_product(q, embedding::DOUBLE[])) AS best FROM embeddings, q GROUP BY label, qid)
+SELECT label, round(sum(best), 6) AS score FROM m GROUP BY label""")
 def j18_max_sim(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 100")
-    q = e.filter("vec_id < 3").agg(F.collect_list("embedding").alias("qs"))
-    d = e.groupBy("label").agg(F.collect_list("embedding").alias("ds"))
-    return d.crossJoin(F.broadcast(q)).select("label", r6(search.max_sim(F.col("qs"), F.col("ds"))).alias("score"))
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id < 3").select("embedding")  # the vectors of one query's tokens
+    return search.max_sim_groups(e, asked, "label").select("label", r6("score").alias("score"))
 
 
 @query(f"""WITH {CHUNKS}, t AS (SELECT id, regexp_extract_all(path || ' ' || label, '[\\p{{L}}\\p{{N}}_$]+') AS toks FROM chunks),
@@ -131,7 +141,7 @@ def h2_additive_terms(spark, sf_dir):
 
 
 @query(f"""WITH {CHUNKS} SELECT id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(path, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda p: p <> ''), ' ') AS identity,
-  lower(regexp_replace(replace(path, '\\', '/'), '^(\\./|/)+', '')) AS search_path, regexp_extract(path, '([^.#:/]+)[.#:/]*$', 1) AS last,
+  lower(regexp_replace(replace(path, '\\', '/'), '^/+', '')) AS search_path, regexp_extract(path, '([^.#:/]+)[.#:/]*$', 1) AS last,
   ceil(length(content) / 4)::BIGINT AS tokens, len(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS lines,
   'path_' || substr(sha256(path || content), 1, 16) AS chunk_key FROM chunks""")
 def h8_identity_paths_lines(spark, sf_dir):

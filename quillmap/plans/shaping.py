@@ -10,15 +10,15 @@ from quillmap.operators import search, shape
 from quillmap.plans.inputs import CHUNKS, chunks, table
 from quillmap.plans.registry import query
 
-_P = "lower(regexp_replace(replace(path, '\\', '/'), '^(\\./|/)+', ''))"
-_GEN = "regexp_matches(p, '(^|/)(dist|build|coverage|\\.next|\\.output|generated)(/|$)') OR regexp_matches(p, '(\\.min\\.js|\\.min\\.css)$')"
-_TEST = "regexp_matches(p, '(^|/)(test|tests|__tests__)(/|$)') OR regexp_matches(p, '\\.(test|spec)\\.[^/]+$')"
-_DOC = "regexp_matches(p, '(^|/)(docs|doc|documentation|guide|guides)(/|$)') OR regexp_matches(p, '(\\.md|\\.mdx|\\.rst|\\.adoc|\\.txt)$')"
-_FIX = "regexp_matches(p, '(^|/)(fixtures|__fixtures__)(/|$)')"
-_CATEGORY = f"""CASE WHEN {_GEN} THEN 'generated' WHEN {_FIX} THEN 'fixture' WHEN regexp_matches(p, '(^|/)(landing|landing-page)(/|$)') THEN 'landing'
+_P = "lower(regexp_replace(replace(path, '\\', '/'), '^/+', ''))"
+_GEN = "regexp_matches(p, '^(dist|build|coverage|\\.next|\\.output|generated)$|(^|/)(dist|build|coverage|\\.next|\\.output|generated)/') OR regexp_matches(p, '(\\.min\\.js|\\.min\\.css)$')"
+_TEST = "regexp_matches(p, '^(test|tests|__tests__)$|(^|/)(test|tests|__tests__)/') OR regexp_matches(p, '\\.(test|spec)\\.[^/]+$')"
+_DOC = "regexp_matches(p, '^(docs|doc|documentation|guide|guides)$|(^|/)(docs|doc|documentation|guide|guides)/') OR regexp_matches(p, '(\\.md|\\.mdx|\\.rst|\\.adoc|\\.txt)$')"
+_FIX = "regexp_matches(p, '^(fixtures|__fixtures__)$|(^|/)(fixtures|__fixtures__)/')"
+_CATEGORY = f"""CASE WHEN {_GEN} THEN 'generated' WHEN {_FIX} THEN 'fixture' WHEN regexp_matches(p, '^(landing|landing-page)$|(^|/)(landing|landing-page)/') THEN 'landing'
  WHEN regexp_matches(p, '^(reports|report|investigations|investigation)(/|$)') THEN 'artifact' WHEN {_TEST} THEN 'tests' WHEN {_DOC} THEN 'docs'
- WHEN regexp_matches(p, '(^|/)(examples|example|demo|samples|sample)(/|$)') THEN 'example' WHEN regexp_matches(p, '^scripts(/|$)') THEN 'scriptRuntime'
- WHEN regexp_matches(p, '(^|/)(adapters|adapter|tools|cli)(/|$)') THEN 'adapter' WHEN regexp_matches(p, '(^|/)(main|index|app|server|cli|entry)\\.[^/]*$') THEN 'entrypoint'
+ WHEN regexp_matches(p, '^(examples|example|demo|samples|sample)$|(^|/)(examples|example|demo|samples|sample)/') THEN 'example' WHEN regexp_matches(p, '^scripts(/|$)') THEN 'scriptRuntime'
+ WHEN regexp_matches(p, '^(adapters|adapter|tools|cli)$|(^|/)(adapters|adapter|tools|cli)/') THEN 'adapter' WHEN regexp_matches(p, '(^|/)(main|index|app|server|cli|entry)\\.[^/]*$') THEN 'entrypoint'
  WHEN contains(p, '/core/') THEN 'core' WHEN contains(p, '/src/') THEN 'srcRuntime' ELSE 'neutral' END"""
 _KINDS = f"{CHUNKS}, normal AS (SELECT *, {_P} AS p FROM chunks), kinds AS (SELECT *, {_CATEGORY} AS category FROM normal)"
 
@@ -96,7 +96,7 @@ def _candidates(spark, sf_dir):
 
 @query(f"WITH {_ROWS} SELECT id, row_number() OVER (ORDER BY must DESC, exact DESC, score DESC, path, start_line NULLS LAST, label, id) AS rank FROM rows_")
 def f3_native_order(spark, sf_dir):
-    return shape.authoritative_rank(_candidates(spark, sf_dir)).select("id", F.col("rank").cast("long").alias("rank"))
+    return shape.authoritative_rank(_candidates(spark, sf_dir)).select("id", "rank")
 
 
 _SPANS = """spans AS (SELECT c.conv_id, c.turn, c.role, c.conv_id % 7 AS file, (c.turn * 20 + c.conv_id % 40 + 1)::BIGINT AS start_line, (c.turn * 20 + c.conv_id % 40 + 15)::BIGINT AS end_line,
@@ -106,8 +106,8 @@ _SPANS = """spans AS (SELECT c.conv_id, c.turn, c.role, c.conv_id % 7 AS file, (
 def _spans(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     start = (F.col("turn") * 20 + F.col("conv_id") % 40 + 1).cast("long")
-    rank = F.row_number().over(Window.orderBy(F.length("text").desc(), "conv_id", "turn"))
-    return c.select("conv_id", "turn", "role", (F.col("conv_id") % 7).alias("file"), start.alias("start_line"), (start + 14).alias("end_line"), rank.cast("long").alias("rank"), (F.col("turn") == 2).alias("pinned"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"))
+    c = shape.ranked(c.withColumn("size", F.length("text")).drop("text"), [F.desc("size"), "conv_id", "turn"])
+    return c.select("conv_id", "turn", "role", (F.col("conv_id") % 7).alias("file"), start.alias("start_line"), (start + 14).alias("end_line"), "rank", (F.col("turn") == 2).alias("pinned"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"))
 
 
 @query(f"""WITH {_SPANS}, keyed AS (SELECT *, CASE WHEN turn % 2 = 0 THEN 'owner:' || file || ':k' || conv_id || ':i' || conv_id ELSE 'fallback:' || file || ':' || floor((start_line - 1) / 25)::BIGINT END AS k FROM spans)
@@ -149,7 +149,8 @@ def f11_byte_budget(spark, sf_dir):
 u AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY rank) AS turn FROM t)
 SELECT id, row_number() OVER (ORDER BY (turn > 1)::INT, turn, rank) AS place FROM u WHERE turn <= 3 ORDER BY place LIMIT 30""")
 def f9_family_pool(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("family"), F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("family"), "n_chars")
+    d = shape.ranked(d, [F.desc("n_chars"), "id"])
     return shape.family_pool(d, 30).select("id", F.col("place").cast("long").alias("place"))
 
 
@@ -158,14 +159,14 @@ c AS (SELECT *, row_number() OVER (ORDER BY rank) AS n, row_number() OVER (ORDER
 moved AS (SELECT b.id, a.rank FROM c a JOIN c b ON a.n = b.m)
 SELECT t.id, coalesce(moved.rank, t.rank) AS rank FROM t LEFT JOIN moved USING (id)""")
 def f12_rerank_slots(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("rank"))
+    d = shape.ranked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"), [F.desc("n_chars"), "id"]).drop("n_chars")
     chosen = d.filter("rank <= 100 AND id % 3 = 0").select("id", (F.col("id") * 37 % 101).alias("rerank_score"))
     return shape.apply_rerank(d, chosen)
 
 
 @query(f"WITH {_ROWS}, r AS (SELECT id, row_number() OVER (ORDER BY must DESC, exact DESC, score DESC, path, start_line NULLS LAST, label, id) AS rank FROM rows_) SELECT * FROM r WHERE rank > 20 AND rank <= 35")
 def f16_continuation_page(spark, sf_dir):
-    ranked = shape.authoritative_rank(_candidates(spark, sf_dir)).select("id", F.col("rank").cast("long").alias("rank"))
+    ranked = shape.authoritative_rank(_candidates(spark, sf_dir)).select("id", "rank")
     return shape.page(ranked, 20, 15)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmap.functions import text
-from quillmap.operators import graph, joins
+from quillmap.operators import detail, graph, joins, shape
 from quillmap.plans.inputs import CHUNKS, EDGES, chunks, edges, table
 from quillmap.plans.registry import query
 
@@ -35,11 +35,11 @@ def d3_unique_parent(spark, sf_dir):
 
 
 _CALLS = """calls AS (SELECT event_id AS call, 'n' || (user_id % 97) AS name, event_id % 11 AS file, event_id % 300 AS line FROM events),
-targets AS (SELECT p_partkey AS key, 'N' || (p_partkey % 140) AS name, p_size % 11 AS file, p_partkey % 300 AS line FROM part WHERE p_partkey <= 180)"""
+targets AS (SELECT p_partkey AS key, 'N' || (p_partkey % 140) AS name, p_size % 11 AS file, p_partkey % 300 AS line FROM part)"""
 
 
 def _calls(spark, sf_dir):
-    e, p = table(spark, sf_dir, "events"), table(spark, sf_dir, "part").filter("p_partkey <= 180")
+    e, p = table(spark, sf_dir, "events"), table(spark, sf_dir, "part")
     calls = e.select(F.col("event_id").alias("call"), F.concat(F.lit("n"), F.col("user_id") % 97).alias("name"), (F.col("event_id") % 11).alias("file"), (F.col("event_id") % 300).alias("line"))
     targets = p.select(F.col("p_partkey").alias("key"), F.concat(F.lit("N"), F.col("p_partkey") % 140).alias("name"), (F.col("p_size") % 11).cast("long").alias("file"), (F.col("p_partkey") % 300).alias("line"))
     return calls, targets
@@ -81,7 +81,7 @@ def d10_capped_context(spark, sf_dir):
     return joins.capped(e, "dst", ["src", "confidence"], 3)
 
 
-@query("""WITH s AS (SELECT p_partkey AS key, p_name AS name FROM part), asked AS (SELECT DISTINCT p_partkey AS query, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR WHEN p_partkey % 3 = 1 THEN p_name ELSE lower(replace(p_name, '_', ' ')) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '?' END END AS term FROM part WHERE p_partkey <= 300),
+@query("""WITH s AS (SELECT p_partkey AS key, p_name AS name FROM part), asked AS (SELECT DISTINCT p_partkey AS query, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR WHEN p_partkey % 3 = 1 THEN p_name ELSE lower(replace(p_name, '_', ' ')) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '?' END END AS term FROM part),
 e AS (SELECT key, 0 AS tier, key::VARCHAR AS value FROM s UNION ALL SELECT key, 1, name FROM s UNION ALL SELECT key, 2, array_to_string(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> ''), ' ') FROM s),
 c AS (SELECT query, tier, count(DISTINCT key) AS n, min(key) AS key FROM asked JOIN e ON term = value GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier) AS rn FROM c)
 SELECT a.query, f.tier, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'hit' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN key END AS key FROM asked a LEFT JOIN f ON a.query = f.query AND rn = 1""")
@@ -90,7 +90,7 @@ def i15_exact_lookup(spark, sf_dir):
     s = p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
     k = F.col("p_partkey")
     term = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.col("p_name")).otherwise(F.concat(F.lower(F.regexp_replace("p_name", "_", " ")), F.when(k % 2 == 0, "").otherwise("?")))
-    asked = p.filter("p_partkey <= 300").select(k.alias("query"), term.alias("term")).distinct()
+    asked = p.select(k.alias("query"), term.alias("term")).distinct()
     return joins.exact_lookup(s, asked, [("instance", F.col("key").cast("string")), ("name", F.col("name")), ("identity", text.normalized_identity(F.lower("name")))])
 
 
@@ -169,7 +169,24 @@ def g3_relationship_delta(spark, sf_dir):
 
 
 @query(f"""WITH {CHUNKS}, n AS (SELECT language AS kind, path, n_chars AS line, regexp_matches(path, '(?i)\\.(test|spec)\\.[cm]?[jt]sx?$') OR regexp_matches(path, '(?i)(^|/)(__tests__|__mocks__|fixtures|testdata|test-data)(/|$)') OR (regexp_matches(path, '(?i)(^|/)tests?(/|$)') AND NOT regexp_matches(path, '(?i)(^|/)packages/[^/]+/src/')) AS test FROM chunks),
-r AS (SELECT *, row_number() OVER (PARTITION BY kind, test ORDER BY path, line) AS k FROM n)
-SELECT kind, path, line, 1::BIGINT AS count FROM r WHERE NOT test OR k <= 3 UNION ALL SELECT kind, '(more tests)', NULL, count(*) FROM r WHERE test AND k > 3 GROUP BY kind""")
+r AS (SELECT *, row_number() OVER (PARTITION BY test ORDER BY path, line, kind) AS k FROM n)
+SELECT kind, path, line, 1::BIGINT AS count FROM r WHERE NOT test OR k <= 3 UNION ALL SELECT 'summary', '(more tests)', NULL, count(*) FROM r WHERE test AND k > 3 HAVING count(*) > 0""")
 def l13_note_priorities(spark, sf_dir):
     return graph.prioritised_notes(chunks(spark, sf_dir).select(F.col("language").alias("kind"), "path", F.col("n_chars").alias("line")))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {CHUNKS}, i AS (SELECT DISTINCT file, file + 1 AS target FROM edges WHERE type = 'CALLS'), x AS (SELECT DISTINCT file, file + 7 AS target FROM edges WHERE type = 'IMPORTS' AND file < 60),
+reach(file, target) AS (SELECT file, target FROM i UNION SELECT r.file, x.target FROM reach r JOIN x ON r.target = x.file),
+y AS (SELECT id AS symbol_key, 'f' || id % 40 AS name, id % 100 AS file FROM chunks), o AS (SELECT file, name FROM y GROUP BY ALL HAVING count(*) = 1),
+c AS (SELECT row_number() OVER (ORDER BY a.id, b.id) AS src, a.id % 100 AS file, b.id AS dst, 'f' || b.id % 40 AS name FROM chunks a JOIN chunks b ON b.id = a.id + 3)
+SELECT c.src, c.dst, CASE WHEN r.file IS NOT NULL AND o.name IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence
+FROM c JOIN y ON c.dst = y.symbol_key LEFT JOIN reach r ON r.file = c.file AND r.target = y.file LEFT JOIN o ON o.file = y.file AND o.name = y.name""")
+def d14_import_support(spark, sf_dir):
+    e, d = edges(spark, sf_dir), chunks(spark, sf_dir)
+    imports = e.filter("type = 'CALLS'").select("file", (F.col("file") + 1).alias("target"))
+    exports = e.filter("type = 'IMPORTS' AND file < 60").select("file", (F.col("file") + 7).alias("target"))
+    symbols = d.select(F.col("id").alias("symbol_key"), F.concat(F.lit("f"), F.col("id") % 40).alias("name"), (F.col("id") % 100).alias("file"), F.lit("function").alias("kind"))
+    calls = d.select("id").join(d.select((F.col("id") - 3).alias("id"), F.col("id").alias("dst")), "id")
+    calls = calls.select(F.col("id"), (F.col("id") % 100).alias("file"), "dst", F.concat(F.lit("f"), F.col("dst") % 40).alias("name"), F.lit("low").alias("confidence"))
+    calls = shape.ranked(calls, ["id", "dst"], "src")
+    return detail.upgraded_calls(calls, symbols, detail.reexports(imports, exports)).select("src", "dst", "confidence")

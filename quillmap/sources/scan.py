@@ -12,19 +12,42 @@ from quillmap.functions import paths
 
 #: Bytes that are probed for text, and the size up to which unknown files count as text.
 PROBE_BYTES, TEXT_BYTES = 8192, 1 << 20
-#: Extensions that each profile reads; ``all-text`` reads whatever looks like text.
+#: Extensions by what they hold, and names of files without one.
+SOURCES = "ts tsx js jsx mjs cjs py java cpp c h hpp cs go rs php rb swift kt scala m mm".split()
+DOCUMENTS = "md markdown mdx rst txt adoc ipynb".split()
+SETTINGS = "toml yaml yml json jsonc ini cfg conf properties xml".split()
+SCRIPTS = "sh bash zsh fish ps1 bat cmd".split()
+QUERIES = "sql graphql gql tf tfvars".split()
+NAMES = ("Dockerfile", "Makefile", "Justfile", "Taskfile", "Procfile", "Jenkinsfile", ".dockerignore")
+#: Extensions that each profile reads; ``all-text`` reads what looks like text too.
 PROFILES = {
-    "minimal": ("py", "ts", "js", "go", "rs", "java"),
-    "default": ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "go", "rs", "java", "c", "h", "cpp", "hpp", "cs", "rb", "php", "swift", "kt", "scala", "md", "json", "yaml", "yml", "toml", "sql", "sh"),
-    "all-text": (),
+    "minimal": (*SOURCES, *DOCUMENTS),
+    "default": (*SOURCES, *DOCUMENTS, *SETTINGS, *SCRIPTS, *QUERIES),
+    "all-text": (*SOURCES, *DOCUMENTS, *SETTINGS, *SCRIPTS, *QUERIES),
 }
-DEFAULT_IGNORE = (".git/", "node_modules/", "dist/", "build/", "target/", "coverage/", "__pycache__/", ".venv/", "*.min.js", "*.min.css", "*.lock", "*.map")
+#: Patterns that are ignored at first.
+DEFAULT_IGNORE = tuple(
+    """
+    node_modules/** dist/** build/** out/** target/** coverage/** .nyc_output/**
+    .vscode/** .idea/** *.swp *.swo
+    .git/** .svn/** .hg/**
+    .cache/** __pycache__/** .pytest_cache/**
+    logs/** tmp/** temp/** *.log
+    .env .env.* *.local
+    package-lock.json npm-shrinkwrap.json pnpm-lock.yaml yarn.lock bun.lockb Cargo.lock Gemfile.lock composer.lock
+    poetry.lock Pipfile.lock uv.lock
+    *.pem *.key *.crt *.cer *.p12 *.pfx
+    *.min.js *.min.css *.min.map *.bundle.js *.bundle.css *.chunk.js *.vendor.js *.polyfills.js *.runtime.js *.map
+    *.sqlite *.sqlite3 *.db *.dump *.bak *.snap __snapshots__/**
+    node_modules .git .svn .hg build dist out target .vscode .idea __pycache__ .pytest_cache coverage .nyc_output logs tmp temp
+    """.split()
+)
 
 
 @dataclass(frozen=True)
 class Policy:
     extensions: tuple[str, ...] = PROFILES["default"]
-    names: tuple[str, ...] = ("Dockerfile", "Makefile")
+    names: tuple[str, ...] = NAMES
     ignore: tuple[str, ...] = DEFAULT_IGNORE
     all_text: bool = False
 
@@ -58,31 +81,75 @@ class Policy:
     def is_ignored(self, path: Column) -> Column:
         return paths.ignored(path, list(self.ignore))
 
+    def may(self, path: Column) -> Column:
+        """What the path alone allows."""
+        return ~self.is_ignored(path) & (self.by_extension(path) | F.lit(self.all_text))
+
     def accepts(self, path: Column, content: Column) -> Column:
         known = self.by_extension(path) if self.extensions else F.lit(False)
         return ~self.is_ignored(path) & (known | (F.lit(self.all_text) & self.is_text(content)))
 
 
 def code_files(spark: SparkSession, root: str, policy: Policy = Policy()) -> DataFrame:
-    """(path, size, mtime, content, hash) of the files that the policy accepts; paths are relative to the root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """(path, size, mtime, content, hash) of the files that the policy accepts; paths are relative to the root.
+
+    The tree is listed without its contents first: only what the paths allow is read.
+    """
     base = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     path = F.substring_index(base, root.rstrip("/").split("://")[-1].rstrip("/") + "/", -1)
-    rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    return rows.filter(policy.accepts(F.col("path"), F.col("content"))).withColumn("hash", F.sha2("content", 256))
+
+    def listing(*columns: str) -> DataFrame:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *columns)
+
+    # the reader opens a file only for its content, which a filter on the path keeps it from asking for
+    rows = listing("content").filter(policy.may(F.col("path"))).filter(policy.accepts(F.col("path"), F.col("content")))
+    return rows.withColumn("hash", F.sha2("content", 256))
 
 
-def observe(files: DataFrame, path: str) -> DataFrame:
-    """(state, hash) of one path: indexed or absent."""
+def observe(files: DataFrame, path: str, listed: DataFrame | None = None) -> DataFrame:
+    """(state, hash) of one path: indexed; not_indexable if only ``listed``, the whole listing, has it; else absent."""
     found = files.filter(F.col("path") == path).agg(F.first("hash").alias("hash"))
-    return found.select(F.when(F.col("hash").isNull(), "absent").otherwise("indexed").alias("state"), "hash")
+    there = listed.filter(F.col("path") == path).agg((F.count("*") > 0).alias("there")) if listed is not None else found.select(F.lit(False).alias("there"))
+    both = found.crossJoin(there)  # one row each
+    return both.select(F.when(F.col("hash").isNotNull(), "indexed").when(F.col("there"), "not_indexable").otherwise("absent").alias("state"), "hash")
 
 
-def git_status(lines: DataFrame, *, untracked: bool = True) -> DataFrame:
-    """The lines' paths: ignored entries go, a rename counts by its new name."""
-    rows = lines.filter(~F.col("line").startswith("!!"))
+def clean_status_path(raw: Column) -> Column:
+    """A path of the tree, or null for one outside of it."""
+    path = F.regexp_replace(F.replace(raw, F.lit("\\"), F.lit("/")), "^/+", "")
+    return F.when((path != "") & (path != "..") & ~path.startswith("../"), path)
+
+
+def git_status(lines: DataFrame, *, untracked: bool = False) -> DataFrame:
+    """The paths of ``git status`` lines: ignored and, unless asked for, untracked entries go; a rename counts by its new name.
+
+    Quoted paths are unquoted; lines without a path of the tree give no row.
+    """
+    line = F.rtrim("line")
+    rows = lines.withColumn("line", line).filter((F.length("line") >= 4) & ~F.col("line").startswith("!!"))
     if not untracked:
         rows = rows.filter(~F.col("line").startswith("??"))
-    body = F.col("line").substr(4, 1_000_000)
-    target = F.when(body.contains(" -> "), F.element_at(F.split(body, " -> "), -1)).otherwise(body)
-    return rows.withColumn("path", target).drop("line")
+    body = F.trim(F.col("line").substr(F.lit(4), F.length("line")))
+    target = F.trim(F.element_at(F.split(body, " -> "), -1))
+    quoted = (F.length(target) >= 2) & target.startswith('"') & target.endswith('"')
+    inner = F.replace(F.replace(target.substr(F.lit(2), F.length(target) - 2), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    return rows.withColumn("path", clean_status_path(F.when(quoted, inner).otherwise(target))).drop("line").filter("path IS NOT NULL")
+
+
+def git_status_z(output: DataFrame, *, untracked: bool = False) -> DataFrame:
+    """(path) of NUL-separated status output in column ``output``: the record behind a rename or copy is where it came from."""
+    records = F.split("output", "\0")
+    # a record is an origin if the one before it is a rename that is no origin itself
+    origin = F.aggregate(
+        records,
+        F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("skip")),
+        lambda acc, r: F.struct(
+            F.when(acc["skip"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(r))).alias("kept"),
+            (~acc["skip"] & (F.length(r) >= 4) & F.substring(r, 1, 1).isin("R", "C")).alias("skip"),
+        ),
+    )
+    rows = output.select(F.explode(origin["kept"]).alias("r")).filter((F.length("r") >= 4) & ~F.col("r").startswith("!!"))
+    if not untracked:
+        rows = rows.filter(~F.col("r").startswith("??"))
+    return rows.select(clean_status_path(F.col("r").substr(F.lit(4), F.length("r"))).alias("path")).filter("path IS NOT NULL").distinct()
