@@ -16,6 +16,8 @@ from quillmap.sources.store import use_checkpoints
 SAME_FILE, OTHER_FILE = 0.92, 0.78
 #: Bytes of a rerank document; callers, callees and tests in it at most.
 RERANK_BYTES, CONTEXT_CAPS = 4000, {"direct_callers": 3, "direct_callees": 3, "supporting_tests": 2}
+#: Fixed value: chunks of changed files in an answer at most.
+OVERLAY_RESULTS = 16
 #: Evidence labels of results, the strongest first.
 EVIDENCE = ("high_owner_confidence", "medium_owner_confidence", "high_semantic_confidence", "medium_semantic_confidence", "ranked_candidate")
 #: What became of the lane of ``must:`` terms.
@@ -285,7 +287,7 @@ def controls(old: DataFrame, put: DataFrame, drop: DataFrame) -> DataFrame:
     return old.unionByName(fresh).join(drop.select("key"), "key", "left_anti")
 
 
-def dirty_overlay(rows: DataFrame, changed: DataFrame, term: str, most: int = 16) -> DataFrame:
+def dirty_overlay(rows: DataFrame, changed: DataFrame, term: str, most: int = OVERLAY_RESULTS) -> DataFrame:
     """Of changed files the chunks that hold the term, the first so many files by path."""
     hits = rows.join(changed.select("path").distinct(), "path", "left_semi").filter(text.has_term(F.col("content"), term))
     first = hits.select("path").distinct().orderBy("path").limit(most)

@@ -11,6 +11,8 @@ from quillmap.sources.store import use_checkpoints
 #: Lines of a proximity bucket; results at most; shares from which symbols count as rich and mixed.
 PROXIMITY_LINES, MAX_RESULTS = 25, 200
 RICH, MIXED = 0.60, 0.20
+#: Candidates of a pass and rows of a rerank at most.
+MOST_CANDIDATES, MOST_RERANKED = 80, 50
 #: Rows that an answer may hold before the driver-bounded greedy steps.
 GREEDY_ROWS = 200
 
@@ -177,11 +179,11 @@ def disclosed(sizes: list[int], requested: int, budget: int, envelope: int = 0)
 
 
 def candidate_limit(limit: int) -> int:
-    return max(1, min(80, max(8 * limit, 32)))
+    return max(1, min(MOST_CANDIDATES, max(8 * limit, 32)))
 
 
 def rerank_budget(limit: int, ambiguous: bool) -> int:
-    return min(50, max(12, 4 * limit) if ambiguous else 2 * limit)
+    return min(MOST_RERANKED, max(12, 4 * limit) if ambiguous else 2 * limit)
 
 
 def uncovered(spans: DataFrame, keys: list[str], whole: tuple[str, str]) -> DataFrame:

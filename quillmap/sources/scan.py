@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tomllib
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+from pathlib import Path
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,18 +97,39 @@ class Policy:
 def code_files(spark: SparkSession, root: str, policy: Policy = Policy()) -> DataFrame:
     """(path, size, mtime, content, hash) of the files that the policy accepts; paths are relative to the root.
 
-    The tree is listed without its contents first: only what the paths allow is read.
+    Spark's reader passes over names that begin with a dot or an underscore, such
+    as ``__init__.py``; they are listed by themselves and read by tasks.
     """
     base = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     path = F.substring_index(base, root.rstrip("/").split("://")[-1].rstrip("/") + "/", -1)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    seen = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    # the path's test comes first: of what it leaves out no content is read
+    rows = seen.filter(policy.may(F.col("path"))).unionByName(hidden_files(spark, root, policy))
+    rows = rows.filter(policy.accepts(F.col("path"), F.col("content")))
+    return rows.withColumn("hash", F.sha2("content", 256))
 
-    def listing(*columns: str) -> DataFrame:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        return raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *columns)
 
-    # the reader opens a file only for its content, which a filter on the path keeps it from asking for
-    rows = listing("content").filter(policy.may(F.col("path"))).filter(policy.accepts(F.col("path"), F.col("content")))
-    return rows.withColumn("hash", F.sha2("content", 256))
+def hidden_files(spark: SparkSession, root: str, policy: Policy) -> DataFrame:
+    """(path, size, mtime, content) of the allowed files with a name or folder that begins with a dot or an underscore."""
+    fs, base = pafs.FileSystem.from_uri(root if "://" in root else Path(root).absolute().as_uri())
+    listed = []
+    for info in fs.get_file_info(pafs.FileSelector(base, recursive=True)):
+        name = info.path.removeprefix(base).lstrip("/")
+        if info.is_file and any(part[0] in "._" for part in name.split("/")):
+            listed.append((name, info.size, info.mtime, info.path))
+    rows = spark.createDataFrame(listed, "path string, size long, mtime timestamp, full string").filter(policy.may(F.col("path")))
+    uri = root if "://" in root else "file:///"
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files = pafs.FileSystem.from_uri(uri)[0]
+        for part in parts:
+            for i in range(len(part)):
+                one = part.iloc[i : i + 1]
+                with files.open_input_file(one["full"].iloc[0]) as f:
+                    yield one.drop(columns="full").assign(content=[f.read()])
+
+    return rows.mapInPandas(read, "path string, size long, mtime timestamp, content binary")
 
 
 def observe(files: DataFrame, path: str, listed: DataFrame | None = None) -> DataFrame:

@@ -130,6 +130,10 @@ class Store:
         fs, p = self._fs(f"{self.root}/{name}")
         fs.delete(p, True)
 
+    def drop_sets(self) -> None:
+        fs, p = self._fs(f"{self.root}/{SETS}")
+        fs.delete(p, True)
+
     def fork(self, name: str, new: str) -> int:
         """Another table that begins with this one's published rows."""
         g = self.stage(new, self.read(name))

@@ -71,10 +71,138 @@ def test_index_search_navigate_and_sync(spark, tree, tmp_path):
     assert "added_here" in names and "View" not in names
 
 
+C = """from pkg import b
+from pkg.a import Parser as P, tidy_up
+import pkg.b as other
+
+
+class Child:
+    def first(self):
+        return self.second() + b.helper_total(1)
+
+    def second(self):
+        return other.helper_total(2)
+
+
+def use(raw):
+    made = P()
+    P.parse_http(made, raw)
+    tidy_up(raw)
+    missing.helper_total(3)
+    return Child()
+"""
+
+
+@pytest.fixture(scope="module")
+def engine(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("tree")
+    for name, body in {"src/pkg/__init__.py": "from .a import tidy_up\n", "src/pkg/a.py": A, "src/pkg/b.py": B, "src/pkg/c.py": C, "tests/test_a.py": T, "docs/notes.md": "the parser reads http text\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    made = Engine(spark, Store(spark, str(tmp_path_factory.mktemp("store"))))
+    made.build(str(root))
+    return made
+
+
+def test_edges_of_members_and_imports(engine):
+    at = engine.store.snapshot()
+    names = {r.symbol_key: (r.file.rsplit("/", 1)[-1], r.qualified_name if r.kind != "file" else "") for r in engine.store.read("symbols", at["symbols"]).collect()}
+    edges = {(r.type, names[r.src], names[r.dst], r.confidence) for r in engine.store.read("edges", at["edges"]).collect()}
+    calls = {(s, d): c for t, s, d, c in edges if t == "CALLS"}
+    assert calls[("c.py", "Child.first"), ("c.py", "Child.second")] == "high"  # its own class
+    assert ("b.py", "helper_total") in {d for (s, d) in calls if s == ("c.py", "Child.first")}  # from pkg import b
+    assert ("b.py", "helper_total") in {d for (s, d) in calls if s == ("c.py", "Child.second")}  # import pkg.b as other
+    assert ("a.py", "Parser.parse_http") in {d for (s, d) in calls if s == ("c.py", "use")}  # a class under another name
+    assert calls[("c.py", "use"), ("c.py", "Child")] == "low"  # a class of its own file
+    assert calls[("c.py", "use"), ("a.py", "tidy_up")] == "medium"  # low, raised by the import
+    assert ("b.py", "helper_total") not in {d for (s, d) in calls if s == ("c.py", "use")}  # a receiver that nothing brings in
+    imports = {(s[0], d) for t, s, d, _ in edges if t == "IMPORTS"}
+    assert {("c.py", ("b.py", "")), ("c.py", ("a.py", "Parser")), ("test_a.py", ("a.py", "tidy_up")), ("__init__.py", ("a.py", "tidy_up"))} <= imports
+    assert ("TESTS", ("test_a.py", "test_tidy"), ("a.py", "tidy_up"), "medium") in edges
+
+
+def test_exact_path_and_fallback(engine):
+    hit = engine.answer(Request("parse_http"))
+    assert hit.passes == ["exact_registry"] and [(r.name, r.file) for r in hit.rows.collect()] == [("Parser.parse_http", "src/pkg/a.py")]
+    wide = engine.answer(Request("where is nothing_of_that_name"))
+    assert "primary" in wide.passes
+
+
+def test_passes_and_reasons(engine):
+    few = engine.answer(Request("explain reading plain http words", match_mode="any_terms"))
+    assert few.expansion == "primary_candidate_pool_small" and few.passes == ["primary", "expanded"]
+    bound = engine.answer(Request("lang:python must:strict explain reading http words", result_mode="raw"))
+    assert bound.must == "lane_completed_within_backend_results" and "must_lane" in bound.passes
+    rows = bound.rows.collect()
+    assert rows and all("strict" in r.content for r in rows) and {r.staleness for r in rows} == {"fresh"}
+    quoted = engine.answer(Request('"return helper_total(c)"', result_mode="raw"))
+    assert "lexical_files" in quoted.passes and quoted.rows.orderBy("rank").first().path == "src/pkg/a.py"
+
+
+def test_scores_do_not_depend_on_filters(engine):
+    def score(query):
+        found = engine._scores(["helper_total"], "any_terms", engine.store.snapshot())
+        return {r.id: r.score for r in found.collect()}, engine.answer(Request(query, result_mode="raw")).rows.count()
+
+    assert score("helper_total words")[0] == score("path:src/pkg/a.py helper_total words")[0]
+
+
+def test_changed_files_stand_in_for_indexed_ones(spark, engine):
+    changed = spark.createDataFrame([("src/pkg/b.py", "def brand_new_thing(v):\n    return strictly(v)\n")], "path string, content string")
+    found = engine.answer(Request("brand_new_thing values", result_mode="raw"), changed=changed)
+    assert "dirty_overlay" in found.passes
+    rows = found.rows.collect()
+    assert any(r.path == "src/pkg/b.py" and "brand_new_thing" in r.content for r in rows[:2])
+    old = engine.answer(Request("helper_total values", result_mode="raw"), changed=changed).rows.collect()
+    assert not any(r.path == "src/pkg/b.py" and "v + 1" in r.content for r in old)
+    live = engine.answer(Request("path:src/pkg/b.py anything else", result_mode="raw"), changed=changed)
+    assert "live_path" in live.passes and [r.path for r in live.rows.collect()] == ["src/pkg/b.py"]
+
+
+def test_reranker_fills_the_places_it_was_given(spark, engine):
+    asked = []
+
+    def backwards(query, documents):
+        asked.extend(documents)
+        return [(i, float(i)) for i in range(len(documents))]
+
+    plain = engine.answer(Request("explain reading plain http words tidy", result_mode="raw", match_mode="any_terms", limit=10))
+    engine.reranker = backwards
+    try:
+        again = engine.answer(Request("explain reading plain http words tidy", result_mode="raw", match_mode="any_terms", limit=10))
+    finally:
+        engine.reranker = None
+    first, second = [[r.id for r in sorted(x.rows.collect(), key=lambda r: r["rank"])] for x in (plain, again)]
+    assert asked and sorted(first) == sorted(second) and all(len(d.encode()) <= 4000 for _, d in asked)
+
+
+def test_pages_expire_and_context_fits(engine):
+    handle = engine.open_page(Request("tidy parser draw", match_mode="any_terms"))
+    assert engine.continue_search(handle, 0, 1).count() == 1
+    with pytest.raises(ValueError, match="results"):
+        engine.continue_search(handle, 999, 1)
+    began = int(handle.split("-")[0], 16)
+    with pytest.raises(ValueError, match="expired"):
+        engine.continue_search(handle, 0, 1, now=began + 901)
+    other = engine.open_page(Request("parser"))
+    assert engine.drop_expired(now=began + 5000) == [f"results_{other}"]
+    key = next(r.symbol_key for r in engine.store.read("symbols", engine.store.snapshot()["symbols"]).collect() if r.qualified_name == "tidy_up")
+    context = engine.symbol_context(key)
+    assert context["parts"][0][2].startswith("def tidy_up") and {side for side, *_ in context["relations"]} == {"caller"}
+    with pytest.raises(ValueError):
+        engine.symbol_context("nothing")
+
+
 def test_policy(spark, tree):
     from quillmap.sources.scan import code_files, observe
 
     names = lambda p: {r.path for r in code_files(spark, str(tree), p).collect()}
+    for name in ("src/pkg/__init__.py", "__tests__/deep/x.py", ".git/x.py", ".dockerignore"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text("x = 1\n")
+    assert {"src/pkg/__init__.py", "__tests__/deep/x.py", ".dockerignore"} == {n for n in names(Policy()) if n.split("/")[0] in ("__tests__", ".dockerignore", ".git") or "__init__" in n}
+    for name in ("src/pkg/__init__.py", "__tests__/deep/x.py", ".dockerignore"):
+        (tree / name).unlink()
     assert names(Policy.of_profile("minimal")) == {"src/pkg/a.py", "src/pkg/b.py", "tests/test_a.py", "web/view.ts"}
     assert "blob.py.bin" in names(Policy.of_profile("all-text")) and "raw.dat" not in names(Policy.of_profile("all-text"))
     assert "web/view.ts" not in names(Policy.from_toml('[index]\nignore = ["web/"]\n'))
