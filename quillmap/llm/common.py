@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmap.sources.store import use_checkpoints
+
+__all__ = ["SLICE_BYTES", "WORD", "give_back", "slices", "spare", "table", "tokenizer_path", "use_checkpoints"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,14 +31,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; a folder of our own is for local runs only."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmap-checkpoints-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-
-
 def give_back() -> None:
     """Hand memory that a task no longer uses back to the system; workers live on from task to task."""
     pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(common.table(spark, sf_dir, "documents", "doc_id", "text")))
+    return secrets.digest(secrets.scan(common.table(spark, sf_dir, "documents", "doc_id", "text"), outputs=("n_assign", "n_access", "n_hex", "n_random", "base", "spans")))
 
 
 @query

@@ -118,15 +118,29 @@ def random_parts(run: str, encoder) -> list[tuple[int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encoder) -> list[tuple[int, int, int]]:
-    """What fails the token test of runs, as far as no pattern match covers them."""
-    found = []
+    """What fails the token test of runs, as far as no pattern match covers them; ``base`` lies in order of starts.
+
+    Runs and what the matches cover, put together to stretches apart from one
+    another, are gone through side by side.
+    """
+    covered: list[list[int]] = []
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    found, first = [], 0
     for m in RUN.finditer(text):
         at, end = m.span()
-        for s, e in [*((s, e) for s, _, e in base if s < end and at < e), (end, end)]:
-            rest = text[at:s]
-            if len(rest) >= LEAST:
+        while first < len(covered) and covered[first][1] <= at:
+            first += 1
+        k = first
+        while at < end:
+            s, e = covered[k] if k < len(covered) and covered[k][0] < end else (end, end)
+            if s - at >= LEAST:
+                rest = text[at:s]
                 found += [(at + a, 3, at + b) for a, b in ([(0, len(rest))] if is_random(rest, encoder) else random_parts(rest, encoder))]
-            at = max(at, e)
+            at, k = max(at, e), k + 1
     return found
 
 
@@ -153,8 +167,12 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rank_file: str | None = None) -> DataFrame:
-    """One row per document: id, n_assign, n_access, n_hex, n_random, base, spans, redacted.
+#: What ``scan`` can return besides the id, with Spark types.
+OUTPUTS = {"n_assign": "long", "n_access": "long", "n_hex": "long", "n_random": "long", "base": "string", "spans": "string", "redacted": "string"}
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rank_file: str | None = None, outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
+    """One row per document: its id and the chosen OUTPUTS.
 
     ``spans`` lists kind:start:end (code points, end exclusive) of all findings;
     ``base`` those of the patterns alone; ``redacted`` is the text without them,
@@ -166,20 +184,17 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary(path, pattern)
         for batch in common.slices(batches):
-            counts, bases, alls, redacted = [[], [], [], []], [], [], []
+            columns: dict[str, list] = {name: [] for name in outputs}
             for text in batch.column(1).to_pylist():
                 base, spans = scan_text(text, encoder)
-                for k, column in enumerate(counts):
-                    column.append(sum(x[1] == k for x in spans))
-                bases.append(written(base))
-                alls.append(written(spans))
-                redacted.append(redact_text(text, spans) if spans else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(bases, pa.string()), pa.array(alls, pa.string()), pa.array(redacted, pa.string())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base", "spans", "redacted"],
-            )
-
-    return rows.mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base string, spans string, redacted string")
+                made = {f"n_{kind}": (lambda k=k: sum(x[1] == k for x in spans)) for k, kind in enumerate(KINDS)}
+                made |= {"base": lambda: written(base), "spans": lambda: written(spans), "redacted": lambda: redact_text(text, spans) if spans else None}
+                for name, column in columns.items():
+                    column.append(made[name]())
+            kinds = {"long": pa.int64(), "string": pa.string()}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kinds[OUTPUTS[n]]) for n, c in columns.items())], names=["doc_id", *outputs])
+
+    return rows.mapInArrow(work, ", ".join(["doc_id long", *(f"{n} {OUTPUTS[n]}" for n in outputs)]))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", rank_file: str | None = None) -> DataFrame:
