@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmap.sources.store import use_checkpoints
 
-__all__ = ["SLICE_BYTES", "WORD", "give_back", "slices", "spare", "table", "tokenizer_path", "use_checkpoints"]
+__all__ = ["SLICE_BYTES", "WORD", "give_back", "slices", "spare", "table", "tokenizer_path", "use_checkpoints", "written"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +32,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a compressed table in the shared folder, read back: like a checkpoint, for rows with texts."""
+    use_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def give_back() -> None:
     """Hand memory that a task no longer uses back to the system; workers live on from task to task."""
     pa.default_memory_pool().release_unused()

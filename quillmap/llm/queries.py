@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmap.llm import bpe, chat, common, inner, jaccard, mixing, postings, resharding, secrets, substrings, toxicity
@@ -55,8 +57,9 @@ ORACLE_SQL["op10_chat"] = chat.SQL
 
 @query
 def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = resharding.reshard(common.table(spark, sf_dir, "documents", "doc_id", "text"))
-    return resharding.digest(placed)
+    common.use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    return resharding.digest(resharding.rewritten(common.table(spark, sf_dir, "documents", "doc_id", "text"), path))
 
 
 @query

@@ -12,8 +12,9 @@ whatever the rows: heavy slices are cut again by id, and rows only meet the plan
 in a join by block.
 
 Cases: a null text counts as empty (no bytes) and every row adds one byte; a
-null id is hashed like a value; repeated rows are rows of their own; an empty
-table gives an empty layout.
+null id is hashed like a value; repeated rows are rows of their own and are cut
+apart like others; columns of any name are written as they are; an empty table
+gives an empty layout.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from quillmap.llm import common
 
 #: Slices of the hash range in all; with the cuts of heavy slices there are at most twice as many blocks.
 SLICES = 16_384
+#: Text bytes of a file of a shard.
+FILE_BYTES = 32 << 20
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
@@ -151,14 +154,20 @@ def row_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def slice_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(SLICES)).cast("int")
+
+
 def old_layout(docs: DataFrame, n_old: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows as a layout by text hash would hold them: (doc_id, size, text_crc32, old_shard, slice, fine)."""
+    """The rows as a layout by text hash would hold them: (doc_id, size, text_crc32, old_shard, slice, fine, row).
+
+    ``row`` holds all columns. ``fine`` cuts heavy slices; it differs for rows
+    that repeat in full, and holds for this frame's kept rows only.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    h = F.xxhash64(text)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_bytes(F.col(text_col)).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h.alias("h"))
-    slot = F.pmod("h", F.lit(SLICES)).cast("int")
-    fine = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(SLICES)).cast("int")
-    return rows.withColumn("slice", slot).withColumn("old_shard", F.col("slice") % n_old).withColumn("fine", fine).drop("h")
+    fine = F.pmod(F.xxhash64(F.col(id_col), F.lit(5), F.monotonically_increasing_id()), F.lit(SLICES)).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_bytes(F.col(text_col)).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slice_of(text).alias("slice"), fine.alias("fine"), F.struct(*docs.columns).alias("row"))
+    return rows.withColumn("old_shard", F.col("slice") % n_old)
 
 
 def plan(layout: DataFrame, n_old: int, capacities_of) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +175,7 @@ def plan(layout: DataFrame, n_old: int, capacities_of) -> tuple[DataFrame, DataF
 
     ``capacities_of`` gives the new shards' capacities from the total of bytes.
     """
-    rows = layout.checkpoint()
+    rows = common.written(layout, "layout")
     sums = rows.groupBy("slice").agg(F.sum("size").alias("bytes")).collect()  # at most SLICES rows
     total = sum(r.bytes for r in sums)
     capacities = capacities_of(total)
@@ -190,13 +199,19 @@ def plan(layout: DataFrame, n_old: int, capacities_of) -> tuple[DataFrame, DataF
 def reshard(docs: DataFrame, *, n_old: int = 12, n_new: int = 16, **cols: str) -> tuple[DataFrame, DataFrame]:
     """All rows in ``n_new`` shards of equal bytes, and the plan of block transfers behind it.
 
-    Rows: doc_id, size, text_crc32, old_shard, shard, slot (gapless from 0 in each shard).
+    Rows: doc_id, size, text_crc32, old_shard, shard, slot (gapless from 0 in each
+    shard), file (in its shard) and row. They are kept on shared storage with
+    their columns, so that what is planned is what is written.
     """
     common.use_checkpoints(docs.sparkSession)
     rows, moves = plan(old_layout(docs, n_old, **cols), n_old, lambda total: [total // n_new + (j < total % n_new) for j in range(n_new)])
-    within = Window.partitionBy("slice", "part").orderBy("text_crc32", "doc_id", "size")
-    placed = rows.withColumn("r", F.row_number().over(within)).join(F.broadcast(moves.select("slice", "part", "shard", "offset")), ["slice", "part"])
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("offset") + F.col("r") - 1).alias("slot")), moves
+    total = moves.agg(F.sum("bytes")).first()[0] or 0
+    files = max(1, -(-total // (n_new * FILE_BYTES)))
+    placed = rows.join(F.broadcast(moves.select("slice", "part", "shard", "offset")), ["slice", "part"]).withColumn("file", (F.col("slice") % files).cast("int"))
+    # blocks lie together by file, so that numbering and writing need one exchange
+    within = Window.partitionBy("shard", "file", "slice", "part").orderBy("text_crc32", "doc_id", "size", F.xxhash64("row"))
+    placed = placed.repartition("shard", "file").withColumn("r", F.row_number().over(within))
+    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("offset") + F.col("r") - 1).alias("slot"), "file", "row"), moves
 
 
 def transfers(moves: DataFrame) -> DataFrame:
@@ -204,21 +219,49 @@ def transfers(moves: DataFrame) -> DataFrame:
     return moves.filter("old_shard <> shard").groupBy("old_shard", "shard").agg(F.count("*").alias("blocks"), F.sum("bytes").alias("bytes"))
 
 
-def rewrite(placed: DataFrame, moves: DataFrame, docs: DataFrame, path: str, *, id_col: str = "doc_id") -> list[int]:
-    """Write the files of the shards that give or get blocks, one folder ``shard=N`` each; returns their numbers.
+def moved_bytes(moves: DataFrame) -> tuple[int, int]:
+    """How many bytes change their shard, and how many must, whatever the plan: what exceeds a shard's new size."""
+    sums = moves.groupBy("old_shard").agg(F.sum("bytes").alias("b")).collect()  # a row a shard
+    new = {r.shard: r.b for r in moves.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}
+    moved = moves.filter("old_shard <> shard").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return int(moved), sum(max(0, r.b - new.get(r.old_shard, 0)) for r in sums)
 
-    Ids must be unique here, since the rows' other columns are joined by id.
-    """
+
+def affected(moves: DataFrame) -> list[int]:
+    """The shards that give or get blocks."""
     changed = moves.filter("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    numbers = sorted(r.shard for r in changed.collect())  # at most as many as there are shards
-    own_id, own_shard, own_slot = common.spare(docs, "_id", "_shard", "_slot")
-    target = placed.filter(F.col("shard").isin(numbers)).select(F.col("doc_id").alias(own_id), F.col("shard").alias(own_shard), F.col("slot").alias(own_slot))
-    rows = docs.join(target, F.col(id_col).eqNullSafe(F.col(own_id))).drop(own_id)
-    if "shard" in docs.columns:
-        rows = rows.drop("shard")
-    rows = rows.withColumnRenamed(own_shard, "shard").repartition("shard").sortWithinPartitions("shard", own_slot).drop(own_slot)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return numbers
+    return sorted(r.shard for r in changed.collect())  # at most as many as there are shards
+
+
+def rewrite(placed: DataFrame, moves: DataFrame, path: str) -> tuple[list[int], str, str]:
+    """Write the files of the affected shards, a folder a shard, rows in order of their slots.
+
+    Returns the shards' numbers and the names of the columns that hold shard and
+    slot, which begin with underscores where the rows have such columns.
+    """
+    numbers = affected(moves)
+    held = placed.select("row.*")
+    shard, slot = common.spare(held, "shard", "slot")
+    rows = placed.filter(F.col("shard").isin(numbers)).select(F.col("shard").alias(shard), F.col("file").alias("file"), F.col("slot").alias(slot), F.col("row"))
+    rows = rows.sortWithinPartitions(shard, "file", slot).select("row.*", slot, shard)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(shard).parquet(path)
+    return numbers, shard, slot
+
+
+def rewritten(docs: DataFrame, path: str, *, n_old: int = 12, n_new: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Reshard, write the affected files under ``path``, and read the new layout back: (doc_id, size, text_crc32, old_shard, shard, slot).
+
+    Rows of shards that keep their files are taken as they are placed.
+    """
+    placed, moves = reshard(docs, n_old=n_old, n_new=n_new, id_col=id_col, text_col=text_col)
+    numbers, shard, slot = rewrite(placed, moves, path)
+    kept = placed.filter(~F.col("shard").isin(numbers)).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
+    if not numbers:
+        return kept
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.sparkSession.read.parquet(path)
+    read = rows.select(F.col(id_col).cast("long").alias("doc_id"), row_bytes(F.col(text_col)).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), (slice_of(text) % n_old).alias("old_shard"), F.col(shard).cast("int").alias("shard"), F.col(slot).alias("slot"))
+    return read.unionByName(kept)
 
 
 def digest(placed: DataFrame) -> DataFrame:

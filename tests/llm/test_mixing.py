@@ -61,3 +61,36 @@ def test_stream_is_interleaved(spark):
     for start in (0, len(slots) // 2):
         seen = {s for _, s in slots[start : start + 30]}
         assert seen == {1, 2, 3}
+
+
+def test_level(spark):
+    import random
+
+    rng = random.Random(7)
+    for k in range(6):
+        rows = [(float(rng.choice([0, 1, 5, 10 ** rng.randint(0, 9)])) * 2, float(rng.choice([5, 2, 1]))) for _ in range(rng.randint(1, 300))]
+        total = sum(c for c, _ in rows) * rng.choice([0.1, 0.5, 0.75, 0.99])
+        level = mixing.water_level(spark.createDataFrame(rows, "cap double, w double"), total)
+        assert sum(min(c, level * w) for c, w in rows) == pytest.approx(total)
+    assert mixing.water_level(spark.createDataFrame([(4.0, 1.0)], "cap double, w double"), 5.0) == float("inf")
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    monkeypatch.setattr(mixing, "CELLS", 16)
+    rows = [(i, "w " * (i % 90), f"host{i % 700}") for i in range(3000)]
+    verify(mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect(), [r[1] for r in rows])
+
+
+def test_heaps_of_repeated_rows(spark):
+    rows = [(None, "one two three", "a", i % 2) for i in range(9000)] + [(i, "w " * (i % 30), "b", 0) for i in range(500)] + [(None, None, "c", 0)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    got = mixing.taken(df).collect()
+    verify(got, [r[1] for r in rows])
+    out = mixing.apply(df)
+    assert out.columns == df.columns
+    words = defaultdict(int)
+    for r in out.collect():
+        words[r.source] += len((r.text or "").split())
+    for r in got:
+        assert abs(words[r.source] - r.target) <= 1

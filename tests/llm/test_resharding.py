@@ -62,6 +62,7 @@ def test_table(spark):
     for r in rows:
         old[r.old_shard] += r.size
     moved = sum(r.bytes for r in resharding.transfers(moves).collect())
+    assert resharding.moved_bytes(moves)[0] == moved
     least = cheapest([old[i] for i in range(12)], [total / 16] * 16)
     assert least <= moved <= least * 1.02 + 1
     where = defaultdict(set)
@@ -78,10 +79,29 @@ def test_edges(spark):
     assert resharding.reshard(df.limit(0))[0].collect() == []
 
 
+def test_repeated_rows_are_cut_apart(spark):
+    df = spark.createDataFrame([(None, "same " * 50)] * 4000 + [(i, "x" * 250) for i in range(2000)], "doc_id long, text string").repartition(5)
+    shards = verify(resharding.reshard(df)[0].collect(), [r.text for r in df.collect()])
+    assert max(shards.values()) - min(shards.values()) < 0.02 * sum(shards.values()) / 16
+
+
 def test_rewrite_touches_changed_shards_only(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "w" * (i % 50), "x") for i in range(500)], "doc_id long, text string, shard string")
+    rows = [(i, "w" * (i % 50), "x") for i in range(500)] + [(None, "dup", "y")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
     placed, moves = resharding.reshard(docs, n_old=4, n_new=6)
-    changed = resharding.rewrite(placed, moves, docs, str(tmp_path / "out"))
+    changed, shard, slot = resharding.rewrite(placed, moves, str(tmp_path / "out"))
     got = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.shard for r in got.select("shard").distinct().collect()) == changed
-    assert got.count() == placed.filter(F.col("shard").isin(changed)).count()
+    assert (shard, slot) == ("_shard", "slot") and got.columns[:3] == ["doc_id", "text", "shard"]
+    assert sorted(r[shard] for r in got.select(shard).distinct().collect()) == changed
+    want = placed.filter(F.col("shard").isin(changed)).select("shard", "slot", "row.doc_id", "row.text", F.col("row.shard").alias("own")).collect()
+    assert sorted(map(str, want)) == sorted(str(r) for r in got.select(F.col(shard).alias("shard"), "slot", "doc_id", "text", F.col("shard").alias("own")).collect())
+
+
+def test_layout_is_read_back(spark, tmp_path):
+    docs = spark.createDataFrame([(i, None if i % 9 == 0 else "é" * (i % 40)) for i in range(600)] + [(None, "dup")] * 20, "doc_id long, text string")
+    rows = resharding.digest(resharding.rewritten(docs, str(tmp_path / "out"))).collect()
+    verify(rows, [r.text for r in docs.collect()])
+    assert all(r.old_shard < 12 and r.shard < 16 for r in rows)
+    # where nothing has to move, nothing is written
+    same = resharding.rewritten(docs.limit(0), str(tmp_path / "none"))
+    assert same.collect() == []
