@@ -3,7 +3,9 @@
 Components become ``floor(scale * x)``. Vectors lie in bands of descending
 length, and bands in blocks. The longest vectors give each query a score that
 its k-th best cannot be under; a band whose length times the query's cannot
-reach it is not read. Within a block, the first coordinates after an SVD
+reach it is not read. Bands are worked off in rounds, the longest first, and each
+round hands the k-th best scores that it found on to the next, where fewer
+queries and shorter vectors are left to meet. Within a block, the first coordinates after an SVD
 rotation give a partial sum, and Cauchy-Schwarz on the rest an upper bound;
 only vectors whose bound reaches the query's k-th best so far are scored, and
 that exactly, in integers.
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm import vectors
+from quillmap.llm import common, vectors
 
 SAMPLE, LEADERS, BANDS = 20_000, 2048, 64
+#: Bands that are done after each round.
+ROUNDS = (2, 8, 24, BANDS)
 #: Vectors and queries that meet in one task; vectors that are bounded at once.
 BLOCK, QUERIES, CHUNK = 4096, 4096, 512
 #: Shares of the coordinates after which the bound is tried.
@@ -112,6 +116,7 @@ def scan(vecs: pa.Table, queries: pa.Table, turn: np.ndarray, k: int, part: int)
 def top(rows: DataFrame, *, every: int = 50, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each row whose id is divisible by ``every``."""
     spark = rows.sparkSession
+    common.use_checkpoints(spark)
     points = vectors.clean(rows, id_col=id_col, vector_col=vector_col).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     points = points.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     n, n_queries = points.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
@@ -137,19 +142,43 @@ def top(rows: DataFrame, *, every: int = 50, k: int = 5, scale: float = 256.0, i
     banded = points.withColumn("band", band.cast("int"))
     stats = {r.band: (r.n, r.longest) for r in banded.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()}  # at most BANDS rows
     table = F.broadcast(spark.createDataFrame([(b, -(-c // BLOCK), m) for b, (c, m) in stats.items()], "band int, subs int, longest double"))
+    asked = asked.checkpoint()
+    # queries that need bands of about the same length lie in one set, so that a band meets few sets
+    reach = F.col("least") / F.greatest(F.col("length"), F.lit(1e-9))
     sets = max(1, -(-n_queries // QUERIES))
-    vecs = banded.join(table.select("band", "subs"), "band").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
-    vecs = vecs.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))).select("band", "sub", "set", "vec_id", "v")
-    # a band is read only if its longest vector can reach the query's bound
-    asked = asked.withColumn("set", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(sets)).cast("int")).join(table, F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("least"))
-    asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("band", "sub", "set", "vec_id", "v", "least")
+    steps = sorted(set(asked.withColumn("reach", reach).approxQuantile("reach", [i / sets for i in range(1, sets)], 0.01))) if sets > 1 else []
+    asked = asked.withColumn("set", F.lit(0) + sum((F.when(reach > e, 1).otherwise(0) for e in steps), F.lit(0)))
+    vecs = banded.join(table.select("band", "subs"), "band").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int")).drop("subs", "length")
 
     def work(a: pa.Table, b: pa.Table) -> pa.Table:
         part = (a["band"][0].as_py() * 31 + a["sub"][0].as_py()) % vectors.PARTS if a.num_rows else 0
         return scan(a, b, turn, k, part)
 
-    found = vecs.groupBy("band", "sub", "set").cogroup(asked.groupBy("band", "sub", "set")).applyInArrow(work, "query_id long, vec_id long, score long, part long")
-    return vectors.best(found, k, largest=True)
+    best, done = None, 0
+    for upto in ROUNDS:
+        bands = [b for b in stats if done <= b < upto]
+        done = upto
+        if not bands:
+            continue
+        now = asked
+        if best is not None:
+            reached = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
+            now = asked.join(reached, "vec_id", "left").withColumn("least", F.greatest("least", F.coalesce("kth", "least"))).drop("kth")
+        # a band is read only if its longest vector can reach the query's bound
+        near = table.filter(F.col("band").isin(bands))
+        now = now.join(F.broadcast(near), F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("least"))
+        now = now.select("band", "subs", "set", "vec_id", "v", "least")
+        # a band's vectors go to the sets that have a query for them
+        live = now.select(F.col("band").alias("band_"), F.col("set").alias("set_")).distinct()
+        left = vecs.filter(F.col("band").isin(bands)).join(live, F.col("band") == F.col("band_")).select("band", "sub", F.col("set_").alias("set"), "vec_id", "v")
+        right = now.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
+        found = left.groupBy("band", "sub", "set").cogroup(right.groupBy("band", "sub", "set")).applyInArrow(work, "query_id long, vec_id long, score long, part long")
+        if best is not None:
+            found = found.unionByName(best.drop("rank").withColumn("part", F.lit(0).cast("long")))
+        best = vectors.best(found, k, largest=True)
+        if done < ROUNDS[-1]:
+            best = best.checkpoint()
+    return best
 
 
 SQL = """

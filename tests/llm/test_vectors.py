@@ -41,11 +41,29 @@ def test_inner_products(spark, kind, monkeypatch):
             want += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
     got = sorted(tuple(r) for r in inner.top(frame(spark, rows)).collect())
     assert got == sorted(want)
-    for name, value in (("BLOCK", 100), ("QUERIES", 3), ("CHUNK", 16), ("LEADERS", 8)):
+    for name, value in (("BLOCK", 100), ("QUERIES", 3), ("CHUNK", 16), ("LEADERS", 8), ("ROUNDS", (1, 64))):
         monkeypatch.setattr(inner, name, value)
     assert sorted(tuple(r) for r in inner.top(frame(spark, rows)).collect()) == sorted(want)
 
 
+def test_bounds_are_handed_on(spark, monkeypatch):
+    """With lengths far apart, short bands are not read at all once longer ones have set the bounds."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 8)) * np.exp(rng.normal(size=(4000, 1)))
+    df = frame(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)])
+    monkeypatch.setattr(inner, "LEADERS", 4)
+    met = spark.sparkContext.accumulator(0)
+    real = inner.scan
+
+    def counted(vecs, queries, *rest):
+        met.add(vecs.num_rows * queries.num_rows)
+        return real(vecs, queries, *rest)
+
+    monkeypatch.setattr(inner, "scan", counted)
+    inner.top(df).collect()
+    assert met.value < 0.5 * 4000 * 80
+
+
 def test_inner_edges(spark):
     df = frame(spark, [(0, [1.0, 2.0], 0), (0, [1.0, 2.0], 0), (3, [1.0, 0.0], 0), (3, [1.0, 0.0], 0)])
     assert [tuple(r) for r in inner.top(df).collect()] == [(0, 1, 3, 65536)]
