@@ -4,11 +4,15 @@ Centroids are the leaves of a tree that halves a bounded sample until a leaf is
 small. A vector goes to the list of its nearest centroid and, if it lies near
 a boundary, to those of further centroids within a ratio of that distance.
 Centroids are found by a beam search over a neighbour graph kept in memory. A
-query reads the lists whose centroid is within a ratio of its nearest one. All
-vectors of those lists are compared in double precision.
+query reads the lists whose centroid is within a ratio of its nearest one. That
+ratio is measured: it is the one at which the nearest vectors of sampled queries
+lie in lists that are read, with the wanted share. Vectors in clusters need few
+lists so; vectors without structure need many, whatever the index. All vectors of
+those lists are compared in double precision.
 
-The graph has at most ``lists`` nodes whatever the table. Lists longer than a
-block are split, and a query meets each block of its lists.
+Lists grow with the root of the table up to ``lists``, which bounds the graph and
+what the driver fits. Lists longer than a block are split, and a query meets each
+block of its lists.
 
 Cases: rows with a null id, or a vector that is null, zero, of unusual length or
 not finite, take no part; repeated ids count once in a result and never answer
@@ -18,6 +22,7 @@ candidates a query gets all.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,28 +31,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm import vectors
+from quillmap.llm import common, vectors
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` and ``lists`` bound what the driver fits; the ratios trade recall for work."""
+    """``lists`` and ``per_list`` bound what the driver fits: at most their product of vectors, ``sample`` at least."""
 
     sample: int = 20_000
-    lists: int = 1024
-    list_size: int = 256
-    replicas: int = 4
-    replica_ratio: float = 1.15
-    probes: int = 32
-    probe_share: float = 0.19
-    probe_ratio: float = 1.5
+    per_list: int = 16
+    lists: int = 8192
+    list_size: int = 128
+    growth: float = 4.0
+    replicas: int = 2
+    replica_ratio: float = 1.08
+    #: Share of the nearest that sampled queries must find, and how many queries tell.
+    wanted: float = 0.93
+    trials: int = 400
+    #: Lists that a query reads whatever their ratio.
+    least_lists: int = 4
     degree: int = 20
     beam: int = 12
     block: int = 2048
 
-    def probes_of(self, lists: int) -> int:
-        """Vectors without structure need a share of the lists; where there is structure, the ratio stops long before."""
-        return max(self.probes, -(-int(lists * self.probe_share * 100) // 100))
+    def lists_of(self, n: int) -> int:
+        return max(1, min(self.lists, -(-n // self.list_size), math.ceil(self.growth * math.sqrt(n))))
+
+    def sample_of(self, n: int) -> int:
+        return max(self.sample, self.per_list * self.lists_of(n))
 
 
 def leaves(x: np.ndarray, size: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -74,21 +85,46 @@ class Index:
     @classmethod
     def fit(cls, x: np.ndarray, n: int, s: Settings) -> Index:
         rng = np.random.default_rng(5)
-        wanted = max(1, min(s.lists, -(-n // s.list_size)))
+        wanted = s.lists_of(n)
         c = np.unique(np.stack(leaves(x, max(1, -(-len(x) // wanted)), rng)), axis=0)
         k = len(c)
-        d = distances(c, c)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1)[:, : min(s.degree, max(1, k - 1))]
+        degree, near = min(s.degree, max(1, k - 1)), []
+        for start in range(0, k, 512):
+            d = distances(c[start : start + 512], c)
+            d[np.arange(len(d)), np.arange(start, start + len(d))] = np.inf
+            near.append(np.argsort(d, axis=1)[:, :degree])
         far = rng.integers(0, k, (k, 4))
-        # links go both ways where there is room
-        return cls(c, np.concatenate([near, far], axis=1), np.unique(np.linspace(0, k - 1, min(k, 16)).astype(int)))
+        return cls(c, np.concatenate([np.concatenate(near), far], axis=1), np.unique(np.linspace(0, k - 1, min(k, 16)).astype(int)))
+
+    def measured(self, x: np.ndarray, k: int, s: Settings) -> tuple[float, int]:
+        """The ratio by which sampled queries find their nearest of the sample, and how many lists that is at most."""
+        rng = np.random.default_rng(6)
+        q = x[rng.choice(len(x), min(s.trials, len(x)), replace=False)]
+        needed, within = [], []
+        for start in range(0, len(q), 64):
+            part = q[start : start + 64]
+            d, to = distances(part, x), distances(part, self.centroids)
+            least = np.maximum(to.min(1), 1e-12)
+            # its own row, and what equals it, is no neighbour
+            d[d <= 1e-9] = np.inf
+            for i in range(len(part)):
+                near = np.argsort(d[i])[:k]
+                near = near[np.isfinite(d[i][near])]
+                rows, lists = self.lists_of(x[near], s.replicas, s.replica_ratio, s.beam)
+                best = np.full(len(near), np.inf)
+                np.minimum.at(best, rows, to[i][lists] / least[i])
+                needed.append(best)
+            within.append(to / least[:, None])
+        needed = np.concatenate([np.ones(1), *needed])
+        ratio = float(np.quantile(needed[np.isfinite(needed)], s.wanted)) + 1e-9
+        counts = (np.concatenate(within) <= ratio).sum(1)
+        return ratio, int(min(len(self.centroids), max(8, math.ceil(1.25 * counts.max()))))
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids of each query that the walk meets, nearest first, and their distances."""
         n, k = len(q), len(self.centroids)
         width, q = min(beam, k), q.astype(np.float32)
-        centroids, steps = self.centroids.astype(np.float32), min(4, width)
+        centroids, steps = self.centroids.astype(np.float32), min(max(4, width // 16), width)
         c_sq, q_sq = (centroids**2).sum(1), (q**2).sum(1)[:, None]
         seen = np.zeros((n, k), bool)
         ids = np.full((n, width), -1)
@@ -118,12 +154,14 @@ class Index:
             np.put_along_axis(open_, at, False, 1)
             new = self.graph[np.maximum(np.take_along_axis(ids, at, 1), 0)].reshape(n, -1)
 
-    def lists_of(self, q: np.ndarray, most: int, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def lists_of(self, q: np.ndarray, most: int, ratio: float, beam: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: a row's nearest centroids within ``ratio`` of the nearest."""
         rows, lists = [], []
         for start in range(0, len(q), 512):
             ids, dist = self.search(q[start : start + 512], beam)
-            near = (dist[:, :most] <= ratio * dist[:, :1] + 1e-12) & np.isfinite(dist[:, :most])
+            near = dist[:, :most] <= ratio * dist[:, :1] + 1e-12
+            near[:, :least] = True
+            near &= np.isfinite(dist[:, :most])
             r, c = np.nonzero(near)
             rows.append(r + start)
             lists.append(ids[r, c])
@@ -168,27 +206,40 @@ def nearest(lists: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 def search(rows: DataFrame, *, every: int = 100, k: int = 10, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found to each row whose id is divisible by ``every``."""
     s, spark = settings, rows.sparkSession
+    common.use_checkpoints(spark)
     points = vectors.clean(rows, id_col=id_col, vector_col=vector_col, zero=False)
     n = points.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = Index.fit(vectors.sample(points, s.sample), n, s)
-    shared, probes = spark.sparkContext.broadcast(index), s.probes_of(len(index.centroids))  # at most ``lists`` centroids
+    sample = vectors.sample(points, s.sample_of(n))
+    index = Index.fit(sample, n, s)
+    ratio, probes = index.measured(sample, k, s)
+    shared = spark.sparkContext.broadcast(index)  # at most ``lists`` centroids
 
-    def dealt(most: int, ratio: float, beam: int):
+    def dealt(most: int, ratio: float, beam: int, least: int = 1):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                r, lists = shared.value.lists_of(vectors.matrix(batch.column(1)), most, ratio, beam)
+                r, lists = shared.value.lists_of(vectors.matrix(batch.column(1)), most, ratio, beam, least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(lists.astype(np.int32))], names=["vec_id", "v", "list"])
 
         return work
 
     schema = "vec_id long, v array<double>, list int"
     listed = points.mapInArrow(dealt(s.replicas, s.replica_ratio, s.beam), schema)
-    asked = points.filter(F.col("vec_id") % every == 0).mapInArrow(dealt(probes, s.probe_ratio, probes + 16), schema)
+    asked = points.filter(F.col("vec_id") % every == 0).mapInArrow(dealt(probes, ratio, probes + 16, s.least_lists), schema)
     subs = {r.list: -(-r["count"] // s.block) for r in listed.groupBy("list").count().collect()}  # at most ``lists`` rows
     sizes = F.broadcast(spark.createDataFrame(list(subs.items()), "list int, subs int"))
     listed = listed.join(sizes, "list").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int")).drop("subs")
-    asked = asked.join(sizes, "list").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
-    found = listed.groupBy("list", "sub").cogroup(asked.groupBy("list", "sub")).applyInArrow(lambda a, b: nearest(a, b, k), "query_id long, vec_id long, score double, part long")
-    return vectors.best(found, k, largest=False)
+
+    def met(queries: DataFrame) -> DataFrame:
+        each = queries.join(sizes, "list").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
+        return listed.groupBy("list", "sub").cogroup(each.groupBy("list", "sub")).applyInArrow(lambda a, b: nearest(a, b, k), "query_id long, vec_id long, score double, part long")
+
+    best = vectors.best(met(asked), k, largest=False).checkpoint()
+    # queries whose lists hold too few read all of them
+    full = best.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = points.filter(F.col("vec_id") % every == 0).select("vec_id", "v").join(full, "vec_id", "left_anti").checkpoint()
+    if short.isEmpty():
+        return best
+    rest = vectors.best(met(short.withColumn("list", F.explode(F.array(*map(F.lit, sorted(subs)))))), k, largest=False)
+    return best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)

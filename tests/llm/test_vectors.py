@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmap.llm import common, inner, postings, queries
@@ -93,7 +94,7 @@ def exact(points, k=10):
 def test_neighbours(spark, kind):
     rows = rows_of(kind)
     want = exact(good(rows, False))
-    got = postings.search(frame(spark, rows), settings=postings.Settings(list_size=40, block=64, probes=64, probe_ratio=2.5)).collect()
+    got = postings.search(frame(spark, rows), settings=postings.Settings(list_size=40, block=64)).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         found.setdefault(r.query_id, []).append((r.score, r.vec_id))
@@ -109,6 +110,34 @@ def test_neighbours(spark, kind):
     assert hits >= 0.9 * 10 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["plain", "clusters"])
+def test_recall_by_default_settings(spark, kind, monkeypatch):
+    """50,000 vectors, with and without structure; lists are skipped, and with structure nearly all are."""
+    rng = np.random.default_rng(9)
+    n, d = 50_000, 32
+    x = rng.normal(size=(n, d)) if kind == "plain" else 3 * rng.normal(size=(300, d))[rng.integers(0, 300, n)] + 0.4 * rng.normal(size=(n, d))
+    x = np.float32(x).astype(float)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float64()))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": flat})).repartition(8)
+    met = spark.sparkContext.accumulator(0)
+    real = postings.nearest
+
+    def counted(lists, queries, k):
+        met.add(lists.num_rows * queries.num_rows)
+        return real(lists, queries, k)
+
+    monkeypatch.setattr(postings, "nearest", counted)
+    found = {}
+    for r in postings.search(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, n, 100):
+        near = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")
+        hits += len(found[q] & set(near[near != q][:10].tolist()))
+    assert hits >= 0.9 * 10 * len(found)
+    assert met.value < (0.8 if kind == "plain" else 0.1) * n * len(found)
+
+
 def test_neighbour_edges(spark):
     df = frame(spark, [(0, [1.0, 2.0], 0), (7, [1.0, 0.0], 0), (7, [1.0, 0.0], 0), (0, [1.0, 2.0], 0)])
     assert [tuple(r) for r in postings.search(df).collect()] == [(0, 1, 7, 2.0)]
