@@ -22,8 +22,6 @@ from quillmap.plans.language import Operators, Plan, Request, make_plan, parse_o
 from quillmap.sources.scan import Policy, code_files
 from quillmap.sources.store import Store, use_checkpoints
 
-#: Characters of a chunk and of what two neighbours share.
-CHUNK, OVERLAP = 2500, 300
 #: Dimensions of the offline embedding.
 DIMENSIONS = 256
 #: Seconds for which a frozen answer can be paged, and results that a live path may add.
@@ -126,27 +124,29 @@ class Engine:
         return chunks.select("id", F.lower(F.concat_ws(" ", "path", "label", "content", terms)).alias("lexical"))
 
     def _chunks(self, files: DataFrame) -> DataFrame:
-        cut = files.select("path", "content", F.explode(shape.windows(F.col("content"), CHUNK, OVERLAP)).alias("w"))
-        start = F.size(F.split(F.col("content").substr(F.lit(1), F.col("w.start")), "\n", -1))
-        chunks = cut.select("path", start.alias("start_line"), (start + F.size(F.split("w.piece", "\n", -1)) - 1).alias("end_line"), F.col("w.piece").alias("content"))
-        chunks = chunks.withColumn("id", F.concat(F.lit("chunk_"), F.substring(F.sha2(F.concat_ws("\0", "path", "start_line", "end_line", "content"), 256), 1, 16)))
-        chunks = chunks.dropDuplicates(["id"]).withColumn("indexed_at", F.current_timestamp())
+        chunks = source.chunks(files.select("path", "content")).withColumn("indexed_at", F.current_timestamp())
         return chunks.withColumn("language", text.language_of(F.col("path"))).withColumn("embedding", self.embedding(F.concat_ws(" ", "path", "content")))
 
+    @staticmethod
+    def _key(file: str) -> Column:
+        return F.concat(F.lit("symkey_"), F.substring(F.sha2(F.concat_ws("\0", file, "kind", "qualified_name"), 256), 1, 32))
+
     def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
         symbols = source.symbols(files)
-        key = F.concat(F.lit("symkey_"), F.substring(F.sha2(F.concat_ws("\0", "file", "kind", "qualified_name"), 256), 1, 32))
         # of declarations repeated in a file the first stands for all
-        symbols = symbols.withColumn("symbol_key", key)
+        symbols = symbols.withColumn("symbol_key", self._key("file"))
         first = symbols.groupBy("symbol_key").agg(F.min_by(F.struct(*symbols.columns), F.struct("start_line", "end_line")).alias("s"))
         symbols = detail.unique_symbols(first.select("s.*"))
-        chunks = self._chunks(files)
-        owners = joins.innermost(chunks.withColumnRenamed("path", "file").select("id", "file", "start_line", "end_line"), self._spans(symbols), keys=["id"]).select("id", "owner")
+        # a symbol's windows are its own; what lies between symbols belongs to the innermost around it
+        chunks = self._chunks(files).withColumn("own", F.when(F.col("qualified_name").isNotNull(), self._key("path"))).drop("kind", "qualified_name")
+        between = chunks.filter("own IS NULL").withColumnRenamed("path", "file").select("id", "file", "start_line", "end_line")
+        owners = joins.innermost(between, self._spans(symbols), keys=["id"]).select("id", F.col("owner").alias("around"))
+        chunks = chunks.join(owners, "id", "left").withColumn("owner", F.coalesce("own", "around")).drop("own", "around")
         labels = symbols.select(F.col("symbol_key").alias("owner"), F.col("qualified_name").alias("label"))
         return {
             "files": files.select("path", "hash", "content"),
             "symbols": symbols,
-            "chunks": chunks.join(owners, "id", "left").join(labels, "owner", "left"),
+            "chunks": chunks.join(labels, "owner", "left"),
             "calls": source.calls(files),
             "bindings": source.bindings(files),
         }

@@ -6,7 +6,10 @@ Sources are parsed on the executors, a batch of files at a time.
 from __future__ import annotations
 
 import ast
+import hashlib
+import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,9 +86,12 @@ def other_symbols(path: str, source: str) -> list[tuple]:
     lines = source.split("\n")
     found = [(i, m.group(1), m.group(2)) for i, line in enumerate(lines, 1) if (m := DECLARED.match(line))]
     out = [(path, "file", path.rsplit("/", 1)[-1], path, None, 1, len(lines), 0, len(source.encode()), None, None, None, None, None)]
+    begins = [0]
+    for text in lines:
+        begins.append(begins[-1] + len(text.encode()) + 1)
     for (i, kind, name), end in zip(found, [f[0] - 1 for f in found[1:]] + [len(lines)], strict=False):
-        kind = "function" if kind in ("func", "fn") else kind
-        out.append((path, kind, name, name, None, i, max(i, end), None, None, None, None, None, None, None))
+        kind, end = "function" if kind in ("func", "fn") else kind, max(i, end)
+        out.append((path, kind, name, name, None, i, end, begins[i - 1], begins[end] - 1, None, None, None, None, None))
     return out
 
 
@@ -118,6 +124,65 @@ def python_bindings(path: str, source: str) -> list[tuple]:
     return sorted(out, key=lambda r: (r[5], r[4] or ""))
 
 
+#: Bytes of a chunk and of what two neighbours share.
+CHUNK_BYTES, OVERLAP_BYTES = 2500, 300
+CHUNKS = "path string, id string, kind string, qualified_name string, start_line int, end_line int, start_byte int, end_byte int, content string"
+
+
+def whole_characters(raw: bytes, first: int, last: int) -> tuple[int, int]:
+    """The span without parts of characters at its ends."""
+    inside = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    while first < last and inside(first):
+        first += 1
+    while last > first and inside(last):
+        last -= 1
+    return first, last
+
+
+def byte_windows(raw: bytes, first: int, last: int, size: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> Iterator[tuple[int, int]]:
+    """Windows of at most ``size`` bytes over a span, each ``size - overlap`` behind the last; one that ends with the span is the last."""
+    first, last = whole_characters(raw, first, last)
+    for at in range(first, last, size - overlap):
+        begin = whole_characters(raw, at, last)[0]
+        begin, end = whole_characters(raw, begin, min(begin + size, last))
+        if end > begin:
+            yield begin, end
+        if end == last:
+            return
+
+
+def uncovered_spans(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """What a text of so many bytes has outside of the spans."""
+    out, reach = [], 0
+    for a, b in [*sorted(spans), (size, size)]:
+        if a > reach:
+            out.append((reach, a))
+        reach = max(reach, b)
+    return out
+
+
+def chunk_rows(path: str, content: str, size: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> list[tuple]:
+    """A file's chunks: windows of each symbol, then of what no symbol covers and is not blank."""
+    raw = content.encode()
+    symbols = python_symbols(path, content) if path.endswith(".py") else other_symbols(path, content)
+    held = [(r[7], r[8], r[1], r[3]) for r in symbols if r[1] != "file" and r[7] is not None and r[8] > r[7]]
+    gaps = [(a, b, None, None) for a, b in uncovered_spans([h[:2] for h in held], len(raw)) if raw[a:b].decode(errors="replace").strip()]
+    breaks = [i for i, c in enumerate(raw) if c == 10]
+    line = lambda at: bisect_left(breaks, at) + 1
+    out = []
+    for a, b, kind, name in held + gaps:
+        for begin, end in byte_windows(raw, a, b, size, overlap):
+            piece = raw[begin:end].decode()
+            lines = line(begin), line(max(begin, end - 1))
+            mark = json.dumps([path, len(out), begin, end, *lines, piece], ensure_ascii=False, separators=(",", ":"))
+            out.append((path, "chunk_" + hashlib.sha256(mark.encode()).hexdigest()[:16], kind, name, *lines, begin, end, piece))
+    return out
+
+
+def chunks(files: DataFrame) -> DataFrame:
+    return _rows(files, chunk_rows, CHUNKS)
+
+
 def _rows(files: DataFrame, one, schema: str) -> DataFrame:
     """files: (path, content string)."""
     names = [c.split(" ")[0] for c in schema.split(", ")]

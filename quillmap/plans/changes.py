@@ -124,3 +124,19 @@ def a14_git_status(spark, sf_dir):
     a = p.select(k.alias("n"), F.concat(F.element_at(marks, (k % 6 + 1).cast("int")), body).alias("line"))
     b = s.select((F.col("s_suppkey") + 1000000).alias("n"), F.concat(F.lit("R  old/"), "s_suppkey", F.lit(" -> new/"), "s_suppkey").alias("line"))
     return scan.git_status(a.unionByName(b))
+
+
+@query(f"""WITH {CHUNKS} SELECT id, regexp_matches(lower(path), '\\.(ts|tsx|js|jsx|mjs|cjs|py|java|cpp|c|h|hpp|cs|go|rs|php|rb|swift|kt|scala|m|mm|md|markdown|mdx|rst|txt|adoc|ipynb)$') AS minimal,
+ regexp_matches(lower(path), '\\.(ts|tsx|js|jsx|mjs|cjs|py|java|cpp|c|h|hpp|cs|go|rs|php|rb|swift|kt|scala|m|mm|md|markdown|mdx|rst|txt|adoc|ipynb|toml|yaml|yml|json|jsonc|ini|cfg|conf|properties|xml|sh|bash|zsh|fish|ps1|bat|cmd|sql|graphql|gql|tf|tfvars)$') AS standard,
+ regexp_matches(path, '^(.*/)?(dist|build|out|target|coverage|logs|tmp|temp|node_modules)(/.*)?$') OR regexp_matches(path, '\\.(min\\.js|min\\.css|map|log|lock|pem|key|db)$') AS is_ignored FROM chunks""")
+def a6_profiles_and_patterns(spark, sf_dir):
+    minimal, standard = scan.Policy.of_profile("minimal"), scan.Policy()
+    p = F.col("path")
+    return chunks(spark, sf_dir).select("id", minimal.by_extension(p).alias("minimal"), standard.by_extension(p).alias("standard"), standard.is_ignored(p).alias("is_ignored"))
+
+
+@query("SELECT sha256(string_agg('s/' || s_suppkey || chr(0) || sha256(s_name) || chr(10), '' ORDER BY 's/' || s_suppkey)) AS root FROM supplier")
+def e8_checkpoint_root(spark, sf_dir):
+    """The root of one small checkpoint, over the lines themselves."""
+    s = table(spark, sf_dir, "supplier")
+    return changes.merkle(s.select(F.concat(F.lit("s/"), "s_suppkey").alias("path"), F.sha2("s_name", 256).alias("hash")))

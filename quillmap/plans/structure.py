@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmap.functions import text
-from quillmap.operators import detail, graph, joins, shape
+from quillmap.operators import detail, graph, joins, lexical, shape
 from quillmap.plans.inputs import CHUNKS, EDGES, chunks, edges, table
 from quillmap.plans.registry import query
 
@@ -190,3 +190,25 @@ def d14_import_support(spark, sf_dir):
     calls = calls.select(F.col("id"), (F.col("id") % 100).alias("file"), "dst", F.concat(F.lit("f"), F.col("dst") % 40).alias("name"), F.lit("low").alias("confidence"))
     calls = shape.ranked(calls, ["id", "dst"], "src")
     return detail.upgraded_calls(calls, symbols, detail.reexports(imports, exports)).select("src", "dst", "confidence")
+
+
+@query(f"""WITH {CHUNKS}, t AS (SELECT id, list_filter(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) <= 255) AS toks FROM chunks WHERE language = 'fr'), u AS (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM t)
+SELECT term, id, count(*)::INT AS tf, dl::INT AS dl FROM u GROUP BY term, id, dl""")
+def b4_postings_of_language(spark, sf_dir):
+    """Postings of the rows of one language."""
+    rows = chunks(spark, sf_dir).filter("language = 'fr'").select("id", "content")
+    return lexical.postings(rows).select("term", "id", "tf", "dl")
+
+
+@query(f"""WITH {CHUNKS}, f AS (SELECT DISTINCT path FROM chunks), i AS (SELECT id, path AS file, 'lib/' || source || '/main.py' AS module FROM chunks),
+n AS (SELECT path, min(id) AS key FROM chunks GROUP BY path HAVING count(*) = 1)
+SELECT DISTINCT i.file AS src, CASE WHEN n.key IS NOT NULL THEN 'f' || n.key ELSE f.path END AS dst, 'IMPORTS' AS type FROM i JOIN f ON i.module = f.path LEFT JOIN n ON n.path = f.path""")
+def l8_import_edges(spark, sf_dir):
+    """Files import a module by its path; the edge goes to the module's only symbol, or else to the module."""
+    c = chunks(spark, sf_dir)
+    tries = F.array(F.concat(F.lit("lib/"), "source", F.lit("/main.py")))
+    found = joins.first_module(c.select(F.col("id").alias("import"), tries.alias("candidates")), c.select("path").distinct())
+    modules = c.select(F.col("id").alias("import"), F.col("path").alias("file")).join(found, "import")
+    names = c.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("key")).filter("n = 1")
+    rows = modules.join(names.select("path", "key"), "path", "left")
+    return rows.select(F.col("file").alias("src"), F.when(F.col("key").isNotNull(), F.concat(F.lit("f"), "key")).otherwise(F.col("path")).alias("dst"), F.lit("IMPORTS").alias("type")).distinct()

@@ -242,6 +242,28 @@ def test_coverage_stream(spark, tmp_path):
     assert sum(total) == 4
 
 
+def test_chunks_are_windows_of_bytes():
+    body = A + "\n# " + "é漢" * 3000 + "\n" + "x = 1\n" * 10 + "\n\n"
+    raw, rows = body.encode(), source.chunk_rows("src/a.py", body)
+    named = {}
+    for path, key, kind, name, first, last, a, b, text in rows:
+        assert path == "src/a.py" and key.startswith("chunk_") and raw[a:b].decode() == text and b - a <= 2500
+        assert (first, last) == (raw[:a].count(b"\n") + 1, raw[: b - 1].count(b"\n") + 1)
+        named.setdefault(name, []).append((a, b))
+    assert {"Parser", "Parser.parse_http", "tidy_up", None} == set(named)
+    covered = bytearray(len(raw))
+    for spans in named.values():
+        for a, b in spans:
+            covered[a:b] = b"\1" * (b - a)
+    assert not raw.translate(None, b"") == b"" and all(c or chr(r).isspace() for c, r in zip(covered, raw, strict=True))
+    gaps = sorted(named[None])
+    long = [s for s in gaps if s[1] - s[0] > 2000]
+    assert len(long) > 5 and all(0 < a_end - b_start <= 303 for (_, a_end), (b_start, _) in zip(long, long[1:]))
+    assert len({r[1] for r in rows}) == len(rows) and source.chunk_rows("a.py", "") == [] and source.chunk_rows("a.txt", " \n ") == []
+    assert [r[3] for r in source.chunk_rows("v.ts", "import x\nexport class View {\n}\nfunction draw() {}\n")] == ["View", "draw", None]
+    assert list(source.byte_windows(b"abcdefghij", 0, 10, 4, 1)) == [(0, 4), (3, 7), (6, 10)]
+
+
 def test_excerpts():
     body = "\n".join(["def f():", *[f"    x{i} = {i}" for i in range(200)], "    needle here", "    return x1"])
     assert source.excerpts(body, 1, 203, None, [], 100_000) == [(1, 203)]
