@@ -24,13 +24,14 @@ def library():
 
 
 def same(library, ours, texts):
-    for t, (ids, decoded) in zip(texts, ours.encode_texts(texts), strict=True):
-        want = library.encode(t or "", add_special_tokens=False).ids
+    wanted = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    decoded = library.decode_batch(wanted, skip_special_tokens=False)
+    for t, (ids, text), want, plain in zip(texts, ours.encode_texts(texts), wanted, decoded, strict=True):
         assert ids == " ".join(map(str, want)), t
-        assert decoded == library.decode(want, skip_special_tokens=False)
+        assert text == plain
     flat, at = ours.encode_flat(texts)
-    for t, start, end in zip(texts, at, at[1:], strict=False):
-        assert flat[start:end].tolist() == library.encode(t or "", add_special_tokens=False).ids
+    for want, start, end in zip(wanted, at, at[1:], strict=False):
+        assert flat[start:end].tolist() == want
 
 
 def test_special_cases(library):
