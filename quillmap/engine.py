@@ -76,6 +76,9 @@ class Engine:
     store: Store
     embedding: Callable[[Column], Column] = embed
     reranker: Reranker | None = None
+    #: Gives symbols of files (path, content), and further rules that give (call, target) from calls, callers, symbols and modules.
+    analysis: Callable[[DataFrame], DataFrame] = source.symbols
+    resolvers: tuple[Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame], ...] = ()
 
     # -- index -----------------------------------------------------------------
     def build(self, root: str, policy: Policy = Policy()) -> dict[str, int]:
@@ -132,7 +135,7 @@ class Engine:
         return F.concat(F.lit("symkey_"), F.substring(F.sha2(F.concat_ws("\0", file, "kind", "qualified_name"), 256), 1, 32))
 
     def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
-        symbols = source.symbols(files)
+        symbols = self.analysis(files)
         # of declarations repeated in a file the first stands for all
         symbols = symbols.withColumn("symbol_key", self._key("file"))
         first = symbols.groupBy("symbol_key").agg(F.min_by(F.struct(*symbols.columns), F.struct("start_line", "end_line")).alias("s"))
@@ -201,8 +204,7 @@ class Engine:
         absolute = asked.join(far, "name").groupBy("import").agg(F.min_by("path_", "turn").alias("path"))
         return rows.join(near.unionByName(absolute).dropDuplicates(["import"]), "import")
 
-    @staticmethod
-    def _targets(calls: DataFrame, callers: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFrame:
+    def _targets(self, calls: DataFrame, callers: DataFrame, symbols: DataFrame, modules: DataFrame) -> DataFrame:
         """(call, target) by the first rule that says anything about the call."""
         named = symbols.filter("kind <> 'file'").select("symbol_key", "name", "file", "kind", "parent", "qualified_name")
         top = named.filter("parent IS NULL")
@@ -228,7 +230,8 @@ class Engine:
             named.filter("kind <> 'method'").select(F.col("symbol_key").alias("key"), "name", "file"),
         )
         every = None
-        for rank, rows in enumerate((by_module, by_class, by_import, local.filter("target IS NOT NULL"))):
+        further = [resolve(calls, callers, symbols, modules).select("call", "target") for resolve in self.resolvers]
+        for rank, rows in enumerate((by_module, by_class, by_import, local.filter("target IS NOT NULL"), *further)):
             part = rows.withColumn("rule", F.lit(rank))
             every = part if every is None else every.unionByName(part)
         first = every.groupBy("call", "rule").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))

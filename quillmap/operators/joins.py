@@ -21,7 +21,7 @@ def innermost(inner: DataFrame, outer: DataFrame, *, keys: list[str], file: str
     inner one looks into the bin of its first line at every scale: a long file
     costs its spans times the depth of their nesting, not their square.
     """
-    scales = [BIN * SPREAD**i for i in range(8)]
+    scales = [BIN * SPREAD**i for i in range(5)]
     length, scale = F.col("e") - F.col("s") + 1, F.lit(len(scales) - 1)
     for i, size in reversed(list(enumerate(scales))):
         scale = F.when(length <= size * SPREAD, F.lit(i)).otherwise(scale)

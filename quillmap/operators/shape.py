@@ -157,6 +157,23 @@ def after_key(rows: DataFrame, key: str, last: str, limit: int) -> DataFrame:
     return rows.filter(F.col(key) > last).orderBy(key).limit(limit)
 
 
+def fingerprint(rows: DataFrame, key: str) -> str:
+    """A mark of a set of keys; pages of one set carry the same."""
+    n, total = rows.agg(F.count("*"), F.sum(F.xxhash64(key).cast("decimal(38,0)"))).first()
+    return f"{n}-{total or 0}"
+
+
+def keyset_page(rows: DataFrame, key: str, limit: int, cursor: tuple[str, str] | None = None) -> tuple[DataFrame, tuple[str, str] | None]:
+    """A page of rows by key and the cursor (last key, fingerprint) of the next one, none after the last; a cursor of another set is refused."""
+    mark = fingerprint(rows, key)
+    if cursor is not None and cursor[1] != mark:
+        raise ValueError("the rows have changed since the cursor was made")
+    page = after_key(rows, key, cursor[0], limit + 1) if cursor is not None else rows.orderBy(key).limit(limit + 1)
+    keys = [r[key] for r in page.select(key).orderBy(key).collect()]  # no more than a page
+    more = len(keys) > limit
+    return page.orderBy(key).limit(limit), (keys[limit - 1], mark) if more else None
+
+
 def quality(ratio: Column, eligible: Column) -> Column:
     return F.when(eligible <= 0, "unknown").when(ratio >= RICH, "symbol_rich").when(ratio >= MIXED, "mixed").otherwise("symbol_sparse")
 

@@ -14,16 +14,48 @@ from pyspark.sql.window import Window
 THRESHOLD_MS = 60_000
 
 
+#: Decisions in order of precedence, each with the sign that leads to it.
+DECISIONS = (
+    ("ignore_changed", "reconciled_ignore_change"),
+    ("active", "coalesced"),
+    ("missing", "skipped_source_checkpoint_unavailable"),
+    ("unchanged", "skipped_source_unchanged"),
+    ("recent", "skipped_recent"),
+)
+
+
 def decide(roots: DataFrame, now: Column, threshold_ms: int = THRESHOLD_MS) -> DataFrame:
     """What to do for each root: epoch (events so far), covered (of the last sync), checkpoint (its time in microseconds, null if none).
 
-    An event that no sync covers forces a sync whatever the age.
+    Boolean columns, if there are any, say that only ignore rules changed
+    (``ignore_changed``), that a sync is under way (``active``) and that the
+    source is as it was (``unchanged``). An event that no sync covers forces a
+    sync whatever the age.
     """
-    recent = now - F.col("checkpoint") < threshold_ms * 1000
-    decision = F.when(F.col("checkpoint").isNull(), "checkpoint_missing").when(F.col("epoch") > F.col("covered"), "sync").when(recent, "skipped_recent").otherwise("sync")
+    pending = F.col("epoch") > F.col("covered")
+    said = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in roots.columns else F.lit(False)
+    signs = {
+        "ignore_changed": said("ignore_changed"),
+        "active": said("active"),
+        "missing": F.col("checkpoint").isNull(),
+        "unchanged": said("unchanged") & ~pending,
+        "recent": (now - F.col("checkpoint") < threshold_ms * 1000) & ~pending,
+    }
+    decision = F.lit("synced")
+    for sign, name in reversed(DECISIONS):
+        decision = F.when(signs[sign], name).otherwise(decision)
     return roots.withColumn("decision", decision)
 
 
+def epochs(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """(root, pending, epoch) of finished batches: events (root, at, event_id) count up, and a sync covers those before its last start (root, at, event_id)."""
+    order = Window.partitionBy("root").orderBy("at", "event_id")
+    rows = events.withColumn("epoch", F.row_number().over(order))
+    covered = starts.join(rows, ["root", "at", "event_id"]).groupBy("root").agg(F.max("epoch").alias("covered"))
+    joined = rows.join(covered, "root", "left")
+    return joined.groupBy("root").agg(F.sum((F.col("epoch") > F.coalesce("covered", F.lit(0))).cast("long")).alias("pending"), F.max("epoch").cast("long").alias("epoch"))
+
+
 def bursts(events: DataFrame, gap_us: int) -> DataFrame:
     """Events (root, at, event_id) of a root that follow each other within the gap, as one row."""
     order = Window.partitionBy("root").orderBy("at", "event_id")

@@ -84,6 +84,20 @@ def test_places_and_budgets(spark):
         assert sorted((r.id, r.total_bytes) for r in shape.byte_budget(rows, F.col("size"), budget, [F.desc("v"), "id"]).collect()) == sorted(keep)
 
 
+def test_cursors(spark):
+    rows = spark.createDataFrame([(f"k{i:02d}",) for i in range(25)], "k string").repartition(4)
+    seen, cursor = [], None
+    while True:
+        page, cursor = shape.keyset_page(rows, "k", 10, cursor)
+        seen += [r.k for r in page.collect()]
+        if cursor is None:
+            break
+    assert seen == [f"k{i:02d}" for i in range(25)]
+    _, cursor = shape.keyset_page(rows, "k", 10)
+    with pytest.raises(ValueError, match="changed"):
+        shape.keyset_page(rows.union(rows.limit(1)), "k", 10, cursor)
+
+
 def test_counts_of_results():
     assert shape.result_counts(5, 3) == {"requested": 5, "available": 3, "shown": 3, "left": 0}
     assert shape.result_counts(5, 900) == {"requested": 5, "available": 900, "shown": 5, "left": 195}
