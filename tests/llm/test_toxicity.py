@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -49,6 +50,78 @@ def test_gradient_is_right():
         assert g[name][at] == pytest.approx((up - down) / (2 * eps), rel=0.05, abs=2e-4)
 
 
+def plain_score(model, text):
+    """The whole way from text to score once more, in plain Python."""
+    mask = (1 << 64) - 1
+    roll, spread = int(toxicity.ROLL), int(toxicity.SPREAD)
+
+    def mix(h):
+        h = h * spread & mask
+        return h ^ h >> 29
+
+    def code(chars, extra=0):
+        return mix(sum(ord(c) * pow(roll, k + 1, 1 << 64) for k, c in enumerate(chars)) + extra & mask)
+
+    tables = [dict(zip(t.keys.tolist(), t.values.tolist())) for t in (model.inputs.words, model.inputs.grams)]
+    none = [0.0] * toxicity.VECTOR
+
+    def vector(word):
+        marked = f"^{word}$"
+        grams = [tables[1].get(code(marked[i : i + n], n), none) for n in toxicity.GRAMS for i in range(len(marked) - n + 1)]
+        most = [max(g[j] for g in grams) for j in range(toxicity.VECTOR)] if grams else none
+        mean = [sum(g[j] for g in grams) / len(grams) for j in range(toxicity.VECTOR)] if grams else none
+        return [*tables[0].get(code(marked), none), *most, *mean, 1.0]
+
+    p, h = {k: v.astype(float).tolist() for k, v in model.net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    times = lambda x, w: [sum(a * row[j] for a, row in zip(x, w)) for j in range(len(w[0]))]
+
+    def walk(xs, side):
+        state, out = [0.0] * h, []
+        for x in xs:
+            a, b = [i + j for i, j in zip(times(x, p["W" + side]), p["b" + side])], times(state, p["U" + side])
+            z, r = ([sig(a[k + o] + b[k + o]) for k in range(h)] for o in (0, h))
+            new = [math.tanh(a[2 * h + k] + r[k] * b[2 * h + k]) for k in range(h)]
+            state = [(1 - z[k]) * new[k] + z[k] * state[k] for k in range(h)]
+            out.append(state)
+        return out
+
+    words, best = [vector(w) for w in toxicity.words_of(text)], -1e18
+    for at in range(0, max(1, len(words) - toxicity.STRIDE), toxicity.STRIDE):
+        real = words[at : at + toxicity.WINDOW]
+        xs = real + [[0.0] * toxicity.INPUTS] * (toxicity.WINDOW - len(real))
+        states = [f + b for f, b in zip(walk(xs, "f"), reversed(walk(xs[::-1], "b")))]
+        scores = [sum(math.tanh(k + c) * v for k, c, v in zip(times(s, p["A"]), p["c"], p["v"])) for s in states]
+        scores = [e if i < len(real) else -1e9 for i, e in enumerate(scores)]
+        weights = [math.exp(e - max(scores)) for e in scores]
+        pool = [sum(w * s[k] for w, s in zip(weights, states)) / sum(weights) for k in range(2 * h)]
+        best = max(best, sum(a * b for a, b in zip(pool, p["o"])) + p["q"][0])
+    return sig(model.slope * best + model.shift)
+
+
+def test_scores_agree_with_plain_python():
+    model = toxicity.fit(*corpus(120), steps=60)
+    held = [*corpus(12, seed=4)[0], "", "one", "漢字" * 40 + " grimlot " + "x" * 90, None]
+    got = toxicity.Scorer(model).score(held)
+    assert got == pytest.approx([plain_score(model, t) for t in held], abs=2e-5)
+
+
+def test_vectors_are_learned_without_leanings():
+    texts, labels = corpus(600)
+    model = toxicity.fit(texts, labels, leanings=False)
+    held, truth = corpus(200, seed=2)
+    p = toxicity.Scorer(model).score(held)
+    toxic = np.array(truth) == 1
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in p[toxic] for b in p[~toxic]]) > 0.95
+
+
+def test_repeated_rows_of_a_label_are_one(spark):
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    docs = spark.createDataFrame([(a, "b")] * 50 + [(a, "a")] * 50 + [(a, None)] * 5 + [(b, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels) == [("", 0), ("b", 1)]
+
+
 def test_learns_unseen_forms_and_windows():
     texts, labels = corpus(600)
     model = toxicity.fit(texts, labels)
