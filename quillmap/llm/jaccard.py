@@ -378,3 +378,36 @@ def keep_one(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, id_col:
 def digest(found: DataFrame) -> DataFrame:
     """One row per document with its class and its number of links."""
     return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
+#: The columns of op9, at its width and threshold, by all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM texts WHERE len(words) > 0)
+), sets AS (
+  SELECT r, md5(string_agg(s, chr(10) ORDER BY s)) AS node, count(*) AS size FROM shingles GROUP BY r
+), docs AS (
+  SELECT doc_id, coalesce(node, '') AS node, size FROM texts LEFT JOIN sets USING (r)
+), nodes AS (
+  SELECT node, min(doc_id) AS first_id, count(*) AS copies, any_value(size) AS size FROM docs GROUP BY node
+), firsts AS (
+  SELECT node, min(r) AS r FROM sets GROUP BY node
+), held AS (
+  SELECT node, s FROM shingles JOIN firsts USING (r)
+), pairs AS (
+  SELECT a.node AS x, b.node AS y, count(*) AS n FROM held a JOIN held b ON a.s = b.s AND a.node < b.node GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN nodes p ON x = p.node JOIN nodes q ON y = q.node WHERE n >= 0.8 * (p.size + q.size - n) - 1e-9
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(x, y) AS (
+  SELECT node, node FROM nodes UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x
+), classes AS (
+  SELECT x AS node, min(first_id) AS class_id FROM reach JOIN nodes ON y = node GROUP BY x
+), degrees AS (
+  SELECT x AS node, sum(copies)::BIGINT AS others FROM edges JOIN nodes ON y = node GROUP BY x
+)
+SELECT doc_id, class_id, coalesce(others, 0) + copies - 1 AS n_links, copies - 1 AS n_copies FROM docs JOIN nodes USING (node) JOIN classes USING (node) LEFT JOIN degrees USING (node)
+"""

@@ -78,3 +78,5 @@ def op6_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op6_inner"] = inner.SQL
+ORACLE_SQL["op4_substrings"] = substrings.SQL
+ORACLE_SQL["op9_jaccard"] = jaccard.SQL

@@ -799,3 +799,23 @@ def dedup(docs: DataFrame, *, width: int = 13, id_col: str = "doc_id", text_col:
     gone = state.cogroup(told.groupBy("g")).applyInArrow(lambda t, a: gone_words(t, a, width, groups), ddl(GONE))
     schema = ", ".join(["doc_id long", *(f"{n} {SPARK[OUTPUTS[n]]}" for n in outputs)])
     return by_group.cogroup(gone.groupBy("g")).applyInArrow(lambda t, a: finish(t, a, outputs), schema)
+
+
+#: The columns of op4, at its width.
+SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT r, doc_id, i, array_to_string(words[i:i + 12], ' ') AS k
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM texts WHERE len(words) >= 13)
+), least AS (
+  SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS place FROM windows JOIN least USING (k) WHERE first_id < doc_id
+), placed AS (
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts WHERE len(words) > 0
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY place) AS rest, count(*) AS n FROM placed WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = placed.r AND gone.place = placed.place) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (r)
+"""

@@ -57,5 +57,9 @@ def test_edges(spark):
         assert out.schema.names == docs.schema.names
         out.collect()
         assert stage(spark, docs.limit(0), SF).collect() == []
+    encoding = dict(corpus_pipeline.STAGES)["encoding"]
+    encoded = encoding(spark, docs, SF).collect()
+    assert len(encoded) == len(rows) and encoding(spark, docs.limit(0), SF).collect() == []
+    assert all((r.n_tokens == 0) == (r.doc_id in (2, 3)) and r.n_tokens == len(r.ids) for r in encoded)
     kept = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near copies"](spark, docs, SF).collect()]
     assert len(kept) == 3 and (1, "a b c d e f") in kept
