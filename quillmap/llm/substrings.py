@@ -124,9 +124,8 @@ class Words:
             chunks.append(found)
             counts.append(n)
             at = end
-        coded = pa.chunked_array(chunks).dictionary_encode().combine_chunks()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.chunk(0)
+        # one empty chunk stands for texts without words
+        coded = pa.concat_arrays(chunks).dictionary_encode()
         self.distinct = coded.dictionary
         self.index = coded.indices.to_numpy(zero_copy_only=False)
         self.counts = np.concatenate(counts)

@@ -62,6 +62,11 @@ def test_long_and_periodic(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+    rows = [(i, t) for i, t in enumerate([None, "", " ", "\n\t"])]
+    assert run(spark, rows) == brute(rows)
+    for texts in ([], [None], ["", None, " "]):
+        words = substrings.Words(pa.array(texts, pa.string()))
+        assert len(words.hash) == 0 and words.counts.tolist() == [0] * len(texts)
 
 
 def state_of(texts, ids=None):
