@@ -91,7 +91,12 @@ def subtree(labels, signatures, key=None):
 
 
 def signature_like(base, share, rng, label):
+    """Differs from the base in a share of its bytes, or, if that is None, in the first byte of every other tree's label."""
     out = base.copy()
+    if share is None:
+        out[8::8] ^= np.uint8(1)
+        out[:8] = label
+        return out.tobytes()
     other = rng.choice(np.arange(8, len(base)), round(share * len(base)), replace=False)
     out[other] ^= np.uint8(1)
     out[:8] = label
@@ -114,11 +119,11 @@ def test_prefixes_are_shortened_as_far_as_pairs_need():
 
     # near copies: the walk ends at the whole label, whatever lies farther up
     assert ended((label, 0.0), (label, 0.01)) == ([8], 1)
-    assert ended((label, 0.0), (label, 0.01), (short, 0.02)) == ([8], 1)
+    assert ended((label, 0.0), (label, 0.01), (short, None)) == ([8], 1)
     # a pair near the threshold keeps it going, and so does a subtree without any
-    assert ended((label, 0.0), (label, 0.19), (short, 0.02)) == ([6], 2)
-    assert ended((label, 0.0), (short, 0.02)) == ([6], 1)
-    assert ended((label, 0.0), (seven, 0.12)) == ([7], 1)
+    assert ended((label, 0.0), (label, 0.19), (short, None)) == ([6], 2)
+    assert ended((label, 0.0), (short, None)) == ([6], 1)
+    assert ended((label, 0.0), (seven, None)) == ([7], 1)
     # no more than the shortest prefix is ever matched
     five = label.copy()
     five[5] ^= 1
