@@ -8,7 +8,8 @@ query reads the lists whose centroid is within a ratio of its nearest one. That
 ratio is measured: it is the one at which the nearest vectors of sampled queries
 lie in lists that are read, with the wanted share. Vectors in clusters need few
 lists so; vectors without structure need many, whatever the index. All vectors of
-those lists are compared in double precision.
+those lists are compared in double precision, the nearest lists first: from the
+others only what is nearer than a query's k-th so far is handed on.
 
 Lists grow with the root of the table up to ``lists``, which bounds the graph and
 what the driver fits. Lists longer than a block are split, and a query meets each
@@ -48,8 +49,8 @@ class Settings:
     #: Share of the nearest that sampled queries must find, and how many queries tell.
     wanted: float = 0.93
     trials: int = 400
-    #: Lists that a query reads whatever their ratio.
-    least_lists: int = 4
+    #: Lists that a query reads whatever their ratio, and before all others.
+    least_lists: int = 8
     degree: int = 20
     beam: int = 12
     block: int = 2048
@@ -110,7 +111,7 @@ class Index:
             for i in range(len(part)):
                 near = np.argsort(d[i])[:k]
                 near = near[np.isfinite(d[i][near])]
-                rows, lists = self.lists_of(x[near], s.replicas, s.replica_ratio, s.beam)
+                rows, lists, _ = self.lists_of(x[near], s.replicas, s.replica_ratio, s.beam)
                 best = np.full(len(near), np.inf)
                 np.minimum.at(best, rows, to[i][lists] / least[i])
                 needed.append(best)
@@ -154,9 +155,9 @@ class Index:
             np.put_along_axis(open_, at, False, 1)
             new = self.graph[np.maximum(np.take_along_axis(ids, at, 1), 0)].reshape(n, -1)
 
-    def lists_of(self, q: np.ndarray, most: int, ratio: float, beam: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: a row's nearest centroids within ``ratio`` of the nearest."""
-        rows, lists = [], []
+    def lists_of(self, q: np.ndarray, most: int, ratio: float, beam: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, place) of a row's nearest centroids within ``ratio`` of the nearest; the nearest has place 0."""
+        rows, lists, places = [], [], []
         for start in range(0, len(q), 512):
             ids, dist = self.search(q[start : start + 512], beam)
             near = dist[:, :most] <= ratio * dist[:, :1] + 1e-12
@@ -165,7 +166,8 @@ class Index:
             r, c = np.nonzero(near)
             rows.append(r + start)
             lists.append(ids[r, c])
-        return np.concatenate([np.empty(0, int), *rows]), np.concatenate([np.empty(0, int), *lists])
+            places.append(c)
+        return tuple(np.concatenate([np.empty(0, int), *x]) for x in (rows, lists, places))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,10 +175,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(lists: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k nearest ids of a block to each query of it; an id is as near as its nearest row."""
+    """The k nearest ids of a block to each query of it that are within the query's bound; an id is as near as its nearest row."""
     ids, v = lists["vec_id"].to_numpy(), vectors.matrix(lists["v"])
     q_ids, q = queries["vec_id"].to_numpy(), vectors.matrix(queries["v"])
     out: list[list[np.ndarray]] = [[], [], []]
+    bound = queries["bound"].to_numpy() if len(q_ids) else np.empty(0)
     if len(ids) and len(q_ids):
         part = hash((lists["list"][0].as_py(), lists["sub"][0].as_py())) % vectors.PARTS
         order = np.argsort(ids, kind="stable")
@@ -188,10 +191,13 @@ def nearest(lists: pa.Table, queries: pa.Table, k: int) -> pa.Table:
             d[q_ids[start : start + 256, None] == ids[None, :]] = np.inf
             by_id = d if len(first) == len(ids) else np.minimum.reduceat(d, first, axis=1)
             least = np.partition(by_id, last, axis=1)[:, last]
-            for i, cut in enumerate(least):
+            for i, cut in enumerate(np.minimum(least, bound[start : start + 256])):
                 # rounding may part equal distances: what is about as near as the last is measured exactly
                 near = np.flatnonzero((d[i] <= cut + 1e-6 * (1 + cut if np.isfinite(cut) else 0)) & np.isfinite(d[i]))
+                if not len(near):
+                    continue
                 exact = np.sqrt(((v[near] - q[start + i]) ** 2).sum(1))
+                near, exact = near[exact <= bound[start + i]], exact[exact <= bound[start + i]]
                 order = np.lexsort((ids[near], exact))
                 order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
                 out[0].append(np.full(len(order), q_ids[start + i]))
@@ -219,13 +225,14 @@ def search(rows: DataFrame, *, every: int = 100, k: int = 10, settings: Settings
     def dealt(most: int, ratio: float, beam: int, least: int = 1):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                r, lists = shared.value.lists_of(vectors.matrix(batch.column(1)), most, ratio, beam, least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(lists.astype(np.int32))], names=["vec_id", "v", "list"])
+                r, lists, places = shared.value.lists_of(vectors.matrix(batch.column(1)), most, ratio, beam, least)
+                columns = [batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(lists.astype(np.int32)), pa.array(places.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "v", "list", "place"])
 
         return work
 
-    schema = "vec_id long, v array<double>, list int"
-    listed = points.mapInArrow(dealt(s.replicas, s.replica_ratio, s.beam), schema)
+    schema = "vec_id long, v array<double>, list int, place int"
+    listed = points.mapInArrow(dealt(s.replicas, s.replica_ratio, s.beam), schema).drop("place")
     asked = points.filter(F.col("vec_id") % every == 0).mapInArrow(dealt(probes, ratio, probes + 16, s.least_lists), schema)
     subs = {r.list: -(-r["count"] // s.block) for r in listed.groupBy("list").count().collect()}  # at most ``lists`` rows
     sizes = F.broadcast(spark.createDataFrame(list(subs.items()), "list int, subs int"))
@@ -235,11 +242,18 @@ def search(rows: DataFrame, *, every: int = 100, k: int = 10, settings: Settings
         each = queries.join(sizes, "list").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
         return listed.groupBy("list", "sub").cogroup(each.groupBy("list", "sub")).applyInArrow(lambda a, b: nearest(a, b, k), "query_id long, vec_id long, score double, part long")
 
-    best = vectors.best(met(asked), k, largest=False).checkpoint()
+    # the nearest lists give each query a bound, under which the others have little to add
+    nowhere = F.lit(float("inf"))
+    asked = asked.checkpoint()
+    first = vectors.best(met(asked.filter(F.col("place") < s.least_lists).withColumn("bound", nowhere)), k, largest=False).checkpoint()
+    kth = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    later = asked.filter(F.col("place") >= s.least_lists).join(kth, "vec_id", "left").withColumn("bound", F.coalesce("bound", nowhere))
+    both = met(later).unionByName(first.drop("rank").withColumn("part", F.lit(0).cast("long")))
+    best = vectors.best(both, k, largest=False).checkpoint()
     # queries whose lists hold too few read all of them
     full = best.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     short = points.filter(F.col("vec_id") % every == 0).select("vec_id", "v").join(full, "vec_id", "left_anti").checkpoint()
     if short.isEmpty():
         return best
-    rest = vectors.best(met(short.withColumn("list", F.explode(F.array(*map(F.lit, sorted(subs)))))), k, largest=False)
+    rest = vectors.best(met(short.withColumn("bound", nowhere).withColumn("list", F.explode(F.array(*map(F.lit, sorted(subs)))))), k, largest=False)
     return best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
