@@ -281,10 +281,8 @@ class Engine:
             if not ops.must or found.filter("reason IS NULL").count() >= request.limit:
                 break
         out.removed = {r.reason: r["count"] for r in found.filter("reason IS NOT NULL").groupBy("reason").count().collect()}
-        exact = text.has_term(F.col("content"), plan.target) if plan.target else F.lit(False)
-        for phrase in plan.phrases:
-            exact = exact | (F.instr(F.lower("content"), phrase) > 0)
-        kept = found.filter("reason IS NULL").withColumn("must", F.lit(bool(ops.must))).withColumn("exact", exact if plan.flags["pinned"] else F.lit(False))
+        told = text.lexical_evidence(F.col("label"), F.col("path"), F.col("content"), plan.terms, plan.phrases, reference=plan.flags["reference"], writer=plan.flags["writer"])
+        kept = found.filter("reason IS NULL").withColumn("must", F.lit(bool(ops.must))).withColumn("exact", told["exact"] if plan.flags["pinned"] else F.lit(False))
         kept = detail.sound(kept)
         good, _ = detail.valid_spans(kept)
         ranked = self._reranked(shape.authoritative_rank(good), plan, request).checkpoint()

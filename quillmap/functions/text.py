@@ -94,6 +94,40 @@ def declares(content: Column, term: str) -> Column:
     return F.coalesce(content.rlike(rf"(?i){_behind(DECLARING, name)}|{_behind(BINDING, name)}\s*=\s*{function}"), F.lit(False))
 
 
+def lexical_evidence(label: Column, path: Column, content: Column, terms: list[tuple[str, str]], phrases: list[str] = (), *, reference: bool = False, writer: bool = False) -> Column:
+    """struct(has, exact, whole, phrases): what a query's terms (term, kind) and quoted phrases find in a chunk.
+
+    A phrase counts wherever it stands. A term counts in any part of a word, but
+    as an exact match only as a whole one; where references are asked for, terms
+    show none, and one that is only used and not declared here shows no more than
+    that it is there.
+    """
+    label, path, content = (F.coalesce(F.lower(c), F.lit("")) for c in (label, path, content))
+    folders = F.filter(F.split(path, "/"), lambda f: f != "")
+    held = {p: label.contains(p) | F.exists(folders, lambda f: f.contains(p)) | content.contains(p) for p in map(str.lower, phrases)}
+    some, whole = {}, {}
+    for term, kind in terms:
+        term = term.lower()
+        used = usage_kind(content, term).isNotNull() & ~declares(content, term) if reference else F.lit(False)
+        words = has_term(label, term) | F.exists(folders, lambda f: has_term(f, term)) | has_term(content, term)
+        some[term] = used | words | label.contains(term) | path.contains(term) | content.contains(term)
+        if kind == "whole":
+            whole[term] = ~used & words
+
+    def names(found: dict[str, Column]) -> Column:
+        listed = [F.when(hit, F.lit(name)) for name, hit in found.items()]
+        return F.filter(F.array(*listed), lambda x: x.isNotNull()) if listed else F.array().cast("array<string>")
+
+    def any_of(found: dict[str, Column]) -> Column:
+        out = F.lit(False)
+        for hit in found.values():
+            out = out | hit
+        return out
+
+    exact = any_of(held) | (any_of(whole) if writer or not reference else F.lit(False))
+    return F.struct((any_of(held) | any_of(some)).alias("has"), exact.alias("exact"), names(whole).alias("whole"), names(held).alias("phrases"))
+
+
 def staleness(indexed_at: Column, now: Column) -> Column:
     age = F.greatest(F.lit(0), F.unix_micros(now.cast("timestamp")) - F.unix_micros(indexed_at.cast("timestamp"))) / 60e6
     return F.when(indexed_at.isNull(), "unknown").when(age <= FRESH_MINUTES, "fresh").when(age <= AGING_MINUTES, "aging").otherwise("stale")
@@ -107,7 +141,8 @@ def confidence(level: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    return F.ceil(F.length(text) / 4)
+    """A quarter of the UTF-16 units: a character above U+FFFF counts as two."""
+    return F.ceil(F.octet_length(F.encode(text, "UTF-16BE")) / 8)
 
 
 def line_count(text: Column) -> Column:

@@ -142,7 +142,7 @@ def h2_additive_terms(spark, sf_dir):
 
 @query(f"""WITH {CHUNKS} SELECT id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(path, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda p: p <> ''), ' ') AS identity,
   lower(regexp_replace(replace(path, '\\', '/'), '^/+', '')) AS search_path, regexp_extract(path, '([^.#:/]+)[.#:/]*$', 1) AS last,
-  ceil(length(content) / 4)::BIGINT AS tokens, len(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS lines,
+  ceil((length(content) + len(regexp_extract_all(content, '[\\x{{10000}}-\\x{{10FFFF}}]'))) / 4)::BIGINT AS tokens, len(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS lines,
   'path_' || substr(sha256(path || content), 1, 16) AS chunk_key FROM chunks""")
 def h8_identity_paths_lines(spark, sf_dir):
     c = chunks(spark, sf_dir)
@@ -161,6 +161,27 @@ def h4_lexical_evidence(spark, sf_dir):
     return c.select("id", text.has_term(F.col("content"), "token").alias("has_term"), text.usage_kind(F.col("content"), "token").alias("usage"), text.declares(F.col("label"), "f7").alias("declares"))
 
 
+_WORD = "regexp_matches({0}, '(^|[^a-z0-9]){1}([^a-z0-9]|$)')"
+
+
+def _evidence_sql(term: str) -> str:
+    words = " OR ".join([_WORD.format("l", term), _WORD.format("c", term), f"len(list_filter(s, lambda f: {_WORD.format('f', term)})) > 0"])
+    used = f"(regexp_matches(c, '\\bnew\\s+{term}\\b') OR regexp_matches(c, '\\b{term}\\s*\\(') OR regexp_matches(c, '\\b{term}\\b\\s*=') OR regexp_matches(c, '\\bimport\\s+.*\\b{term}\\b')) AND NOT regexp_matches(c, '\\b(class|def|function|type|interface|enum|struct)\\s+{term}\\b')"
+    return f"(({words}) OR contains(l, '{term}') OR contains(p, '{term}') OR contains(c, '{term}')) AS some_{term}, (({words})) AS word_{term}, ({used}) AS used_{term}"
+
+
+@query(f"""WITH {CHUNKS}, x AS (SELECT id, lower(label) AS l, lower(path) AS p, lower(content) AS c, list_filter(string_split(lower(path), '/'), lambda f: f <> '') AS s FROM chunks),
+e AS (SELECT id, contains(l, 'licensed under') OR len(list_filter(s, lambda f: contains(f, 'licensed under'))) > 0 OR contains(c, 'licensed under') AS phrase, {_evidence_sql("token")}, {_evidence_sql("src1")}, {_evidence_sql("core")} FROM x)
+SELECT id, phrase OR some_token OR some_src1 OR some_core AS has, phrase OR word_token OR word_src1 AS exact, concat_ws(',', CASE WHEN word_token THEN 'token' END, CASE WHEN word_src1 THEN 'src1' END) AS whole,
+ concat_ws(',', CASE WHEN word_token AND NOT used_token THEN 'token' END, CASE WHEN word_src1 AND NOT used_src1 THEN 'src1' END) AS whole_asked, phrase AS exact_asked FROM e""")
+def h5_lexical_evidence(spark, sf_dir):
+    terms = [("token", "whole"), ("src1", "whole"), ("core", "fragment")]
+    fields = [F.col("label"), F.col("path"), F.col("content")]
+    plain, asked = (text.lexical_evidence(*fields, terms, ["licensed under"], reference=r) for r in (False, True))
+    rows = chunks(spark, sf_dir).select("id", plain.alias("e"), asked.alias("a"))
+    return rows.select("id", "e.has", "e.exact", F.array_join("e.whole", ",").alias("whole"), F.array_join("a.whole", ",").alias("whole_asked"), F.col("a.exact").alias("exact_asked"))
+
+
 @query("""WITH l AS (SELECT p_partkey AS id, ([ 'async method ', 'function ', 'class ', 'type ', 'enum ', 'nothing ', 'macro ', 'async  function  '])[p_partkey % 8 + 1] || replace(p_name, ' ', '_') || (['(a, b)', '<T>', ' extends X', ''])[p_partkey % 4 + 1] AS label FROM part),
 c AS (SELECT id, trim(regexp_replace(label, '\\s+', ' ', 'g')) AS label FROM l),
 k AS (SELECT id, label, coalesce(regexp_extract(label, '^(?:async )?(method|function) .+$', 1), '') AS k1, coalesce(regexp_extract(label, '^(class|interface|type|enum|trait|module|namespace|macro) .+$', 1), '') AS k2, regexp_extract(label, '^(?:async )?[a-z]+ (.+)$', 1) AS rest FROM c),
