@@ -30,7 +30,7 @@ from quillmap.llm import common, vectors
 
 SAMPLE, LEADERS, BANDS = 20_000, 2048, 64
 #: Bands that are done after each round.
-ROUNDS = (2, 8, 24, BANDS)
+ROUNDS = (4, 20, BANDS)
 #: Vectors and queries that meet in one task; vectors that are bounded at once.
 BLOCK, QUERIES, CHUNK = 4096, 4096, 512
 #: Shares of the coordinates after which the bound is tried.
