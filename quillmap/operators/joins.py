@@ -110,13 +110,15 @@ def capped(rows: DataFrame, key: str, order: list, cap: int) -> DataFrame:
 def exact_lookup(symbols: DataFrame, asked: DataFrame, tiers: list[tuple[str, Column]]) -> DataFrame:
     """(query, tier, status, key): the first tier with a match decides; several matches there are ambiguous.
 
-    symbols: key and what the tier columns need; asked: query, term.
+    symbols: key and what the tier columns need; asked: query, term, one row a query.
     """
     levels = [symbols.select("key", F.lit(i).alias("tier"), c.alias("value")) for i, (_, c) in enumerate(tiers)]
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    counted = asked.join(every, F.col("term") == F.col("value")).groupBy("query", "tier").agg(F.countDistinct("key").alias("n"), F.min("key").alias("key"))
-    first = counted.groupBy("query").agg(F.min_by(F.struct("tier", "n", "key"), "tier").alias("m"))
+    # a value is one row a tier, however many symbols have it
+    known = every.filter("value IS NOT NULL").groupBy("tier", "value").agg(F.countDistinct("key").alias("n"), F.min("key").alias("key"))
+    hits = asked.select("query", "term").join(known, F.col("term") == F.col("value"))
+    first = hits.groupBy("query").agg(F.min_by(F.struct("tier", "n", "key"), "tier").alias("m"))
     found = asked.select("query").join(first, "query", "left")
     return found.select("query", F.col("m.tier").alias("tier"), F.when(F.col("m.n").isNull(), "missing").when(F.col("m.n") == 1, "hit").otherwise("ambiguous").alias("status"), F.when(F.col("m.n") == 1, F.col("m.key")).alias("key"))
