@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,9 +51,44 @@ def neighbours(
     return seen, left_out
 
 
+#: Bits of a sieve: for each node, and at most (16 MB).
+SIEVE_EACH, SIEVE_MOST = 8, 1 << 27
+
+
+def _bits(node: Column, size: int) -> tuple[Column, Column]:
+    """Word and bit of a node in a sieve of so many bits."""
+    at = F.pmod(F.xxhash64(node), F.lit(size))
+    return F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+
+
+def sieve(nodes: DataFrame, size: int) -> DataFrame:
+    """One row and column: the words of a set of bits that holds every node, and others by chance."""
+    words, block = nodes.sparkSession.range(size // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")), 1024
+    word, bit = _bits(F.col("node"), size)
+    held = nodes.filter("node IS NOT NULL").select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+    every = words.unionByName(held).groupBy("w").agg(F.bit_or("b").alias("b"))
+    blocks = every.groupBy(F.floor(F.col("w") / block).alias("k")).agg(F.sort_array(F.collect_list(F.struct("w", "b")))["b"].alias("v"))
+    return blocks.agg(F.flatten(F.sort_array(F.collect_list(F.struct("k", "v")))["v"]).alias("words"))
+
+
 def with_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges both of whose ends are known."""
-    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    """The edges both of whose ends are known.
+
+    Both ends pass a sieve of the nodes before edges move, so that mostly those
+    that stay are dealt out, by either end; the joins decide.
+    """
+    size = 1 << 12
+    most = min(SIEVE_EACH * nodes.count(), SIEVE_MOST)
+    while size < most:
+        size *= 2
+    words = sieve(nodes, size).scalar()
+
+    def passes(node: Column) -> Column:
+        word, bit = _bits(node, size)
+        return F.call_function("shiftright", F.get(words, word.cast("int")), bit).bitwiseAND(F.lit(1)) == 1
+
+    near = edges.filter(passes(F.col("src")) & passes(F.col("dst")))
+    return near.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
 
 
 def tests_of(calls: DataFrame) -> DataFrame:

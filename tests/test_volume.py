@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 from quillmap.functions import text
-from quillmap.operators import lexical
+from quillmap.operators import graph, lexical
 
 
 def exchanges(df):
@@ -23,3 +23,17 @@ def test_postings_move_once(spark):
     assert len(got) == len(want) and set(got) == want
     assert dict(made.dtypes) == {"id": "bigint", "dl": "int", "term": "string", "tf": "int", "bucket": "int"}
     assert exchanges(made) == 1
+
+
+def test_edges_pass_a_sieve_before_they_move(spark):
+    nodes = spark.createDataFrame([(n,) for n in ("a", "b", "b", "ü", "", None)], "node string")
+    edges = spark.createDataFrame([(s, d) for s in ("a", "b", "ü", "", "x", None) for d in ("a", "b", "y", "", None)] + [("a", "b")], "src string, dst string")
+    known = {"a", "b", "ü", ""}
+    got = graph.with_nodes(edges, nodes)
+    want = sorted((s, d) for s, d in map(tuple, edges.collect()) if s in known and d in known)
+    assert sorted((r.src, r.dst) for r in got.collect()) == want
+    words = graph.sieve(nodes, 1 << 12).first().words
+    assert len(words) == 64 and 1 <= sum(bin(w % (1 << 64)).count("1") for w in words) <= len(known)
+    # no join stands below the filter of either end
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan and plan.index("scalar-subquery") > plan.rindex("LeftSemi")
