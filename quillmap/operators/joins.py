@@ -37,15 +37,20 @@ def innermost(inner: DataFrame, outer: DataFrame, *, keys: list[str], file: str
 
 
 def unique_parent(rows: DataFrame, parents: DataFrame, *, keys: list[str], on: list[str]) -> DataFrame:
-    """The innermost parent by (on, containment), null where the smallest size is shared by several."""
+    """The innermost parent by (on, containment), null where the smallest size is shared by several.
+
+    Rows may repeat. One pass over the pairs keeps the first and the last parent
+    of the smallest size, which are the same if it is the only one.
+    """
     p = parents.select(*[F.col(c).alias(f"{c}_") for c in on], "s", "e", "symbol_key")
     hit = (F.col("s") <= F.col("start_line")) & (F.col("end_line") <= F.col("e"))
     for c in on:
         hit = hit & (F.col(c) == F.col(f"{c}_"))
     size = F.col("e") - F.col("s")
-    sized = rows.join(p, hit).groupBy(*keys, size.alias("size")).agg(F.countDistinct("symbol_key").alias("n"), F.min("symbol_key").alias("parent"))
-    least = sized.groupBy(*keys).agg(F.min_by(F.struct("n", "parent"), "size").alias("m"))
-    return least.select(*keys, F.when(F.col("m.n") == 1, F.col("m.parent")).alias("parent"))
+    # a null key is no parent, but its size counts: it comes last in either order
+    first, last = F.min(F.struct(size, F.col("symbol_key").isNull(), F.col("symbol_key").alias("key"))), F.max(F.struct(-size, F.col("symbol_key").alias("key")))
+    least = rows.join(p, hit).groupBy(*keys).agg(first.alias("a"), last.alias("z"))
+    return least.select(*keys, F.when(F.col("a.key") == F.col("z.key"), F.col("a.key")).alias("parent"))
 
 
 def resolve_unambiguous(calls: DataFrame, targets: DataFrame) -> DataFrame:

@@ -10,9 +10,19 @@ from quillmap.plans.inputs import CHUNKS, EDGES, chunks, edges, table
 from quillmap.plans.registry import query
 
 
-def _symbols(spark, sf_dir):
+#: Rows of a task where a table is dealt out by file.
+TASK_ROWS = 500_000
+
+
+def _by_file(spark, sf_dir):
+    """lineitem dealt out by l_orderkey over as many tasks as its rows ask for, so that none grows with the table."""
     l = table(spark, sf_dir, "lineitem")
-    s = l.groupBy(F.col("l_orderkey").alias("file"), "l_returnflag").agg(F.min("l_linenumber").alias("s"), F.max("l_linenumber").alias("e"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-l.count() // TASK_ROWS))  # the count reads the files' footers
+    return l.repartition(tasks, "l_orderkey")
+
+
+def _symbols(spark, sf_dir):
+    s = _by_file(spark, sf_dir).groupBy(F.col("l_orderkey").alias("file"), "l_returnflag").agg(F.min("l_linenumber").alias("s"), F.max("l_linenumber").alias("e"))
     return s.select("file", "s", "e", F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("kind_rank"), F.concat("file", F.lit(":"), "l_returnflag").alias("symbol_key"))
 
 
@@ -23,14 +33,14 @@ lines AS (SELECT DISTINCT l_orderkey AS file, l_linenumber AS line FROM lineitem
 @query(f"""WITH {_SYMBOLS}, j AS (SELECT l.file, l.line, symbol_key, row_number() OVER (PARTITION BY l.file, l.line ORDER BY e - s, kind_rank, symbol_key) AS rn, count(*) OVER (PARTITION BY l.file, l.line) AS containing
  FROM lines l JOIN symbols y ON l.file = y.file AND y.s <= l.line AND l.line <= y.e) SELECT file, line, symbol_key AS owner, containing FROM j WHERE rn = 1""")
 def d1_owner_containment_join(spark, sf_dir):
-    inner = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).distinct().withColumn("start_line", F.col("line")).withColumn("end_line", F.col("line"))
+    inner = _by_file(spark, sf_dir).select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).distinct().withColumn("start_line", F.col("line")).withColumn("end_line", F.col("line"))
     return joins.innermost(inner, _symbols(spark, sf_dir), keys=["file", "line"]).select("file", "line", "owner", "containing")
 
 
 @query(f"""WITH {_SYMBOLS}, sized AS (SELECT l.file, l.line, e - s AS size, count(DISTINCT symbol_key) AS n, min(symbol_key) AS parent FROM lines l JOIN symbols y ON l.file = y.file AND y.s <= l.line AND l.line <= y.e GROUP BY ALL),
 f AS (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY size) AS rn FROM sized) SELECT file, line, CASE WHEN n = 1 THEN parent END AS parent FROM f WHERE rn = 1""")
 def d3_unique_parent(spark, sf_dir):
-    inner = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).distinct().withColumn("start_line", F.col("line")).withColumn("end_line", F.col("line"))
+    inner = _by_file(spark, sf_dir).select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).withColumn("start_line", F.col("line")).withColumn("end_line", F.col("line"))
     return joins.unique_parent(inner, _symbols(spark, sf_dir), keys=["file", "line"], on=["file"])
 
 

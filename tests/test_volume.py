@@ -4,7 +4,8 @@ import re
 from collections import Counter
 
 from quillmap.functions import text
-from quillmap.operators import graph, lexical
+from quillmap.operators import graph, joins, lexical
+from quillmap.plans import registry, structure  # the registry first: it imports the others
 
 
 def exchanges(df):
@@ -37,3 +38,25 @@ def test_edges_pass_a_sieve_before_they_move(spark):
     # no join stands below the filter of either end
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "scalar-subquery" in plan and plan.index("scalar-subquery") > plan.rindex("LeftSemi")
+
+
+def test_unique_parent_of_repeated_rows_ties_and_null_keys(spark):
+    rows = [(1, n, n, n) for n in (1, 2, 2, 5, 9, 30)] + [(2, 1, 1, 4), (3, 1, 1, 1), (None, 1, 1, 1), (1, None, None, None)]
+    parents = [(1, 1, 4, "b"), (1, 1, 4, "b"), (1, 2, 5, "a"), (1, 5, 20, "c"), (1, 9, 12, None), (1, 8, 11, "d"), (1, 30, 31, None), (1, 0, 99, "z"), (2, 1, 3, "e"), (2, 0, 9, "f"), (3, 7, 9, "g"), (None, 0, 9, "h")]
+    got = joins.unique_parent(spark.createDataFrame(rows, "file long, line int, start_line int, end_line int"), spark.createDataFrame(parents, "file long, s int, e int, symbol_key string"), keys=["file", "line"], on=["file"])
+    want = {}
+    for file, line, start, end in rows:
+        holds = [(e - s, key) for f, s, e, key in parents if None not in (file, start, f) and f == file and s <= start and end <= e]
+        if holds:
+            least = {key for size, key in holds if size == min(holds, key=lambda h: h[0])[0]} - {None}
+            want[file, line] = least.pop() if len(least) == 1 else None
+    assert sorted((tuple(r) for r in got.select("file", "line", "parent").collect())) == sorted((*k, v) for k, v in want.items())
+    assert want[1, 1] == "b" and want[1, 2] is None and want[1, 9] == "d" and want[1, 30] is None and want[2, 1] == "f"
+
+
+def test_lines_are_dealt_once_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(structure, "TASK_ROWS", 300)
+    sf_dir = "/root/testdata/sf0.001"
+    assert structure._by_file(spark, sf_dir).rdd.getNumPartitions() >= structure.table(spark, sf_dir, "lineitem").count() / 300
+    # lines and symbols are dealt once each and joined where they lie
+    assert exchanges(structure.d3_unique_parent(spark, sf_dir)) == 2
