@@ -113,9 +113,7 @@ class Engine:
                 rows = kept.unionByName(rows)
             staged[name] = self.store.stage(name, rows)
         staged["edges"] = self.store.stage("edges", self._link(staged))
-        chunks = self._lexical(self._read("chunks", staged))
-        staged["postings"] = self.store.stage("postings", lexical.postings(chunks, content="lexical"), partition_by=["bucket"])
-        staged["totals"] = self.store.stage("totals", lexical.totals(chunks, content="lexical"))
+        staged |= lexical.stage(self.store, self._lexical(self._read("chunks", staged)), content="lexical")
         roots = changes.bucketed_root(self._read("files", staged))
         staged["checkpoint"] = self.store.stage("checkpoint", roots)
         self.store.publish_all(staged)

@@ -76,9 +76,7 @@ def lexical_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     name = hashlib.sha256(shared.fingerprint(f"{sf_dir}/documents.parquet").encode()).hexdigest()[:16]
     store = Store(spark, f"{shared.root}/{name}")
     if not (at := store.snapshot()):
-        rows = chunks(spark, sf_dir).select("id", "content")
-        made = {"postings": store.stage("postings", lexical.postings(rows), partition_by=["bucket"]), "totals": store.stage("totals", lexical.totals(rows))}
-        store.publish_all(made)
+        store.publish_all(lexical.stage(store, chunks(spark, sf_dir).select("id", "content")))
         at = store.snapshot()
     return store.read("postings", at["postings"]), store.read("totals", at["totals"])
 

@@ -6,6 +6,7 @@ from collections import Counter
 from quillmap.functions import text
 from quillmap.operators import graph, joins, lexical
 from quillmap.plans import registry, structure  # the registry first: it imports the others
+from quillmap.sources import store
 
 
 def exchanges(df):
@@ -26,6 +27,34 @@ def test_postings_move_once(spark):
     assert exchanges(made) == 1
 
 
+def test_tasks_that_sort_postings_follow_the_tokens(spark, monkeypatch):
+    # whatever the session's partitions are, a task sorts about as many postings as it may
+    monkeypatch.setattr(lexical, "TASK_TOKENS", 50, raising=False)
+    rows = spark.range(400).selectExpr("id", "concat_ws(' ', transform(sequence(1, 30), i -> concat('w', (id * 7 + i * 13) % 97))) AS content")
+    for known in (None, 400 * 30):
+        made = lexical.postings(rows, tokens=known) if known else lexical.postings(rows)
+        got = made.rdd.glom().map(lambda part: [tuple(r) for r in part]).collect()
+        assert exchanges(made) == 1 and len(got) >= 400 * 30 / 50
+        assert max(map(len, got)) <= 4 * 50
+        assert all(part == sorted(part, key=lambda r: (r[4], r[2], r[0])) for part in got)
+        want = Counter((r.id, w) for r in rows.collect() for w in r.content.split())
+        assert sorted((r[0], r[2], r[3]) for part in got for r in part) == sorted((*k, n) for k, n in want.items())
+
+
+def test_index_is_staged_with_tasks_by_its_own_totals(spark, monkeypatch, tmp_path):
+    said = []
+    plain = lexical.postings
+    monkeypatch.setattr(lexical, "postings", lambda rows, **how: said.append(how["tokens"]) or plain(rows, **how))
+    kept = store.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "b")], "id long, content string")
+    made = lexical.stage(kept, rows)
+    assert said == [4.0]
+    assert sorted(tuple(r) for r in kept.read("postings", made["postings"]).select("id", "term", "tf", "dl").collect()) == [(1, "a", 2, 3), (1, "b", 1, 3), (4, "b", 1, 1)]
+    assert tuple(kept.read("totals", made["totals"]).first()) == (4.0, 1.0)
+    empty = lexical.stage(kept, rows.filter("id > 4"))
+    assert kept.spark.read.schema("id long").parquet(f"{kept.root}/postings/g{empty['postings']:08d}").count() == 0
+
+
 def test_edges_pass_a_sieve_before_they_move(spark):
     nodes = spark.createDataFrame([(n,) for n in ("a", "b", "b", "ü", "", None)], "node string")
     edges = spark.createDataFrame([(s, d) for s in ("a", "b", "ü", "", "x", None) for d in ("a", "b", "y", "", None)] + [("a", "b")], "src string, dst string")
